@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe
+from ionlake.llm import bpe, entropy_mix, media_chunks, toxicity
 from ionlake.llm.common import table
 
 
@@ -14,10 +14,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_table(table(spark, sf_dir, "documents"))
+
+
+def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe,)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_chunks, op4_entropy_mix, op6_bpe, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
