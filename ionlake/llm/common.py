@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,6 +59,11 @@ class Scratch:
     def keep(self, frame: DataFrame) -> DataFrame:
         return self.write(frame)[0]
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *paths: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:

@@ -11,7 +11,7 @@ from ionlake.llm.common import Scratch
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours move to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 

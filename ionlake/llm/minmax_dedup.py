@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionlake.llm.buckets import linked_components, shared_buckets
 from ionlake.llm.common import Scratch, slices, text_of
-from ionlake.llm.graph import components
 
-FUNCTIONS, BANDS, ROUNDS = 40, 20, 3
+FUNCTIONS, BANDS = 40, 20
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
@@ -117,12 +117,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("u", "v", "left", "right").sortWithinPartitions("u").mapInArrow(run, "u long, v long")
 
 
-def _pairs_of(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (u, v), u < v, of rows (a, n_a, b, n_b) whose set sizes allow the threshold."""
-    fits = (F.col("a") != F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return rows.where(fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-
-
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -136,44 +130,14 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     sketched = scratch.keep(sketches(docs, words))
     real = sketched.where("doc_id is not null and n_shingles > 0")
     reps = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    buckets = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    members = scratch.keep(buckets.join(shared, "bucket"))
-    ids = members.select("rep").distinct()
+    buckets = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
+    members = scratch.keep(shared_buckets(buckets))
+    ids = members.select(F.col("id").alias("rep")).distinct()
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(ids, "rep").dropDuplicates(["rep"]))
-
-    none = docs.sparkSession.createDataFrame([], "u long, v long")
-    links, tried, found = none, none, None
-    for k in range(ROUNDS + 1):
-        if found is None:
-            placed = members.withColumn("part", F.col("rep"))
-        else:
-            placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-            several = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-            placed = placed.join(several, "bucket")
-        if k < ROUNDS:
-            centre = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("order"), "rep", "n", "part")).alias("c"))
-            meets = placed.join(centre, "bucket").where("rep <> c.rep and (part <> c.part or c.part is null)")
-            rows = meets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c.rep").alias("b"), F.col("c.n").alias("n_b"))
-        else:
-            a, b = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a")), placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-            rows = a.join(b, "bucket").where("part_a < part_b")
-        fresh = scratch.keep(_pairs_of(rows, percent).join(tried, ["u", "v"], "left_anti"))
-        if not fresh.head(1):
-            if found is not None and k >= ROUNDS:
-                break
-            if found is not None:
-                continue
-        linked = scratch.keep(confirmed(fresh, texts, words, percent))
-        links, tried = links.union(linked), tried.union(fresh)
-        found = scratch.keep(components(links, scratch))
-    same = found.withColumnRenamed("node", "rep")
+    found = linked_components(members, lambda pairs: confirmed(pairs, texts, words, percent), scratch, percent)
     classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    by_set = scratch.keep(classes.join(same, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
-    return with_components(sketched, by_set)
-
-
-def with_components(sketched: DataFrame, by_set: DataFrame) -> DataFrame:
-    joined = sketched.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
+    if found is not None:
+        classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    joined = sketched.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", F.col("rep").alias("component_id")), "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

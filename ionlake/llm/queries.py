@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe, entropy_mix, media_chunks, minmax_dedup, toxicity
+from ionlake.llm import bpe, entropy_mix, line_dedup, media_chunks, minmax_dedup, toxicity
 from ionlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -35,6 +39,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_chunks, op4_entropy_mix, op6_bpe, op8_minmax_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op8_minmax_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
