@@ -18,12 +18,17 @@ from ionlake.llm.common import Scratch, slices, text_of
 UNIT, FILLER = 576, b"\xff"
 RATE = 8000
 #: A chunk ends where the lowest CUT_BITS bits of the rolling hash are 0, after LEAST bytes and before MOST.
-CUT_BITS, LEAST, MOST = 11, 512, 8192
+CUT_BITS, LEAST, MOST = 13, 2048, 65536
+LEVEL = 9
 #: Digests a task remembers having sent, and uses of one chunk that a join key carries before it is salted.
 REMEMBERED, USES_A_KEY, HOT_KEYS = 200_000, 1024, 4096
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], dtype=np.uint32)
 
 
+def digest_of(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def payload_of(text: str) -> tuple[bytes, int]:
     """UTF-8 filled with bytes 255 to a positive multiple of UNIT, and its length without them."""
     data = text.encode()
@@ -88,18 +93,18 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             payload, n_bytes = payload_of(text.as_py())
             media = to_media(payload)
-            rows.append((n_bytes, hashlib.sha256(media).digest(), [hashlib.sha256(c).digest() for c in chunks(media)]))
+            rows.append((n_bytes, digest_of(media), [digest_of(c) for c in chunks(media)]))
         sizes, media, lists = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media", "chunks"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer, sent = zstandard.ZstdCompressor(level=1), set()
+    packer, sent = zstandard.ZstdCompressor(level=LEVEL), set()
     for batch in slices(batches, "text"):
         found: dict[bytes, bytes] = {}
         for text in batch.column(0):
             for body in chunks(to_media(payload_of(text.as_py())[0])):
-                if (digest := hashlib.sha256(body).digest()) not in sent:
+                if (digest := digest_of(body)) not in sent:
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(digest)
@@ -115,10 +120,10 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def read(key: bytes, parts: list[bytes]) -> tuple:
         media = b"".join(parts)
-        if hashlib.sha256(media).digest() != key:
+        if digest_of(media) != key:
             raise ValueError(f"the chunks of {key.hex()} do not give that file")
         payload = from_media(media)
-        return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), key.hex(), feature_of(payload)
+        return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)
 
     key, parts = None, []
     for batch in batches:
@@ -158,15 +163,16 @@ def media_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks.
 
     Every row of ``docs`` gives a row, null ids and repeats too; null texts count as empty. The payload is
-    what the rebuilt file holds, after its digest was checked. Equal files are rebuilt once.
+    what the rebuilt file holds, after its digest was checked. Equal files are rebuilt once; a file of one
+    chunk is read where its chunk lies, the others are gathered first.
     """
     scratch = Scratch(docs.sparkSession, "media")
     lists, bodies = store(docs, scratch)
-    wanted = lists.dropDuplicates(["media"]).select("media", F.posexplode("chunks").alias("seq", "digest"))
+    wanted = lists.dropDuplicates(["media"]).select("media", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("seq", "digest"))
     wanted = wanted.join(F.broadcast(scratch.hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("media"), F.coalesce("salts", F.lit(1))).cast("int"))
-    parts = wanted.select("media", "seq", "digest", "salt").join(bodies, ["digest", "salt"])
-    ordered = parts.select("media", "body", "seq").repartition("media").sortWithinPartitions("media", "seq")
-    read = ordered.select("media", "body").mapInArrow(
-        _rebuilt, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    parts = wanted.select("media", "n_chunks", "seq", "digest", "salt").join(bodies, ["digest", "salt"])
+    schema = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    whole = parts.where("n_chunks = 1").select("media", "body").mapInArrow(_rebuilt, schema)
+    several = parts.where("n_chunks > 1").select("media", "body", "seq").repartition("media").sortWithinPartitions("media", "seq")
+    read = whole.union(several.select("media", "body").mapInArrow(_rebuilt, schema))
     return lists.select("doc_id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media").drop("media")
