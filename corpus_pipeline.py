@@ -1,26 +1,60 @@
-"""A training corpus in stages: each takes the documents its predecessor kept."""
+"""A training corpus in stages: each works on all that its predecessor kept.
+
+toxicity: documents that the classifier rejects go.
+line_dedup: repeated and nearly repeated lines go, the first of each stays; no document goes.
+minhash_dedup: one document of each group of near duplicates (five-word shingles, similarity 0.8) stays.
+mix: documents are taken 0, 1 or 2 times so that their sources meet their target sizes.
+bpe: token counts and digests of ids and decoded text, one row for each copy taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe
+from ionlake.llm import bpe, entropy_mix, line_dedup, minmax_dedup, toxicity
 from ionlake.llm.common import Scratch, table
 from ionlake.llm.queries import vocabulary
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minmax_dedup.similar_documents(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return entropy_mix.mixed_documents(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary())
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("bpe", encode),
+]
 
-#: No stage's training, signatures or encodings are expressible in SQL.
+#: SQL expresses neither the training nor the signatures nor the encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        docs, path = scratch.write(stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = path
+        scratch.release()
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe, entropy_mix, line_dedup, media_chunks, minmax_dedup, toxicity
+from ionlake.llm import bpe, entropy_mix, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
 from ionlake.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.similar_documents(table(spark, sf_dir, "documents"), words=2)
 
@@ -39,6 +43,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op8_minmax_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
