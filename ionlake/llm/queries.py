@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe, entropy_mix, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
+from ionlake.llm import bpe, cover_tree, entropy_mix, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
 from ionlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_table(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_cover_tree, op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
