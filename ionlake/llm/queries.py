@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe, cover_tree, entropy_mix, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
+from ionlake.llm import bpe, chaining, cover_tree, entropy_mix, license_scan, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
 from ionlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.document_files(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+
+
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -42,11 +46,15 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.similar_documents(table(spark, sf_dir, "documents"), words=2)
 
 
+def op9_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_cover_tree, op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_cover_tree, op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op9_chaining, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
