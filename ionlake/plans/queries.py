@@ -1,4 +1,413 @@
-"""The imaging queries and their SQL equivalents."""
+"""The imaging queries over the spectral views, each with its SQL equivalent where SQL can express it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionlake.operators import convert, imaging, peaks, signal, spectra
+from ionlake.plans.views import EM, EV, LI, MASK, checker_mask, pts_em, pts_ev, pts_li
+from ionlake.plans.views import spectra as as_spectra
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+MASSES = [105.0, 120.0, 150.0]
+MANY = [100.5 + 2 * k for k in range(50)]
+REFERENCES = [1000.0 * k for k in range(2, 60)]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _image_sql(where: str, mass: str = "", joins: str = "") -> str:
+    key = f"{mass}, " if mass else ""
+    return f"s as (select {key}spectrum_id, x, y, max(intensity) i from p {joins} where {where} group by {key}spectrum_id, x, y), img as (select {key}x, y, arg_max(i, spectrum_id) intensity from s where i > 0 group by {key}x, y)"
+
+
+IMAGE = _image_sql("mz between 105.0e0 and 115.0e0")
+MASS_LIST = "masses as (select unnest([105.0e0, 120.0e0, 150.0e0]) mass)"
+MULTI = MASS_LIST + ", " + _image_sql("mz between mass-5.0e0 and mass+5.0e0", "mass", ", masses")
+MANY_SQL = "masses as (select 100.5e0+2*k mass from range(50) r(k)), " + _image_sql("mz between mass-0.1e0 and mass+0.1e0", "mass", ", masses")
+ORD = "(partition by spectrum_id order by mz, pos"
+STATS = """st as (select spectrum_id "SpectrumID", round(sum(intensity), 6) "TIC", max(intensity) "BPI", arg_max(mz, struct_pack(a:=intensity, b:=-mz, c:=-pos)) "BasePeakMZ",
+ cast(count(*) as int) "NumPoints", min(mz) "MinMZ", max(mz) "MaxMZ", 'UNKNOWN' "Mode" from p group by spectrum_id)"""
+NOISE = "nz as (with m as (select spectrum_id, median(intensity) m from p group by 1) select p.spectrum_id, median(abs(intensity-m))*1.4826022185e0 noise from p join m using (spectrum_id) group by 1)"
+EPS = "2.220446049250313e-16"
+
+
+@query(f"with {EV}, {IMAGE} select * from img")
+def ion_image(spark, sf):
+    return imaging.ion_image(pts_ev(spark, sf), 110.0, 5.0)
+
+
+@query(f"with {EV}, {MASK}, {_image_sql('mz between 105.0e0 and 115.0e0 and (x+y)%3<>0')} select * from img")
+def ion_image_masked(spark, sf):
+    p = pts_ev(spark, sf)
+    return imaging.ion_image(p, 110.0, 5.0, checker_mask(p))
+
+
+@query(f"with {EV}, {MULTI} select * from img")
+def ion_images_multi(spark, sf):
+    return imaging.ion_images(pts_ev(spark, sf), MASSES, 5.0)
+
+
+@query(f"with {EV}, {MANY_SQL} select * from img")
+def ion_images_bucketed(spark, sf):
+    return imaging.ion_images_bucketed(pts_ev(spark, sf), MANY, 0.1)
+
+
+@query(f"with {EV}, {STATS} select * from st")
+def spectrum_stats(spark, sf):
+    return spectra.statistics(pts_ev(spark, sf))
+
+
+@query(f"with {LI}, {STATS} select * from st")
+def spectrum_stats_lineitem(spark, sf):
+    return spectra.statistics(pts_li(spark, sf))
+
+
+@query(f"with {EV} select min(mz) min_mz, max(mz) max_mz from p")
+def global_mz_range(spark, sf):
+    return spectra.mz_range(pts_ev(spark, sf))
+
+
+def _total_sql(n: int, mean: bool, where: str = "") -> str:
+    return f"""with {EV}, q as (select * from p {where}), r as (select min(mz) lo, max(mz) hi from p), c as (select count(distinct spectrum_id) n from q),
+ b as (select cast(greatest(1, least({n}, floor((mz-lo)*({n - 1}/(hi-lo))+1))) as int) bin, sum(intensity) s from q, r group by 1),
+ g as (select cast(k as int) bin from range(1, {n + 1}) t(k))
+ select g.bin, round(lo+(g.bin-1)*((hi-lo)/{n - 1}), 6) mz, round(coalesce(s, 0)/{"c.n" if mean else "1"}, 6) intensity, c.n n_spectra from g left join b on g.bin=b.bin, r, c"""
+
+
+@query(_total_sql(200, False))
+def total_spectrum(spark, sf):
+    return spectra.total_spectrum(pts_ev(spark, sf), 200)
+
+
+@query(_total_sql(200, True))
+def average_spectrum(spark, sf):
+    return spectra.total_spectrum(pts_ev(spark, sf), 200, mean=True)
+
+
+@query(_total_sql(200, False, "where (x+y)%3<>0"))
+def total_spectrum_masked(spark, sf):
+    p = pts_ev(spark, sf)
+    return spectra.total_spectrum(imaging.masked(p, checker_mask(p)), 200, span=spectra.mz_range(p))
+
+
+@query(f"with {EV} select pos, mz, intensity from p where spectrum_id=7")
+def spectrum_by_index(spark, sf):
+    return spectra.spectrum_at(pts_ev(spark, sf), 7)
+
+
+@query(f"with {EV} select spectrum_id, pos, mz, intensity from p where x=4 and y=1 and spectrum_id=(select max(spectrum_id) from p where x=4 and y=1)")
+def spectrum_by_xy(spark, sf):
+    return spectra.spectrum_at_pixel(pts_ev(spark, sf), 4, 1)
+
+
+@query(f"with {EV} select x, y, max(spectrum_id) spectrum_id from p group by 1, 2")
+def coordinate_map(spark, sf):
+    return spectra.coordinate_map(pts_ev(spark, sf))
+
+
+@query(f"with {EV}, {MASK} select p.spectrum_id, p.x, p.y, count(*) n from p semi join mask using (x, y) group by 1, 2, 3")
+def mask_semi(spark, sf):
+    p = pts_ev(spark, sf)
+    return imaging.masked(p, checker_mask(p)).groupBy("spectrum_id", "x", "y").agg(F.count("*").alias("n"))
+
+
+@query(f"with {EV}, {MASK} select p.spectrum_id, p.x, p.y, count(*) n from p anti join mask using (x, y) group by 1, 2, 3")
+def mask_anti(spark, sf):
+    p = pts_ev(spark, sf)
+    return imaging.outside(p, checker_mask(p)).groupBy("spectrum_id", "x", "y").agg(F.count("*").alias("n"))
+
+
+@query(f"with {EV}, f as (select distinct spectrum_id from p order by 1 limit 10) select p.* from p semi join f using (spectrum_id)")
+def subset_first_n(spark, sf):
+    return spectra.first_n(pts_ev(spark, sf), 10)
+
+
+@query(f"""with {EV}, w as (select *, min(mz) over s lo, max(mz) over s hi, count(*) over s c from p window s as (partition by spectrum_id)),
+ t as (select spectrum_id, least(20, floor((mz-lo)/((hi-lo)/20))+1) bin, arg_max(struct_pack(m:=mz, i:=intensity), struct_pack(a:=intensity, b:=-mz, c:=-pos)) t from w where c>20 group by 1, 2)
+ select spectrum_id, t.m mz, t.i intensity from t where t.i>0 union all select spectrum_id, mz, intensity from w where c<=20""")
+def downsample_spectrum(spark, sf):
+    return spectra.downsample(pts_ev(spark, sf), 20)
+
+
+@query(f"with {EV} select spectrum_id, bool_and(mz>=0 and intensity>=0 and isfinite(mz) and isfinite(intensity)) valid from p group by 1")
+def qc_validate(spark, sf):
+    return spectra.validate(as_spectra(pts_ev(spark, sf)))
+
+
+def _transformed(method):
+    return lambda spark, sf: pts_ev(spark, sf).select("spectrum_id", "pos", F.round(signal.transform(method), 6).alias("value"))
+
+
+for _m, _s in {"sqrt": "sqrt(greatest(0, intensity))", "log1p": "ln(1+greatest(0, intensity))", "log": f"ln(greatest({EPS}, intensity))", "log2": f"log2(greatest({EPS}, intensity))", "log10": f"log10(greatest({EPS}, intensity))"}.items():
+    QUERIES[f"transform_{_m}"], ORACLE_SQL[f"transform_{_m}"] = _transformed(_m), f"with {EV} select spectrum_id, pos, round({_s}, 6) \"value\" from p"
+
+
+def _normed(method):
+    return lambda spark, sf: signal.normalized(pts_ev(spark, sf), method).select("spectrum_id", "pos", F.round("intensity", 6).alias("value"))
+
+
+for _m, _s in {"tic": "sum(intensity)", "median": "median(intensity)", "rms": "sqrt(sum(intensity*intensity)/count(*))"}.items():
+    QUERIES[f"norm_{_m}"] = _normed(_m)
+    ORACLE_SQL[f"norm_{_m}"] = f'with {EV}, s as (select spectrum_id, {_s} k from p group by 1) select spectrum_id, pos, round(case when k>0 then intensity/k else intensity end, 6) "value" from p join s using (spectrum_id)'
+
+
+@query(f"with {EM}, r as (select pos, median(intensity) ref from p group by 1) select spectrum_id, round(median((intensity+{EPS})/(ref+{EPS})), 6) factor from p join r using (pos) group by 1")
+def pqn(spark, sf):
+    return signal.pqn(pts_em(spark, sf)).select("spectrum_id", F.round("factor", 6).alias("factor"))
+
+
+@query(f"with {EV} select spectrum_id, pos, round(avg(intensity) over {ORD} rows between 2 preceding and 2 following), 6) smooth from p")
+def moving_average(spark, sf):
+    return signal.moving_average(pts_ev(spark, sf), 5).select("spectrum_id", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"with {EV} select spectrum_id, pos, round(median(intensity) over {ORD} rows between 5 preceding and 5 following), 6) baseline from p")
+def median_baseline(spark, sf):
+    return signal.median_baseline(pts_ev(spark, sf), 11).select("spectrum_id", "pos", F.round("baseline", 6).alias("baseline"))
+
+
+def _snip_sql(k: int) -> str:
+    steps, before = [], "p"
+    for i in range(1, k + 1):
+        source = "intensity" if i == 1 else "b"
+        steps.append(f"s{i} as (select spectrum_id, pos, mz, least({source}, coalesce(case when l is null then r when r is null then l else 0.5*(l+r) end, {source})) b from (select *, lag({source}) over {ORD}) l, lead({source}) over {ORD}) r from {before}))")
+        before = f"s{i}"
+    return f"with {EM}, {', '.join(steps)} select spectrum_id, pos, round(b, 6) baseline from {before}"
+
+
+@query(_snip_sql(3))
+def snip_k3(spark, sf):
+    return signal.snip(pts_em(spark, sf).drop("region"), 3).select("spectrum_id", "pos", F.round("baseline", 6).alias("baseline"))
+
+
+@query(f"""with {EM}, w as (select spectrum_id, pos, (-3*lag(intensity,2) over {ORD})+12*lag(intensity) over {ORD})+17*intensity+12*lead(intensity) over {ORD})-3*lead(intensity,2) over {ORD}))/35 s from p)
+ select spectrum_id, pos, round(s, 6) smooth from w where s is not null""")
+def sg_interior(spark, sf):
+    return signal.smooth_quadratic5(pts_em(spark, sf)).select("spectrum_id", "pos", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"with {EV}, {NOISE} select spectrum_id, round(noise, 6) noise from nz")
+def mad_noise(spark, sf):
+    return signal.noise(pts_ev(spark, sf)).select("spectrum_id", F.round("noise", 6).alias("noise"))
+
+
+@query(f"""with {EV}, {NOISE}, h as (select spectrum_id, quantile_cont(intensity, 0.95) filter (where intensity>0) q, sum(intensity) tic from p group by 1),
+ j as (select *, least(1e6, q/greatest(noise, 1e-6)) snr from nz join h using (spectrum_id))
+ select round(avg(noise), 6) mean_noise, round(avg(snr), 6) mean_snr, round(median(snr), 6) median_snr, round(avg(tic), 4) mean_tic, round(stddev_samp(tic)/avg(tic), 6) tic_cv from j""")
+def signal_quality(spark, sf):
+    return signal.signal_quality(pts_ev(spark, sf))
+
+
+PEAKS = f"pk as (select p.spectrum_id, pos, mz, intensity, intensity/(noise+{EPS}) snr from p join nz using (spectrum_id) where intensity/(noise+{EPS})>=1.5)"
+
+
+@query(f"with {EV}, {NOISE}, {PEAKS} select spectrum_id, pos, mz, intensity, round(snr, 6) snr from pk")
+def peaks_centroid(spark, sf):
+    return peaks.centroid_peaks(pts_ev(spark, sf), 1.5).select("spectrum_id", "pos", "mz", "intensity", F.round("snr", 6).alias("snr"))
+
+
+@query(f"""with {EM}, {NOISE}, w as (select *, max(intensity) over {ORD} rows between 3 preceding and 3 following) top, min(intensity) over {ORD} rows between 3 preceding and current row) l,
+ min(intensity) over {ORD} rows between current row and 3 following) r, row_number() over {ORD}) k, count(*) over (partition by spectrum_id) n from p)
+ select spectrum_id, pos, mz, intensity from w join nz using (spectrum_id) where k>1 and k<n and intensity>=top and intensity>2*(noise+{EPS}) and intensity-greatest(l, r)>0.1*intensity""")
+def peak_candidates(spark, sf):
+    return peaks.peak_candidates(pts_em(spark, sf), 3, 2.0, 0.1)
+
+
+@query(f"with {EV}, {NOISE}, {PEAKS} select spectrum_id, pos, mz, intensity from pk where snr>=2")
+def peak_selection(spark, sf):
+    return peaks.select_peaks(peaks.centroid_peaks(pts_ev(spark, sf), 1.5), min_snr=2.0, max_fwhm=500.0).select("spectrum_id", "pos", "mz", "intensity")
+
+
+@query(f"with {EV}, r as (select *, cast(row_number() over (partition by spectrum_id order by intensity desc, mz, pos) as int) \"rank\" from p) select spectrum_id, pos, mz, intensity, \"rank\" from r where \"rank\"<=3")
+def top3_peaks(spark, sf):
+    return peaks.top_peaks(pts_ev(spark, sf)).select("spectrum_id", "pos", "mz", "intensity", "rank")
+
+
+MATCH = """rf as (select 1000.0e0*k reference from range(2, 60) r(k)), mt as (select spectrum_id, reference, arg_min(mz, struct_pack(a:=abs(mz-reference), b:=mz, c:=pos)) mz
+ from p, rf where abs(mz-reference)<=reference*500/1e6 group by 1, 2), ac as (select *, 1e6*abs(mz-reference)/reference ppm from mt)"""
+ACC = "round(avg(ppm),6) mean_ppm, round(median(ppm),6) median_ppm, round(stddev_samp(ppm),6) std_ppm, round(min(ppm),6) min_ppm, round(max(ppm),6) max_ppm, count(*) n_matches"
+
+
+def _matched(spark, sf):
+    return peaks.matches(pts_li(spark, sf), REFERENCES, 500.0)
+
+
+@query(f"with {LI}, {MATCH} select spectrum_id, reference, mz, round(ppm, 6) ppm from ac")
+def calibration_matches(spark, sf):
+    return _matched(spark, sf).withColumn("ppm", F.round("ppm", 6))
+
+
+@query(f"with {LI}, {MATCH} select {ACC} from ac")
+def mass_accuracy(spark, sf):
+    return peaks.accuracy(_matched(spark, sf))
+
+
+@query(f"with {LI}, {MATCH} select spectrum_id%4 region, {ACC} from ac group by 1")
+def regional_accuracy(spark, sf):
+    return peaks.accuracy(_matched(spark, sf).withColumn("region", F.col("spectrum_id") % 4), "region")
+
+
+@query(f"with {LI}, {MATCH} select round(coalesce(greatest(10, least(100, avg(ppm)+3*stddev_samp(ppm))), 20), 6) tolerance_ppm from ac")
+def adaptive_tolerance(spark, sf):
+    return peaks.adaptive_tolerance(_matched(spark, sf))
+
+
+CHAIN = """g as (select *, case when lag(mz) over w is null or mz-lag(mz) over w>0.05e0 then 1 else 0 end brk from {t} window w as (order by mz, spectrum_id, pos)),
+ c as (select *, sum(brk) over (order by mz, spectrum_id, pos rows unbounded preceding) seg from g)"""
+TOP = "t3 as (select * from (select *, row_number() over (partition by spectrum_id order by intensity desc, mz, pos) k from p) where k<=3)"
+
+
+def _top(spark, sf):
+    return peaks.top_peaks(pts_ev(spark, sf)).drop("rank")
+
+
+@query(f"with {EV}, {TOP}, {CHAIN.format(t='t3')} select round(min(mz),6) mz_lo, round(max(mz),6) mz_hi, round(avg(mz),6) center, count(*) n from c group by seg having count(*)>=2")
+def bins_chain(spark, sf):
+    rows = peaks.bin_table(peaks.chain_segments(_top(spark, sf), 0.05), "segment", 2)
+    return rows.select(*[F.round(c, 6).alias(c) for c in ("mz_lo", "mz_hi", "center")], "n")
+
+
+UNI = "u as (select *, cast(floor((mz-lo)/((hi-lo)/100))+1 as int) bin from {t}, (select min(mz) lo, max(mz) hi from {t}))"
+
+
+@query(f"with {EV}, {TOP}, {UNI.format(t='t3')} select spectrum_id, bin, max(intensity) \"value\" from u where bin<=100 group by 1, 2")
+def bins_uniform(spark, sf):
+    return peaks.features(peaks.uniform_bins(_top(spark, sf), 100), "bin")
+
+
+@query(f"""with recursive {EV}, {TOP}, o as (select mz, intensity, row_number() over (order by mz, spectrum_id, pos) k from t3),
+ f as (select k, mz, intensity, mz anchor, 1 bin from o where k=1 union all
+ select o.k, o.mz, o.intensity, case when o.mz-f.anchor<=0.05e0 then f.anchor else o.mz end, case when o.mz-f.anchor<=0.05e0 then f.bin else f.bin+1 end from f join o on o.k=f.k+1)
+ select round(avg(mz),6) mz, round(avg(intensity),6) intensity, count(*) n from f group by bin having count(*)>=2""")
+def bins_anchor(spark, sf):
+    rows = peaks.anchor_bins(_top(spark, sf), 0.05, min_peaks=2)
+    return rows.select(F.round("mz", 6).alias("mz"), F.round("intensity", 6).alias("intensity"), "n")
+
+
+@query(f"with {EV}, {TOP}, {CHAIN.format(t='t3')}, b as (select seg, min(mz) lo from c group by 1) select spectrum_id, round(lo,6) mz_lo, max(intensity) \"value\" from c join b using (seg) group by 1, 2")
+def feature_matrix_long(spark, sf):
+    rows = peaks.chain_segments(_top(spark, sf), 0.05)
+    low = rows.groupBy("segment").agg(F.round(F.min("mz"), 6).alias("mz_lo"))
+    return peaks.features(rows, "segment").join(low, "segment").select("spectrum_id", "mz_lo", "value")
+
+
+@query(f"with {EV}, {UNI.format(t='p')}, v as (select spectrum_id, bin, max(intensity) i from u where bin<=100 group by 1, 2), n as (select count(distinct spectrum_id) n from p) select bin, count(*) present from v, n where i>0 group by bin, n having count(*)>=ceil(0.5e0*n)")
+def frequency_filter(spark, sf):
+    p = pts_ev(spark, sf)
+    total = p.agg(F.countDistinct("spectrum_id").alias("total"))
+    rows = peaks.features(peaks.uniform_bins(p, 100), "bin").where("value > 0").groupBy("bin").agg(F.count("*").alias("present"))
+    return rows.crossJoin(F.broadcast(total)).where(F.col("present") >= F.ceil(0.5 * F.col("total"))).select("bin", "present")
+
+
+def _triq_sql(by: str) -> str:
+    key, on = (f"{by}, ", f"using ({by})") if by else ("", "on true")
+    part = f"partition by {by} " if by else ""
+    group = f"group by {by}" if by else ""
+    return f"""bs as (select {key}min(intensity) low, max(intensity) up, count(*) total from img {group}),
+ bn as (select img.*, low, total, case when up-low+1>=100 then (up-low)/99 else 1.0e0 end step, case when up-low+1>=100 then low else floor(low) end start from img join bs {on}),
+ ct as (select {key}floor((intensity-start)/step) bin, step, start, total, count(*) n from bn group by all),
+ cu as (select *, abs(0.98e0-(sum(n) over ({part}order by bin))/total) off from ct),
+ ed as (select {key}arg_min(start+(bin+1)*step, struct_pack(a:=off, b:=bin)) edge from cu {group}),
+ hb as (select {key}max(intensity) high from img join ed {on} where intensity<edge {group}),
+ bd as (select {key}low, coalesce(high, low) high from bs left join hb {on})"""
+
+
+@query(f"with {EV}, {IMAGE}, {_triq_sql('')} select low, high from bd")
+def triq_bounds(spark, sf):
+    return imaging.outlier_bounds(ion_image(spark, sf))
+
+
+LEVEL = "cast(case when low>=high or intensity<=low then 0 when intensity>=high then 255 else ceil((intensity-low)/((high-low)/255)) end as int) level"
+
+
+@query(f"with {EV}, {IMAGE}, {_triq_sql('')} select x, y, intensity, {LEVEL} from img, bd")
+def triq_quantize(spark, sf):
+    return imaging.triq(ion_image(spark, sf))
+
+
+@query(f"with {EV}, {IMAGE} select x, y, intensity, cast(round_even(greatest(0, least(255, intensity*255/max(intensity) over ())), 0) as int) level from img")
+def quantize_linear(spark, sf):
+    return imaging.quantize_linear(ion_image(spark, sf))
+
+
+@query(f"with {EV}, {MULTI}, {_triq_sql('mass')} select mass, low, high from bd")
+def shared_bounds(spark, sf):
+    return imaging.outlier_bounds(ion_images_multi(spark, sf), by=("mass",))
+
+
+@query(f"""with {EV}, {IMAGE}, z as (select max(x) w, max(y) h from img), g as (select w, h, cast(a as int) x, cast(b as int) y from z, range(1, 10000) r(a), range(1, 10000) q(b) where a<=w and b<=h),
+ n as (select g.x, g.y, least(w, greatest(1, g.x+dx)) nx, least(h, greatest(1, g.y+dy)) ny from g, (select unnest([-1,0,1]) dx), (select unnest([-1,0,1]) dy))
+ select n.x, n.y, median(coalesce(intensity, 0)) intensity from n left join img on img.x=nx and img.y=ny group by 1, 2""")
+def image_median3(spark, sf):
+    return imaging.median3(ion_image(spark, sf))
+
+
+@query(f"with {EV}, k as (select spectrum_id, case when spectrum_id%3=0 then 'CENTROID' else 'PROFILE' end mode from p group by 1) select case when count(distinct mode)>1 then 'mixed' else max(mode) end mode, count(*) n, count(*) filter (where mode='PROFILE')>count(*)/2.0 profile_plot from k")
+def instrument_modes(spark, sf):
+    rows = pts_ev(spark, sf).select("spectrum_id", F.when(F.col("spectrum_id") % 3 == 0, "CENTROID").otherwise("PROFILE").alias("mode")).distinct()
+    return rows.agg(F.when(F.countDistinct("mode") > 1, "mixed").otherwise(F.max("mode")).alias("mode"), F.count("*").alias("n"), (F.count_if(F.col("mode") == "PROFILE") > F.count("*") / 2).alias("profile_plot"))
+
+
+@query(f"with {EM}, d as (select spectrum_id, mz-lag(mz) over {ORD}) dm from p), s as (select spectrum_id, avg(dm) m from d group by 1) select round(avg(m), 6) mean_step, coalesce(stddev_samp(m)/avg(m)<0.01, false) regular from s")
+def mz_axis_regular(spark, sf):
+    steps = pts_em(spark, sf).withColumn("dm", F.col("mz") - F.lag("mz").over(signal.ORDERED)).groupBy("spectrum_id").agg(F.avg("dm").alias("m"))
+    return steps.agg(F.round(F.avg("m"), 6).alias("mean_step"), F.coalesce(F.stddev_samp("m") / F.avg("m") < 0.01, F.lit(False)).alias("regular"))
+
+
+def _scans(spark, sf):
+    p = spark.read.parquet(f"{sf}/events.parquet")
+    return p.where("event_id < 700").select((F.col("event_id") + 1).alias("scan"), (F.col("event_id") * 40).alias("t"))
+
+
+def _pixels(spark, sf):
+    p = spark.read.parquet(f"{sf}/events.parquet")
+    return p.where("event_id < 700 and event_id % 7 = 0").select((F.col("event_id") / 7 + 1).cast("long").alias("pixel"), (F.col("event_id") * 41 + 13).alias("t"))
+
+
+SCANS = "sc as (select event_id+1 scan, event_id*40 t from events where event_id<700), px as (select cast(event_id/7+1 as bigint) pixel, event_id*41+13 t from events where event_id<700 and event_id%7=0)"
+TIMES = """kk as (select pixel, px.t, (select count(*) from sc where sc.t<px.t) k, (select count(*) from sc) n from px),
+ mm as (select *, greatest(1, k) la, greatest(1, lag(k, 1, 1) over (order by pixel)) pf, max(case when k>=n then 1 else 0 end) over (order by pixel rows unbounded preceding) spent from kk),
+ ma as (select pixel, t, case when spent=1 then n+1 else least(la, pf) end first_scan, case when spent=1 then n else la end last_scan from mm)"""
+
+
+@query(f"with {SCANS}, {TIMES} select pixel, t, first_scan, last_scan from ma")
+def scan_pixel_match(spark, sf):
+    return convert.match_times(_scans(spark, sf), _pixels(spark, sf))
+
+
+@query(f"""with {SCANS}, {TIMES}, pd as (select *, greatest(coalesce(lead(t) over (order by pixel)-t, t-lag(t) over (order by pixel), 1), 1) dp from ma),
+ sd as (select scan, t ts, greatest(coalesce(lead(t) over (order by scan)-t, t-lag(t) over (order by scan), 1), 1) ds from sc),
+ wt as (select pixel, scan, greatest(0.0e0, case when first_scan=last_scan then dp/ds when scan=first_scan then (ts+ds-t)/ds when scan=last_scan then (t+dp-ts)/ds else 1.0e0 end) weight
+ from pd join sd on scan between first_scan and last_scan),
+ q as (select event_id%700+1 scan, event_id%50 pos, sum("value") intensity from events group by 1, 2)
+ select pixel, pos, round(sum(weight*intensity), 6) intensity from wt join q using (scan) group by 1, 2""")
+def render_pixel(spark, sf):
+    scans, pixels = _scans(spark, sf), _pixels(spark, sf)
+    points = spark.read.parquet(f"{sf}/events.parquet").groupBy((F.col("event_id") % 700 + 1).alias("scan"), (F.col("event_id") % 50).alias("pos")).agg(F.sum("value").alias("intensity"))
+    rows = convert.render(convert.scan_weights(convert.match_times(scans, pixels), scans), points)
+    return rows.select("pixel", "pos", F.round("intensity", 6).alias("intensity"))
+
+
+@query(f"with {EV}, {STATS} select \"SpectrumID\" from st where 100.5e0>=\"MinMZ\" and 99.5e0<=\"MaxMZ\"")
+def candidate_prune(spark, sf):
+    return imaging.candidates(spectra.statistics(pts_ev(spark, sf)), 100.0, 0.5).select("SpectrumID")
+
+
+@query(f"""with {EV}, {STATS} select count(*) n_spectra, round(min("MinMZ"),4) min_mz, round(max("MaxMZ"),4) max_mz, round(avg("TIC"),4) mean_tic, round(avg("BPI"),4) mean_bpi, round(avg("NumPoints"),4) mean_points,
+ count(*) filter (where "Mode"='PROFILE') n_profile, count(*) filter (where "Mode"='CENTROID') n_centroid from st""")
+def metadata_summary(spark, sf):
+    return spectra.metadata_summary(spectra.statistics(pts_ev(spark, sf)))
