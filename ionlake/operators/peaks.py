@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionlake.operators.signal import EPS, ORDERED, noise
+from ionlake.operators.signal import EPS, noise, ordered
 
 
 def centroid_peaks(points: DataFrame, snr: float) -> DataFrame:
@@ -16,10 +16,10 @@ def centroid_peaks(points: DataFrame, snr: float) -> DataFrame:
 
 def peak_candidates(points: DataFrame, half: int, snr: float, prominence: float) -> DataFrame:
     """Interior local maxima above noise that rise over the lowest point on either side by a share of their height."""
-    frame, n = ORDERED.rowsBetween(-half, half), F.count("*").over(Window.partitionBy("spectrum_id"))
+    frame, n = ordered().rowsBetween(-half, half), F.count("*").over(Window.partitionBy("spectrum_id"))
     rows = points.join(noise(points), "spectrum_id").select(
-        "*", F.max("intensity").over(frame).alias("top"), F.min("intensity").over(ORDERED.rowsBetween(-half, 0)).alias("left"), F.min("intensity").over(ORDERED.rowsBetween(0, half)).alias("right"),
-        F.row_number().over(ORDERED).alias("rank"), n.alias("n"),
+        "*", F.max("intensity").over(frame).alias("top"), F.min("intensity").over(ordered().rowsBetween(-half, 0)).alias("left"), F.min("intensity").over(ordered().rowsBetween(0, half)).alias("right"),
+        F.row_number().over(ordered()).alias("rank"), n.alias("n"),
     )
     i = F.col("intensity")
     return rows.where((F.col("rank") > 1) & (F.col("rank") < F.col("n")) & (i >= F.col("top")) & (i > snr * (F.col("noise") + EPS)) & (i - F.greatest("left", "right") > prominence * i)).select("spectrum_id", "pos", "mz", "intensity")

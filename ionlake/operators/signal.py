@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = sys.float_info.epsilon
 MAD_SCALE = 1.4826022185
-_W = Window.partitionBy("spectrum_id")
-ORDERED = _W.orderBy("mz", "pos")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("spectrum_id")
+
+
+def ordered() -> WindowSpec:
+    return whole().orderBy("mz", "pos")
 
 
 def transform(method: str, value: str = "intensity") -> Column:
@@ -40,23 +46,23 @@ def pqn(points: DataFrame) -> DataFrame:
 def moving_average(points: DataFrame, window: int) -> DataFrame:
     """Centred mean, the frame cut at the ends; spectra shorter than the window stay as they are."""
     half = window // 2
-    mean = F.avg("intensity").over(ORDERED.rowsBetween(-half, half))
-    return points.withColumn("smooth", F.when(F.count("*").over(_W) < window, F.col("intensity")).otherwise(mean))
+    mean = F.avg("intensity").over(ordered().rowsBetween(-half, half))
+    return points.withColumn("smooth", F.when(F.count("*").over(whole()) < window, F.col("intensity")).otherwise(mean))
 
 
 def median_baseline(points: DataFrame, window: int) -> DataFrame:
     half = window // 2
-    frame = F.sort_array(F.collect_list("intensity").over(ORDERED.rowsBetween(-half, half)))
+    frame = F.sort_array(F.collect_list("intensity").over(ordered().rowsBetween(-half, half)))
     n = F.size(frame)
     base = (frame[F.floor((n - 1) / 2).cast("int")] + frame[F.floor(n / 2).cast("int")]) / 2
-    return points.withColumn("baseline", F.when(F.count("*").over(_W) < window, F.lit(0.0)).otherwise(base))
+    return points.withColumn("baseline", F.when(F.count("*").over(whole()) < window, F.lit(0.0)).otherwise(base))
 
 
 def snip(points: DataFrame, rounds: int) -> DataFrame:
     """Iterated clipping with radius 1: each value falls to the mean of its neighbours of the round before, the ends to their neighbour."""
     out = points.withColumn("baseline", F.col("intensity"))
     for _ in range(rounds):
-        left, right = F.lag("baseline").over(ORDERED), F.lead("baseline").over(ORDERED)
+        left, right = F.lag("baseline").over(ordered()), F.lead("baseline").over(ordered())
         middle = F.when(left.isNull(), right).when(right.isNull(), left).otherwise(0.5 * (left + right))
         out = out.select(*points.columns, F.least("baseline", F.coalesce(middle, F.col("baseline"))).alias("baseline"))
     return out
@@ -64,7 +70,7 @@ def snip(points: DataFrame, rounds: int) -> DataFrame:
 
 def smooth_quadratic5(points: DataFrame) -> DataFrame:
     """The five-point quadratic smoother where it has all its points."""
-    at = lambda k: F.lag("intensity", -k).over(ORDERED) if k else F.col("intensity")
+    at = lambda k: F.lag("intensity", -k).over(ordered()) if k else F.col("intensity")
     value = (-3 * at(-2) + 12 * at(-1) + 17 * at(0) + 12 * at(1) - 3 * at(2)) / 35
     return points.withColumn("smooth", value).where("smooth is not null")
 

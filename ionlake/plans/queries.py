@@ -364,7 +364,7 @@ def instrument_modes(spark, sf):
 
 @query(f"with {EM}, d as (select spectrum_id, mz-lag(mz) over {ORD}) dm from p), s as (select spectrum_id, avg(dm) m from d group by 1) select round(avg(m), 6) mean_step, coalesce(stddev_samp(m)/avg(m)<0.01, false) regular from s")
 def mz_axis_regular(spark, sf):
-    steps = pts_em(spark, sf).withColumn("dm", F.col("mz") - F.lag("mz").over(signal.ORDERED)).groupBy("spectrum_id").agg(F.avg("dm").alias("m"))
+    steps = pts_em(spark, sf).withColumn("dm", F.col("mz") - F.lag("mz").over(signal.ordered())).groupBy("spectrum_id").agg(F.avg("dm").alias("m"))
     return steps.agg(F.round(F.avg("m"), 6).alias("mean_step"), F.coalesce(F.stddev_samp("m") / F.avg("m") < 0.01, F.lit(False)).alias("regular"))
 
 
@@ -411,3 +411,53 @@ def candidate_prune(spark, sf):
  count(*) filter (where "Mode"='PROFILE') n_profile, count(*) filter (where "Mode"='CENTROID') n_centroid from st""")
 def metadata_summary(spark, sf):
     return spectra.metadata_summary(spectra.statistics(pts_ev(spark, sf)))
+
+
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return as_spectra(pts_em(spark, sf))
+
+
+def _kernel(*steps):
+    """Rows-only queries: kernels that SQL does not express."""
+    from ionlake.plans.preprocessing import run_steps
+
+    return lambda spark, sf: run_steps(_profiles(spark, sf), list(steps))[0]
+
+
+def _peaks_of(*steps):
+    from ionlake.plans.preprocessing import peak_rows
+
+    return lambda spark, sf: peak_rows(_kernel(*steps)(spark, sf))
+
+
+def _register() -> None:
+    from ionlake.plans.advisor import recommend
+    from ionlake.plans.preprocessing import Step, peak_rows, run_steps
+
+    pick = Step("peak_picking", {"method": "profile", "snr": 1.0, "half_window": 3})
+
+    def hull_baseline(spark, sf):
+        return _kernel(Step("baseline_correction", {"method": "convex_hull"}))(spark, sf).select("spectrum_id", "intensity")
+
+    def snip_baseline(spark, sf):
+        return _kernel(Step("baseline_correction", {"method": "snip", "iterations": 100}))(spark, sf).select("spectrum_id", "intensity")
+
+    def fwhm_r2(spark, sf):
+        return _peaks_of(pick)(spark, sf).select("spectrum_id", "mz", "fwhm", "shape_r2")
+
+    def pipeline_full(spark, sf):
+        steps = [Step("stabilization"), Step("smoothing", {"window": 5}), Step("baseline_correction", {"iterations": 20}), Step("normalization"), pick, Step("peak_selection", {"min_snr": 1.0}), Step("peak_alignment", {"method": "linear"}), Step("peak_binning", {"tolerance": 0.05})]
+        return run_steps(_profiles(spark, sf), steps)[1]
+
+    def advisor(spark, sf):
+        rows = [(k, n, str(v)) for k, d in recommend(pts_em(spark, sf).drop("region"), [110.0, 120.0]).items() for n, v in d.items()]
+        return spark.createDataFrame(rows, "step string, name string, value string")
+
+    QUERIES.update({"peaks_profile": _peaks_of(pick), "peaks_wavelet": _peaks_of(Step("peak_picking", {"method": "wavelet", "snr": 1.0}))})
+    for method in ("linear", "lowess", "ransac"):
+        QUERIES[f"align_{method}"] = lambda spark, sf, m=method: peak_rows(run_steps(_profiles(spark, sf), [pick, Step("peak_alignment", {"method": m, "tol": 0.6})])[0]).select("spectrum_id", "pos", "mz")
+    for f in (hull_baseline, snip_baseline, fwhm_r2, pipeline_full, advisor):
+        QUERIES[f.__name__] = f
+
+
+_register()
