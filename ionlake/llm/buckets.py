@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ionlake.llm.common import Scratch
 from ionlake.llm.graph import components
 
-ROUNDS = 3
+#: Pairs that comparing in full may form, as a multiple of the rows in buckets; beyond, another centre is tried first.
+FULL = 4
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -19,35 +20,51 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket")
 
 
+def _crossing(placed: DataFrame) -> float:
+    """Pairs in one bucket and different components, counted from the components' sizes."""
+    sizes = placed.groupBy("bucket", "part").agg(F.count("*").cast("double").alias("n"))
+    crossed = sizes.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("c"))
+    return crossed.agg(F.sum("c")).first()[0] or 0.0
+
+
 def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int) -> DataFrame | None:
     """(node, component) of all nodes that have a confirmed link to a member of one of their buckets.
 
     ``members`` has (bucket, id, n), n the size of the id's set, and is written down; ``confirm`` keeps the
-    pairs (u, v) that are links. In each of ROUNDS rounds every bucket compares its members with one centre,
-    chosen by hash anew for every bucket and round, unless they are in the centre's component by then. What
-    stays in different components of one bucket is then compared in full. Pairs whose set sizes rule the
+    pairs (u, v) that are links. A round compares each bucket's members with one centre, chosen by hash anew for
+    every bucket and round, unless they are in the centre's component by then. When the pairs that stay in
+    different components of one bucket are few enough, they are compared in full, and that is the end. A centre
+    that was compared with all its bucket leaves it, so the rounds end too. Pairs whose set sizes rule the
     threshold out are not formed; none is confirmed twice.
     """
     kind = members.schema["id"].dataType.simpleString()
     none = members.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
-    links, tried, found = none, none, None
-    for k in range(ROUNDS + 1):
+    tried, found, done, rows, k, last = none, None, None, members.count(), 0, False
+    while rows and not last:
         placed = members.withColumn("part", F.col("id"))
         if found is not None:
             placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        if done is not None:
+            placed = placed.join(done, ["bucket", "id"], "left_anti")
+        if k:
             several = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-            placed = placed.join(several, "bucket")
-        if k < ROUNDS:
-            centre = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("order"), "id", "n", "part")).alias("c"))
-            rows = placed.join(centre, "bucket").where("id <> c.id and part <> c.part").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c.id").alias("b"), F.col("c.n").alias("n_b"))
-        else:
+            placed = scratch.keep(placed.join(several, "bucket"))
+            last = _crossing(placed) <= FULL * rows
+        if last:
             one, other = (placed.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
-            rows = one.join(other, "bucket").where("part_a < part_b")
+            meets = one.join(other, "bucket").where("part_a < part_b")
+        else:
+            centre = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("order"), "id", "n", "part")).alias("c"))
+            centre = scratch.keep(centre)
+            meets = placed.join(centre, "bucket").where("id <> c.id and part <> c.part").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c.id").alias("b"), F.col("c.n").alias("n_b"))
+            spent = centre.select("bucket", F.col("c.id").alias("id"))
+            done = spent if done is None else done.union(spent)
         fits = (F.col("a") != F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        pairs = rows.where(fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        pairs = meets.where(fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         fresh = scratch.keep(pairs.join(tried, ["u", "v"], "left_anti"))
-        if not fresh.head(1):
-            continue
-        links, tried = links.union(scratch.keep(confirm(fresh))), tried.union(fresh)
-        found = scratch.keep(components(links, scratch))
+        k += 1
+        if fresh.head(1):
+            linked, tried = scratch.keep(confirm(fresh)), tried.union(fresh)
+            links = linked if found is None else found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(linked)
+            found = scratch.keep(components(links, scratch))
     return found

@@ -23,6 +23,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+#: Edges that one task of a round's last stage may get; few edges need few tasks.
+EDGES_A_TASK = 200_000
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges lead to roots: no node has two of them, and none is both ends of different ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    degrees = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not degrees.where("down > 1 or (down = 1 and up = 1)").head(1)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
 
@@ -30,19 +41,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     very many links stays a partial aggregate and a join that adaptive execution can split. Each round is
     written to the shared folder; the rounds grow with the logarithm of the longest path.
     """
-    now, path = scratch.write(
-        edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-
-    def mark(frame: DataFrame):
-        return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = mark(now)
-    while before[0]:
-        after, new = scratch.write(_small_star(_large_star(now)))
+    down = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now, path = scratch.write(down)
+    while not _settled(now):
+        tasks = 1 + now.count() // EDGES_A_TASK
+        after, new = scratch.write(_small_star(_large_star(now)).coalesce(tasks))
         scratch.drop(path)
-        now, path, seen = after, new, mark(after)
-        if seen == before:
-            break
-        before = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+        now, path = after, new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), (F.col("v")).alias("w")).distinct())
