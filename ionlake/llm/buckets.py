@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ionlake.llm.common import Scratch
 from ionlake.llm.graph import components
 
-#: Pairs that comparing in full may form, as a multiple of the rows in buckets; beyond, another centre is tried first.
-FULL = 4
+#: Pairs that comparing in full may form, as a multiple of the rows in buckets; beyond, another centre is tried
+#: first, as long as the last one left no more than this share of the pairs before it.
+FULL, WORTH = 0.5, 0.8
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, id, ...) whose bucket holds more than one."""
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    """The rows (bucket, id, ...) whose bucket holds more than one, with the number that it holds."""
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     return rows.join(shared, "bucket")
 
 
@@ -30,16 +31,19 @@ def _crossing(placed: DataFrame) -> float:
 def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int) -> DataFrame | None:
     """(node, component) of all nodes that have a confirmed link to a member of one of their buckets.
 
-    ``members`` has (bucket, id, n), n the size of the id's set, and is written down; ``confirm`` keeps the
-    pairs (u, v) that are links. A round compares each bucket's members with one centre, chosen by hash anew for
-    every bucket and round, unless they are in the centre's component by then. When the pairs that stay in
-    different components of one bucket are few enough, they are compared in full, and that is the end. A centre
-    that was compared with all its bucket leaves it, so the rounds end too. Pairs whose set sizes rule the
-    threshold out are not formed; none is confirmed twice.
+    ``members`` has (bucket, id, n, members), n the size of the id's set and members that of the bucket;
+    ``confirm`` keeps the pairs (u, v) that are links. A round compares each bucket's members with one centre,
+    the one that meets most others over all its buckets (the text that the copies were made from, say), unless
+    they are in the centre's component by then. When the pairs that stay in different components of one bucket
+    are few enough, or another centre would not help, they are compared in full, and that is the end. A centre
+    that was compared with all its bucket leaves it. Pairs whose set sizes rule the threshold out are not
+    formed; none is confirmed twice.
     """
     kind = members.schema["id"].dataType.simpleString()
     none = members.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
-    tried, found, done, rows, k, last = none, None, None, members.count(), 0, False
+    degrees = members.groupBy("id").agg(F.sum("members").alias("degree"))
+    members = scratch.keep(members.drop("members").join(degrees, "id"))
+    tried, found, done, rows, k, last, before = none, None, None, members.count(), 0, False, float("inf")
     while rows and not last:
         placed = members.withColumn("part", F.col("id"))
         if found is not None:
@@ -49,12 +53,13 @@ def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
         if k:
             several = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
             placed = scratch.keep(placed.join(several, "bucket"))
-            last = _crossing(placed) <= FULL * rows
+            crossing = _crossing(placed)
+            last, before = crossing <= FULL * rows or crossing > WORTH * before, crossing
         if last:
             one, other = (placed.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
             meets = one.join(other, "bucket").where("part_a < part_b")
         else:
-            centre = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("order"), "id", "n", "part")).alias("c"))
+            centre = placed.groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("id", "bucket").alias("order"), "id", "n", "part")).alias("c"))
             centre = scratch.keep(centre)
             meets = placed.join(centre, "bucket").where("id <> c.id and part <> c.part").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c.id").alias("b"), F.col("c.n").alias("n_b"))
             spent = centre.select("bucket", F.col("c.id").alias("id"))
