@@ -4,6 +4,7 @@ Each hash evaluation of a shingle set yields two signature values, its least and
 give 80 values. Bands of four (two functions' least and greatest) put documents into buckets. A bucket is
 never expanded into pairs: its members are compared with one centre, another in every band and round, and
 linked if the full sets agree. What the rounds leave in different components of one bucket is compared in full.
+Parity sketches, which bound from below in how many shingles two sets differ, spare most of the other pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.buckets import linked_components, shared_buckets
+from ionlake.llm.buckets import SKETCH, linked_components, shared_buckets
 from ionlake.llm.common import Scratch, slices, text_of
 
 FUNCTIONS, BANDS = 40, 20
@@ -66,6 +67,12 @@ def signature(of: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(of: np.ndarray) -> np.ndarray:
+    """The parity sketch: of each of 64 * SKETCH classes of hashes, whether the set holds an odd number."""
+    odd = np.bincount((of % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands_of(signatures: np.ndarray) -> np.ndarray:
     """(documents, BANDS) keys from (documents, FUNCTIONS, 2)."""
     grouped = signatures.reshape(len(signatures), BANDS, -1)
@@ -81,21 +88,23 @@ def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set) and the keys of its bands."""
+    """doc_id, n_shingles, set_key (a digest of the whole set), the keys of its bands and its parity sketch."""
+
+    def lists(rows: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(rows).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sizes, keys, signatures = [], [], np.empty((batch.num_rows, FUNCTIONS, 2), dtype=np.uint64)
+            sizes, keys, odd, signatures = [], [], np.empty((batch.num_rows, SKETCH), dtype=np.int64), np.empty((batch.num_rows, FUNCTIONS, 2), dtype=np.uint64)
             for i, text in enumerate(batch.column(1)):
                 found = shingles(text.as_py(), words)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-                signatures[i] = signature(found)
-            flat = pa.array(np.ascontiguousarray(bands_of(signatures)).ravel())
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * batch.num_rows + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), bands], names=["doc_id", "n_shingles", "set_key", "bands"])
+                signatures[i], odd[i] = signature(found), parity(found)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(bands_of(signatures)), lists(odd)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -129,9 +138,9 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     scratch = Scratch(docs.sparkSession, "minmax")
     sketched = scratch.keep(sketches(docs, words))
     real = sketched.where("doc_id is not null and n_shingles > 0")
-    reps = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    reps = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     buckets = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
-    members = scratch.keep(shared_buckets(buckets))
+    members = scratch.keep(shared_buckets(buckets).join(reps.select(F.col("rep").alias("id"), "sketch"), "id"))
     ids = members.select(F.col("id").alias("rep")).distinct()
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(ids, "rep").dropDuplicates(["rep"]))
     found = linked_components(members, lambda pairs: confirmed(pairs, texts, words, percent), scratch, percent)
