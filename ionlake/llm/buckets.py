@@ -21,12 +21,8 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket")
 
 
-#: 64-bit words of a parity sketch.
-SKETCH = 16
-
-
-def _alike(percent: int, sketched: bool):
-    """Whether sets a and b can be alike enough by their sizes n and, if ``sketched``, their parity sketches.
+def _alike(percent: int, sketched: int):
+    """Whether sets a and b can be alike enough by their sizes n and, if ``sketched``, their parity sketches of so many 64-bit words.
 
     An element flips one bit of its set's sketch, so two sets differ in at least as many elements as their
     sketches do in bits; alike ones differ in at most (100 - percent) / (100 + percent) of both sizes' sum.
@@ -34,7 +30,7 @@ def _alike(percent: int, sketched: bool):
     fits = (F.col("a") != F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     if not sketched:
         return fits
-    apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH)), F.lit(0))
+    apart = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(sketched)), F.lit(0))
     return fits & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
@@ -45,12 +41,14 @@ def _crossing(placed: DataFrame) -> float:
     return crossed.agg(F.sum("c")).first()[0] or 0.0
 
 
-def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int) -> DataFrame | None:
+def linked_components(
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, sketches: Callable[[DataFrame], DataFrame], words: int
+) -> DataFrame | None:
     """(node, component) of all nodes that have a confirmed link to a member of one of their buckets.
 
-    ``members`` has (bucket, id, n, members), n the size of the id's set and members that of the bucket, and
-    maybe ``sketch``, the parity sketch of the id's set;
-    ``confirm`` keeps the pairs (u, v) that are links. A round compares each bucket's members with one centre,
+    ``members`` has (bucket, id, n, members), n the size of the id's set and members that of the bucket;
+    ``sketches`` gives (id, sketch), parity sketches of ``words`` longs, for a table of ids, and is asked only for
+    ids that are compared in full; ``confirm`` keeps the pairs (u, v) that are links. A round compares each bucket's members with one centre,
     the one that meets most others over all its buckets (the text that the copies were made from, say), unless
     they are in the centre's component by then. When the pairs that stay in different components of one bucket
     are few enough, or another centre would not help, they are compared in full, and that is the end. A centre
@@ -58,7 +56,6 @@ def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
     are not formed; none is confirmed twice.
     """
     kind = members.schema["id"].dataType.simpleString()
-    extra = ["sketch"] if "sketch" in members.columns else []
     none = members.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
     degrees = members.groupBy("id").agg(F.sum("members").alias("degree"))
     members = scratch.keep(members.drop("members").join(degrees, "id"))
@@ -75,15 +72,16 @@ def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFra
             crossing = _crossing(placed)
             last, before = crossing <= FULL * rows or crossing > WORTH * before, crossing
         if last:
-            one, other = (placed.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}"), *[F.col(e).alias(f"{e}_{x}") for e in extra]) for x in "ab")
+            placed = placed.join(scratch.keep(sketches(placed.select("id").distinct())), "id")
+            one, other = (placed.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("part").alias(f"part_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
             meets = one.join(other, "bucket").where("part_a < part_b")
         else:
-            centre = placed.groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("id", "bucket").alias("order"), "id", "n", "part", *extra)).alias("c"))
+            centre = placed.groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("id", "bucket").alias("order"), "id", "n", "part")).alias("c"))
             centre = scratch.keep(centre)
-            meets = placed.join(centre, "bucket").where("id <> c.id and part <> c.part").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), *[c.alias(f"{e}_{x}") for e in extra for x, c in (("a", F.col(e)), ("b", F.col(f"c.{e}")))])
+            meets = placed.join(centre, "bucket").where("id <> c.id and part <> c.part").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c.id").alias("b"), F.col("c.n").alias("n_b"))
             spent = centre.select("bucket", F.col("c.id").alias("id"))
             done = spent if done is None else done.union(spent)
-        pairs = meets.where(_alike(percent, bool(extra))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        pairs = meets.where(_alike(percent, words if last else 0)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         fresh = scratch.keep(pairs.join(tried, ["u", "v"], "left_anti"))
         k += 1
         if fresh.head(1):

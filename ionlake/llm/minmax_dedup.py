@@ -17,10 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.buckets import SKETCH, linked_components, shared_buckets
+from ionlake.llm.buckets import linked_components, shared_buckets
 from ionlake.llm.common import Scratch, slices, text_of
 
 FUNCTIONS, BANDS = 40, 20
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
@@ -140,10 +142,11 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     real = sketched.where("doc_id is not null and n_shingles > 0")
     reps = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     buckets = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
-    members = scratch.keep(shared_buckets(buckets).join(reps.select(F.col("rep").alias("id"), "sketch"), "id"))
+    members = scratch.keep(shared_buckets(buckets))
     ids = members.select(F.col("id").alias("rep")).distinct()
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(ids, "rep").dropDuplicates(["rep"]))
-    found = linked_components(members, lambda pairs: confirmed(pairs, texts, words, percent), scratch, percent)
+    sketch_of = reps.select(F.col("rep").alias("id"), "sketch")
+    found = linked_components(members, lambda pairs: confirmed(pairs, texts, words, percent), scratch, percent, lambda wanted: sketch_of.join(wanted, "id"), SKETCH)
     classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     if found is not None:
         classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
