@@ -5,9 +5,8 @@ character shingles; bands of four values make buckets; the lines of a bucket are
 exact Jaccard similarity of all their 5-character shingles; the components of those links keep their first line.
 Pairs that no centre settles are first bounded by parity sketches of their shingles.
 
-Signatures of longer lines read the 6-character shingles that start a word, a sample that moves with the text
-and so keeps its similarity; short lines and text without spaces use every 5-character shingle. A shingle is
-hashed once; 40 orders of the hashes come from eight rotations and five flips of its bits.
+Signatures read every 5-character shingle of every line, the same sets that are compared. A shingle is hashed
+once; 40 orders of the hashes come from eight rotations and five flips of its bits.
 """
 
 from __future__ import annotations
@@ -19,23 +18,19 @@ from ionlake.llm.buckets import linked_components, shared_buckets
 from ionlake.llm.common import Scratch, text_of
 
 PERCENT, SHINGLE = 80, 5
-SHORT, SPARSE = 120, 12
 BANDS, ROWS = 10, 4
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 _ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
-_AT_WORDS = r"(?s)(?<!\S)(?=(\S.{5}))"
 
 
-def _shingles(line: Column) -> Column:
-    """All distinct 5-character shingles; a shorter line is its own."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1))))
+def _all_shingles(line: Column) -> Column:
+    """The 5-character shingle at every place; a shorter line is its own."""
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
 
 
-def _sampled(line: Column) -> Column:
-    at_words = F.regexp_extract_all(line, F.lit(_AT_WORDS), F.lit(1))
-    dense = (F.length(line) >= SHORT) & (F.size(at_words) * SPARSE >= F.length(line))
-    return F.when(dense, at_words).otherwise(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1))))
+def _shingles(line: Column) -> Column:
+    return F.array_distinct(_all_shingles(line))
 
 
 def _flip(k: int) -> int:
@@ -71,13 +66,13 @@ def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return spark.table(name)
 
 
-def line_buckets(lines: DataFrame) -> DataFrame:
-    """(bucket, k1, k2): the bands of every line. The table's bucketing spares the aggregation a shuffle."""
-    hashed = lines.select("k1", "k2", F.explode(_sampled(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
+def line_bands(lines: DataFrame) -> DataFrame:
+    """(k1, k2, bands): the bands of every line. The table's bucketing spares the aggregation a shuffle."""
+    hashed = lines.select("k1", "k2", F.explode(_all_shingles(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
     values = hashed.select("k1", "k2", *[v.alias(f"v{k}") for k, v in enumerate(_orders("h"))])
     least = values.groupBy("k1", "k2").agg(*[F.min(f"v{k}").alias(f"m{k}") for k in range(BANDS * ROWS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("k1", "k2", F.explode(F.array(*bands)).alias("bucket"))
+    return least.select("k1", "k2", F.array(*bands).alias("bands"))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -101,7 +96,8 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, kept): the numbers, in order, of the lines that stay. Documents that keep none have no row."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = distinct_lines(docs, scratch)
-    shared = scratch.keep(shared_buckets(line_buckets(lines)))
+    bands = scratch.keep(line_bands(lines))
+    shared = scratch.keep(shared_buckets(bands.select("k1", "k2", F.explode("bands").alias("bucket"))))
     scratch.release()
     wanted = shared.select("k1", "k2").distinct()
     texts = scratch.keep(lines.join(wanted, ["k1", "k2"], "left_semi").select(F.col("at").alias("id"), "k1", "k2", "line"))

@@ -234,6 +234,21 @@ def test_lines_equal_brute_force(spark):
     assert all(texts[i] == "\n".join(t.split("\n")[k - 1] for k in got.get(i, [])) for i, t in rows)
 
 
+def test_lines_of_all_sizes_are_signed_alike(spark):
+    r, rows = random.Random(15), []
+    for k in range(20):
+        base = prose(700 + k, 40)
+        dense = (base[:118] + "q" if k % 2 else base[:120] + "q")[: 119 if k % 2 else 121]
+        other = dense + "." if k % 2 else dense[:100] + dense[102:]  # 119 and 120 characters, 121 and 119
+        words = "".join(r.choice("abcdefghij") for _ in range(150))
+        sparse = "".join(c + (" " if j % 14 == 13 else "") for j, c in enumerate(words))
+        for j, line in enumerate((dense, other, sparse, sparse[:70] + " " + sparse[71:] + " a b c")):
+            rows.append((100 * k + j, line))
+    sets = {i: {t[j : j + 5] for j in range(len(t) - 4)} for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) > 0.85 * len(sets[i] | sets[i + 1]) for i, _ in rows if i % 2 == 0)
+    assert line_dedup.kept_lines(docs(spark, rows)).count() == 40
+
+
 # op6
 
 
