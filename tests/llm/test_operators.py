@@ -344,6 +344,30 @@ def test_chains_find_passages(spark):
     assert abs(one["start_word"] - 30) <= 1 and abs(one["end_word"] - 110) <= 1 and abs(one["of_start"] - 60) <= 1 and one["identity"] > 0.9
 
 
+def test_passages_near_each_other_are_both_found(spark):
+    one, two, rows = prose(78, 60), prose(79, 60), []
+    for k, gap in enumerate((50, 100, 150, 250)):
+        for j in (0, 1):
+            rows.append((2 * k + j, " ".join([f"x{k}y " * 5 if j else "z " * 5, one.replace(" ", f"{k} "), prose(800 + 2 * k + j, gap), two.replace(" ", f"{k} ")])))
+    got = chaining.repeated_passages(docs(spark, rows)).collect()
+    for k in range(4):
+        mine = sorted((r["start_word"], r["end_word"]) for r in got if r["doc_id"] == 2 * k + 1 and r["of_doc_id"] == 2 * k)
+        gap = (50, 100, 150, 250)[k]
+        assert len(mine) == 2 and all(abs(x - y) <= 2 for g, w in zip(mine, [(5, 65), (65 + gap, 125 + gap)], strict=True) for x, y in zip(g, w, strict=True))
+
+
+def test_alike_runs_equal_quadratic_search():
+    r = random.Random(16)
+    for _ in range(200):
+        steps = [(r.randint(0, c), c) for c in (r.choice((3, 5, 8, 40)) for _ in range(r.randint(0, 14)))]
+        steps = [(c, c) if r.random() < 0.6 else (e, c) for e, c in steps]
+        ok = [(i, j) for i in range(len(steps) + 1) for j in range(i, len(steps) + 1) if sum(e - 0.8 * c for e, c in steps[i:j]) + 0.2 * chaining.K >= -1e-9]
+        got = chaining.alike_runs(steps)
+        width = lambda run: sum(c for _, c in steps[run[0] : run[1]])  # noqa: B023, E731
+        assert max(map(width, got)) == max(map(width, ok)) and set(got) <= set(ok)
+        assert [n for i, j in got for n in range(i, j + 1)] == list(range(len(steps) + 1))
+
+
 def test_chain_scores_equal_quadratic_search():
     r = random.Random(13)
     for _ in range(50):
