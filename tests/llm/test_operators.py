@@ -356,6 +356,19 @@ def test_passages_near_each_other_are_both_found(spark):
         assert len(mine) == 2 and all(abs(x - y) <= 2 for g, w in zip(mine, [(5, 65), (65 + gap, 125 + gap)], strict=True) for x, y in zip(g, w, strict=True))
 
 
+def test_passage_whose_halves_came_first_is_found(spark):
+    for seed in range(2):
+        passage = prose(900 + seed, 60).split()
+        parts = [passage[:30], passage[30:], passage, passage]
+        rows = [(k + 1, " ".join([prose(910 + 10 * seed + k, 40), *part, prose(990 + 10 * seed + k, 40)])) for k, part in enumerate(parts)]
+        words = {i: t.split() for i, t in rows}
+        runs = {i: {tuple(w[j : j + 51]) for j in range(len(w) - 50)} for i, w in words.items()}
+        want = {(i, of) for i, of in itertools.permutations(words, 2) if of < i and runs[i] & runs[of]}
+        got = {(r["doc_id"], r["of_doc_id"]): r for r in chaining.repeated_passages(docs(spark, rows)).collect()}
+        assert set(got) == want == {(4, 3)}
+        assert abs(got[4, 3]["start_word"] - 40) <= 1 and abs(got[4, 3]["end_word"] - 100) <= 1
+
+
 def test_alike_runs_equal_quadratic_search():
     r = random.Random(16)
     for _ in range(200):
