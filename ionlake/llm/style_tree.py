@@ -3,7 +3,8 @@
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are one node of
 the host's tree. A node's presentation importance is the entropy of the child sequences it shows, its content
 importance is one less the mean entropy of its texts over pages: what stands on all pages alike says nothing
-about any. Branches of low composite importance go, as do elements that HTML itself marks as no content.
+about any. Branches of low composite importance go, as do elements that HTML itself marks as no content. Class
+and id names that speak of something else than the article lower the importance of a branch.
 Hosts with few pages borrow the tree of all hosts.
 """
 
@@ -33,15 +34,20 @@ ROLES = re.compile(
 )
 HIDDEN = re.compile(r"display:none|visibility:hidden")
 MAIN = frozenset(("article", "main"))
+#: Elements whose names say nothing about what is in them.
+WHOLE = MAIN | {"html", "body"}
 
+#: What is left of a branch's importance where its name is a role.
+NAMED = 0.1
 GAMMA, LOW, FEW_PAGES, EVERYWHERE, WIDESPREAD = 0.9, 0.2, 8, "*", 4096
 
 
 class Node:
-    __slots__ = ("children", "gone", "inside", "out", "parent", "path", "sig", "size", "tag", "texts")
+    __slots__ = ("aside", "children", "gone", "holds", "inside", "out", "parent", "path", "sig", "size", "tag", "texts")
 
-    def __init__(self, tag: str, sig: str, parent: Node | None, out: bool) -> None:
+    def __init__(self, tag: str, sig: str, parent: Node | None, out: bool, aside: bool = False) -> None:
         self.tag, self.sig, self.parent, self.out = tag, sig, parent, out
+        self.aside, self.holds = aside, False  # named after a role, and around an element of MAIN
         self.inside = tag in MAIN or bool(parent and parent.inside)
         self.size, self.gone = 0, False
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else ''}/{sig}") >> 1
@@ -86,9 +92,12 @@ class Page(HTMLParser):
         given = dict(attrs)
         name = re.sub(r"\d+", "0", f"{given.get('class') or ''} {given.get('id') or ''}".lower()).strip()
         sig = f"{tag}.{'.'.join(sorted(name.split()))}"
-        out = self.at.out or tag in NO_CONTENT or (tag == "header" and not self.at.inside) or bool(ROLES.search(name)) or "hidden" in given or given.get("aria-hidden") == "true"
+        out = self.at.out or tag in NO_CONTENT or (tag == "header" and not self.at.inside) or "hidden" in given or given.get("aria-hidden") == "true"
         out = out or (given.get("role") or "") in ("navigation", "banner", "contentinfo", "complementary", "search") or bool(HIDDEN.search((given.get("style") or "").replace(" ", "")))
-        self.at = Node(tag, sig, self.at, out)
+        self.at = Node(tag, sig, self.at, out, tag not in WHOLE and bool(ROLES.search(name)))
+        node = self.at.parent if tag in MAIN else None
+        while node and not node.holds:
+            node.holds, node = True, node.parent
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -153,7 +162,8 @@ def importances(page: Page, tree: dict[int, tuple[int, float, float]]) -> dict[i
 def main_text(html: str | None, tree: dict[int, tuple[int, float, float]]) -> str:
     """The blocks of the article, or of all that is important where no element is marked as one.
 
-    A branch is judged as a whole, from the top down; one that holds most of the text that is left stays.
+    A branch is judged as a whole, from the top down; one that holds most of the text that is left stays. A role
+    as its name leaves NAMED of its importance, unless it holds an element of MAIN.
     """
     page = parsed(html)
     blocks = [(b, " ".join("".join(t for _, t in b).split())) for b in page.blocks if b]
@@ -168,7 +178,7 @@ def main_text(html: str | None, tree: dict[int, tuple[int, float, float]]) -> st
             node.parent.size += node.size
     scores = importances(page, tree)
     for node in order:
-        weak = node.tag not in MAIN and node.tag not in INLINE and node.parent is not None and 2 * node.size < page.root.size and scores[id(node)] < LOW
+        weak = node.tag not in MAIN and node.tag not in INLINE and node.parent is not None and 2 * node.size < page.root.size and scores[id(node)] * (NAMED if node.aside and not node.holds else 1) < LOW
         node.gone = weak or bool(node.parent and node.parent.gone)
     return " ".join(t for b, t in blocks if not b[0][0].gone)
 

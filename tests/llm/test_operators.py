@@ -299,6 +299,16 @@ def test_pages(spark):
     assert style_tree.main_texts(pages(spark, [])).count() == 0
 
 
+def test_names_of_wrappers_do_not_empty_a_page(spark):
+    said = lambda k: f"<p>Own words of page {k} that nobody else has at all</p><p>And more of them {k * 7} to read</p>"
+    side = "<div class='sidebar'><p>Links</p></div>"
+    pages_of = [lambda k: f"<body class='has-sidebar'>{said(k)}{side}</body>", lambda k: f"<body class='no-sidebar single'>{said(k)}{side}</body>", lambda k: f"<body><div id='page-with-sidebar'>{said(k)}{side}</div></body>"]
+    pages_of += [lambda k: f"<body><div class='post share'>{said(k)}</div>{side}</body>", lambda k: f"<body>{'<p>long</p>' * 50}<div class='share'><article>{said(k)}</article>{side}</div></body>"]
+    rows = [(100 * n + k, f"http://h{n}/", f(k), "", 0, 0) for n, f in enumerate(pages_of) for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, rows)).collect()}
+    assert all(got[100 * n + k] == f"Own words of page {k} that nobody else has at all And more of them {k * 7} to read" for n in range(5) for k in range(10))
+
+
 # op8
 
 
