@@ -39,7 +39,7 @@ WHOLE = MAIN | {"html", "body"}
 
 #: What is left of a branch's importance where its name is a role.
 NAMED = 0.1
-GAMMA, LOW, FEW_PAGES, EVERYWHERE, WIDESPREAD = 0.9, 0.2, 8, "*", 4096
+GAMMA, LOW, FEW_PAGES, EVERYWHERE = 0.9, 0.2, 8, "*"
 
 
 class Node:
@@ -227,8 +227,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
     A null page has an empty text; pages without a host share one tree. The tree of all hosts stands in where a
-    host has fewer than FEW_PAGES pages; of it the nodes on at least one page in WIDESPREAD are used, of which there
-    are at most WIDESPREAD times the elements of a mean page, however many pages there are.
+    host has fewer than FEW_PAGES pages: its nodes on FEW_PAGES pages or more are joined with the elements of
+    those hosts' pages.
     """
     scratch = Scratch(pages.sparkSession, "pages")
     trees = scratch.keep(style_trees(pages))
@@ -236,20 +236,29 @@ def main_texts(pages: DataFrame) -> DataFrame:
     #: Only nodes that can lower a branch's importance need to travel; the path of tags bounds them by site layout.
     low = trees.where((F.col("said") < 0.9) | (F.col("shown") < 0.9))
     own = low.where(F.col("host") != EVERYWHERE).groupBy("host").agg(F.max("pages").alias("most"), F.collect_list(entry).alias("nodes")).where(F.col("most") >= FEW_PAGES)
-    total = trees.where(F.col("host") == EVERYWHERE).agg(F.max("pages")).first()[0] or 0
-    common = low.where((F.col("host") == EVERYWHERE) & (F.col("pages") >= max(FEW_PAGES, total // WIDESPREAD))).collect()
-    shared = {r["path"]: (r["pages"], r["shown"], r["said"]) for r in common}
+    own = scratch.keep(own.select("host", "nodes"))
+    common = low.where((F.col("host") == EVERYWHERE) & (F.col("pages") >= FEW_PAGES)).drop("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, tree = None, {}
+        key, tree = None, {}
         for batch in slices(batches, "html"):
             texts = []
             for at, html, nodes in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
-                if at != host or host is None:
-                    host, tree = at, {n["path"]: (n["pages"], n["shown"], n["said"]) for n in nodes.as_py() or []} or shared
+                if at != key or key is None:
+                    key, tree = at, {n["path"]: (n["pages"], n["shown"], n["said"]) for n in nodes.as_py() or []}
                 texts.append(main_text(html, tree))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            rows = [(*key, path) for *key, html in zip(*(c.to_pylist() for c in batch.columns), strict=True) for path in {f[0] for f in features(parsed(html))}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [[]] * 3], names=["k1", "k2", "path"])
+
+    schema = "page_id long, url string, text string, n_chars long"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
-    joined = rows.join(own.select("host", "nodes"), "host", "left").select("page_id", "url", "html", "host", "nodes")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    many = rows.join(own, "host").select("page_id", "url", "html", "host", "nodes").mapInArrow(run, schema)
+    few = rows.join(own.select("host"), "host", "left_anti").withColumns({"k1": F.xxhash64("html"), "k2": F.xxhash64(F.lit(1), "html")})
+    met = few.select("k1", "k2", "html").mapInArrow(elements, "k1 long, k2 long, path long").distinct()
+    found = met.join(common, "path").groupBy("k1", "k2").agg(F.collect_list(entry).alias("nodes"))
+    key = F.concat_ws(" ", "k1", "k2")
+    return many.union(few.join(found, ["k1", "k2"], "left").select("page_id", "url", "html", key.alias("key"), "nodes").mapInArrow(run, schema))

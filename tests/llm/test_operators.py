@@ -309,6 +309,17 @@ def test_names_of_wrappers_do_not_empty_a_page(spark):
     assert all(got[100 * n + k] == f"Own words of page {k} that nobody else has at all And more of them {k * 7} to read" for n in range(5) for k in range(10))
 
 
+def test_pages_of_small_hosts_do_not_depend_on_others(spark, monkeypatch):
+    page = lambda k: f"<body><div class='x1'><p>Common words of the site</p></div><div class='y{'' if k else 'z'}'><p>Own words of page {k} that nobody else has</p><p>More words {k * 7}</p></div></body>"
+    few = [(k, f"http://h{k // 3}.example/", page(k), "", 0, 0) for k in range(24)]
+    other = [(1000 + k, "http://big.example/", f"<body><section><p>Other {k}</p></section></body>", "", 0, 0) for k in range(400)]
+    monkeypatch.setattr(style_tree, "WIDESPREAD", 8, raising=False)  # the former share of all pages, at which 400 pages act as 200,000
+    got = {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, few + other)).collect()}
+    alone = {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, few)).collect()}
+    assert got[5] == "Own words of page 5 that nobody else has More words 35" and len(got) == 424
+    assert all(got[k] == alone[k] for k in range(24))
+
+
 # op8
 
 
