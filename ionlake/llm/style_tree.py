@@ -3,9 +3,13 @@
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are one node of
 the host's tree. A node's presentation importance is the entropy of the child sequences it shows, its content
 importance is one less the mean entropy of its texts over pages: what stands on all pages alike says nothing
-about any. Branches of low composite importance go, as do elements that HTML itself marks as no content. Class
-and id names that speak of something else than the article lower the importance of a branch.
-Hosts with few pages borrow the tree of all hosts.
+about any. What the trees of all hosts say about a path stands in where a host has few pages. A branch goes when
+no node in it is important, also inside an article and however long it is.
+
+Marks in the page only lower the importance that the tree gives: to a sixth for elements that HTML says are not
+the article (nav, footer, aside, ...) or that name reader comments; by other telling class and id names and outside
+of an article, where the page marks one, to what needs texts that hardly ever repeat to stay. Trees start from a few
+made-up pages, on which such elements have half of the others' importance.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,30 +29,42 @@ from ionlake.llm.common import Scratch, slices
 #: Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NO_CONTENT = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select textarea input dialog menu".split())
+#: Of elements without readable text, and of those that HTML keeps for something else than the article.
+NO_TEXT = frozenset("head script style noscript template iframe object svg canvas button select textarea input dialog".split())
+BESIDE = frozenset("nav footer aside form menu".split())
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words that class and id names use for what is not the article.
+#: Words of class and id names: for reader comments, and for what may be something else than the article.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])")
 ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|dropdown|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|"
-    r"popup|promo\w*|related|reply|replies|share|sharing|sidebar|signup|site-header|page-header|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|cookies?|footer|masthead|menu|nav|navbar|navigation|newsletter|pagination|popup|sidebar|signup|site-header|page-header|sponsor\w*|subscribe)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:site-|page-)?(?:banner|disclaimer|dropdown|modal|notice|overlay|promo|related|reply|share|sharing|social|toolbar|widget)(?:[_-](?:articles?|bar|box|buttons?|links?|list|posts?))?(?:$|\s)"
 )
 HIDDEN = re.compile(r"display:none|visibility:hidden")
 MAIN = frozenset(("article", "main"))
 #: Elements whose names say nothing about what is in them.
 WHOLE = MAIN | {"html", "body"}
 
-#: What is left of a branch's importance where its name is a role.
-NAMED = 0.1
-GAMMA, LOW, FEW_PAGES, EVERYWHERE = 0.9, 0.2, 8, "*"
+#: What marks leave of a branch's importance.
+CERTAIN, LIKELY = 1 / 6, 0.21
+GAMMA, LOW = 0.9, 0.2
+#: Pages that all hosts' evidence weighs in a host's tree, and pages that one host weighs there at most.
+SHARED, ONE_HOST = 32, 8
+#: Pages that this evidence starts from, with importance 1, and for elements that are marked: their pages and importance.
+START, MARKED_START, MARKED = 2, 16, 0.5
+
+#: Presentation and content importance by path.
+Tree = dict[int, tuple[float, float]]
 
 
 class Node:
-    __slots__ = ("aside", "children", "gone", "holds", "inside", "out", "parent", "path", "sig", "size", "tag", "texts")
+    __slots__ = ("children", "gone", "holds", "inside", "mark", "named", "out", "parent", "path", "sig", "size", "tag", "texts")
 
-    def __init__(self, tag: str, sig: str, parent: Node | None, out: bool, aside: bool = False) -> None:
+    def __init__(self, tag: str, sig: str, parent: Node | None, out: bool, mark: float = 1.0, named: float = 1.0) -> None:
         self.tag, self.sig, self.parent, self.out = tag, sig, parent, out
-        self.aside, self.holds = aside, False  # named after a role, and around an element of MAIN
+        self.mark, self.named, self.holds = mark, named, False  # by tag and role, by name; around an element of MAIN
         self.inside = tag in MAIN or bool(parent and parent.inside)
         self.size, self.gone = 0, False
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else ''}/{sig}") >> 1
@@ -81,6 +98,8 @@ class Page(HTMLParser):
             self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.at.tag == "head" and tag not in IN_HEAD:
+            self.at = self.at.parent
         if tag in CLOSES_P:
             self._close(("p",), INLINE | {"p"})
         if tag in CLOSED_BY:
@@ -92,10 +111,11 @@ class Page(HTMLParser):
         given = dict(attrs)
         name = re.sub(r"\d+", "0", f"{given.get('class') or ''} {given.get('id') or ''}".lower()).strip()
         sig = f"{tag}.{'.'.join(sorted(name.split()))}"
-        out = self.at.out or tag in NO_CONTENT or (tag == "header" and not self.at.inside) or "hidden" in given or given.get("aria-hidden") == "true"
-        out = out or (given.get("role") or "") in ("navigation", "banner", "contentinfo", "complementary", "search") or bool(HIDDEN.search((given.get("style") or "").replace(" ", "")))
-        self.at = Node(tag, sig, self.at, out, tag not in WHOLE and bool(ROLES.search(name)))
-        node = self.at.parent if tag in MAIN else None
+        out = self.at.out or tag in NO_TEXT or "hidden" in given or given.get("aria-hidden") == "true" or bool(HIDDEN.search((given.get("style") or "").replace(" ", "")))
+        beside = tag in BESIDE or (tag == "header" and not self.at.inside) or (given.get("role") or "") in BESIDE_ROLES
+        named = 1.0 if tag in WHOLE else CERTAIN if READERS.search(name) else LIKELY if ROLES.search(name) else 1.0
+        self.at = Node(tag, sig, self.at, out, CERTAIN if beside else 1.0, named)
+        node = self.at.parent if tag in MAIN and not out else None
         while node and not node.holds:
             node.holds, node = True, node.parent
 
@@ -127,60 +147,81 @@ def _walk(node: Node) -> Iterator[Node]:
             stack.extend(one.children)
 
 
-def features(page: Page) -> list[tuple[int, int, int]]:
-    """(path, kind, feature) once a page: kind 0 the sequence of children, kind 1 the element's own text."""
+def features(page: Page) -> list[tuple[int, int, int, bool]]:
+    """(path, kind, feature, marked) once a page: kind 0 the sequence of children, kind 1 the element's own text."""
     found = set()
+    marks = marks_of(page)
     for node in _walk(page.root):
         blocks = [c.sig for c in node.children if c.tag not in INLINE]
-        found.add((node.path, 0, xxhash.xxh3_64_intdigest("|".join(k for i, k in enumerate(blocks) if i == 0 or blocks[i - 1] != k)) >> 1))
+        marked = marks[id(node)] < 1
+        found.add((node.path, 0, xxhash.xxh3_64_intdigest("|".join(k for i, k in enumerate(blocks) if i == 0 or blocks[i - 1] != k)) >> 1, marked))
         text = " ".join("".join(node.texts).split())
         if text:
-            found.add((node.path, 1, xxhash.xxh3_64_intdigest(text) >> 1))
+            found.add((node.path, 1, xxhash.xxh3_64_intdigest(text) >> 1, marked))
     return sorted(found)
 
 
-def importances(page: Page, tree: dict[int, tuple[int, float, float]]) -> dict[int, float]:
-    """Composite importance of each branch, by id: its own presentation and text and the mean of its children's.
+def importances(page: Page, tree: Tree) -> dict[int, float]:
+    """Composite importance of each element, by id: its own presentation and text and the mean of its children's.
 
     Elements that the site's tree doesn't mention are important.
     """
     found: dict[int, float] = {}
     for node in reversed(list(_walk(page.root))):
-        known = tree.get(node.path)
-        if known is None:
-            found[id(node)] = 1.0
-            continue
-        _, shown, said = known
+        shown, said = tree.get(node.path, (1.0, 1.0))
         inner = [found[id(c)] for c in node.children if not c.out and c.tag not in INLINE]
         if "".join(node.texts).strip():
             inner.append(said)
         weight = GAMMA ** len(inner)
-        found[id(node)] = (1 - weight) * shown + weight * sum(inner) / len(inner) if len(inner) > 1 else inner[0] if inner else shown
+        found[id(node)] = (1 - weight) * shown + weight * sum(inner) / len(inner) if len(inner) > 1 else inner[0] if inner else 0.0
     return found
 
 
-def main_text(html: str | None, tree: dict[int, tuple[int, float, float]]) -> str:
-    """The blocks of the article, or of all that is important where no element is marked as one.
+def blocks_of(page: Page) -> list[tuple[Node, str]]:
+    blocks = [(b[0][0], " ".join("".join(t for _, t in b).split())) for b in page.blocks if b]
+    return [(node, t) for node, t in blocks if t]
 
-    A branch is judged as a whole, from the top down; one that holds most of the text that is left stays. A role
-    as its name leaves NAMED of its importance, unless it holds an element of MAIN.
-    """
-    page = parsed(html)
-    blocks = [(b, " ".join("".join(t for _, t in b).split())) for b in page.blocks if b]
-    blocks = [(b, t) for b, t in blocks if t]
 
-    blocks = [x for x in blocks if x[0][0][0].inside] or blocks
-    for b, t in blocks:
-        b[0][0].size += len(t)
-    order = list(_walk(page.root))
+def marks_of(page: Page) -> dict[int, float]:
+    """What its own mark leaves of each element's importance, by id.
+
+    A name says nothing about a branch that holds an element of MAIN or half of the page's text.
+    """
+    for node, t in blocks_of(page):
+        node.size += len(t)
+    order, found = list(_walk(page.root)), {}
     for node in reversed(order):
         if node.parent:
             node.parent.size += node.size
-    scores = importances(page, tree)
     for node in order:
-        weak = node.tag not in MAIN and node.tag not in INLINE and node.parent is not None and 2 * node.size < page.root.size and scores[id(node)] * (NAMED if node.aside and not node.holds else 1) < LOW
-        node.gone = weak or bool(node.parent and node.parent.gone)
-    return " ".join(t for b, t in blocks if not b[0][0].gone)
+        mark = node.mark
+        if node.parent and page.root.holds and node.parent.holds and not node.inside and not node.holds:
+            mark = min(mark, LIKELY)
+        if not node.holds and 2 * node.size < page.root.size:
+            mark = min(mark, node.named)
+        found[id(node)] = mark
+    return found
+
+
+def main_text(html: str | None, tree: Tree) -> str:
+    """The blocks outside of the branches in which nothing is important.
+
+    A branch counts with its most important element, lowered by the marks on the way up to its top. If nothing
+    would stay, what no mark lowers does.
+    """
+    page = parsed(html)
+    blocks, marks, scores, peaks = blocks_of(page), marks_of(page), importances(page, tree), {}
+    order = list(_walk(page.root))
+    for node in reversed(order):
+        peaks[id(node)] = marks[id(node)] * max([scores[id(node)] if node.tag not in INLINE else 0.0, *(peaks[id(c)] for c in node.children if not c.out)])
+    for node in order:
+        node.gone = bool(node.parent and (node.parent.gone or node.tag not in INLINE and peaks[id(node)] < LOW))
+    kept = [t for node, t in blocks if not node.gone]
+    if not kept:
+        for node in order:
+            node.gone = bool(node.parent and (node.parent.gone or marks[id(node)] < 1))
+        kept = [t for node, t in blocks if not node.gone]
+    return " ".join(kept)
 
 
 def host_of(url: str) -> Column:
@@ -189,76 +230,85 @@ def host_of(url: str) -> Column:
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, shown, said): the nodes of every host's tree and of the tree of all hosts (EVERYWHERE).
+    """(host, path, pages, shown, said): the nodes of every host's tree.
 
-    Equal pages of a host count once. Counts by (host, node, feature) come first, so that a host with a third
-    of all pages is spread over its features; their entropies are sums of counts.
+    Pages of a host with equal texts count once. Counts by (host, node, feature) come first, so that a host with
+    a third of all pages is spread over its features; their entropies are sums of counts. A host's own figures
+    are averaged with those of the same path elsewhere, by the number of pages that speak for each: the mean of
+    all hosts' trees, or what one tree of all pages says of a path's texts if that is less.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             rows = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = xxhash.xxh3_64_intdigest(html) >> 1
-                rows += [(host, *f, whole) for f in features(parsed(html))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "feature", "whole"])
-
-    seen = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path long, kind long, feature long, whole long")
-    counted = seen.groupBy("host", "path", "kind", "feature").agg(F.countDistinct("whole").alias("n"))
-    return _entropies(counted).union(_entropies(counted.withColumn("host", F.lit(EVERYWHERE)).groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))))
-
-
-def _entropies(counted: DataFrame) -> DataFrame:
-    nodes = counted.groupBy("host", "path").agg(
+                page = parsed(html)
+                whole = xxhash.xxh3_64_intdigest("\n".join("".join(t for _, t in b) for b in page.blocks)) >> 1
+                rows += [(host, *f, whole) for f in features(page)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.string(), *[pa.int64()] * 3, pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "feature", "marked", "whole"])
+
+    seen = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path long, kind long, feature long, marked boolean, whole long")
+    scratch = Scratch(pages.sparkSession, "trees")
+    counted = scratch.keep(seen.groupBy("host", "path", "kind", "feature").agg(F.countDistinct("whole").alias("n"), F.max("marked").alias("marked")))
+    own = scratch.keep(_entropies(counted, "host", "path"))
+    weight = F.least(F.col("pages") - 1, F.lit(ONE_HOST))
+    start = lambda x: F.when(x, MARKED_START).otherwise(START)
+    begun = lambda said, n, marked: (said + start(marked) * F.when(marked, MARKED).otherwise(1.0)) / (n + start(marked))
+    mean = lambda x: begun(F.sum(weight * F.col(x)), F.sum(weight), F.max("marked"))
+    others = own.groupBy("path").agg(mean("shown").alias("shown_there"), mean("said").alias("said_on_hosts"))
+    one = _entropies(counted.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n"), F.max("marked").alias("marked")), "path")
+    merged = one.select("path", begun((F.col("pages") - 1) * F.col("said"), F.col("pages") - 1, F.col("marked")).alias("said_merged"))
+    there = others.join(merged, "path").select("path", "shown_there", F.least("said_on_hosts", "said_merged").alias("said_there"))
+    both = lambda x: (((F.col("pages") - 1) * F.col(x) + SHARED * F.col(f"{x}_there")) / (F.col("pages") - 1 + SHARED)).alias(x)
+    return own.join(there, "path").select("host", "path", "pages", both("shown"), both("said"))
+
+
+def _entropies(counted: DataFrame, *key: str) -> DataFrame:
+    nodes = counted.groupBy(*key).agg(
         F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("pages"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("spread"),
         F.sum(F.when(F.col("kind") == 1, F.log("n"))).alias("common"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("texts"),
+        F.max("marked").alias("marked"),
     )
     m = F.greatest(F.col("pages"), F.lit(2)).cast("double")
     shown = F.when(F.col("pages") <= 1, 1.0).otherwise((F.log(m) - F.col("spread") / m) / F.log(m))
     said = F.when((F.col("pages") <= 1) | (F.col("texts") == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("common") / F.col("texts") / F.log(m)))
-    return nodes.select("host", "path", "pages", F.coalesce(shown, F.lit(1.0)).alias("shown"), said.alias("said"))
+    return nodes.select(*key, F.greatest("pages", F.lit(1)).alias("pages"), F.coalesce(shown, F.lit(1.0)).alias("shown"), said.alias("said"), "marked")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
-    A null page has an empty text; pages without a host share one tree. The tree of all hosts stands in where a
-    host has fewer than FEW_PAGES pages: its nodes on FEW_PAGES pages or more are joined with the elements of
-    those hosts' pages.
+    A null page has an empty text; pages without a host share one tree. Rows that share an id are pages of their
+    own, equal rows have equal texts, and other columns than page_id, url and html are not read. A page is parsed
+    as a whole, whatever its length.
     """
     scratch = Scratch(pages.sparkSession, "pages")
-    trees = scratch.keep(style_trees(pages))
-    entry = F.struct("path", "pages", "shown", "said")
-    #: Only nodes that can lower a branch's importance need to travel; the path of tags bounds them by site layout.
-    low = trees.where((F.col("said") < 0.9) | (F.col("shown") < 0.9))
-    own = low.where(F.col("host") != EVERYWHERE).groupBy("host").agg(F.max("pages").alias("most"), F.collect_list(entry).alias("nodes")).where(F.col("most") >= FEW_PAGES)
-    own = scratch.keep(own.select("host", "nodes"))
-    common = low.where((F.col("host") == EVERYWHERE) & (F.col("pages") >= FEW_PAGES)).drop("host")
+    #: Only nodes that can lower a branch's importance need to travel; a site's layouts bound them, not its pages.
+    low = style_trees(pages).where((F.col("said") < 0.95) | (F.col("shown") < 0.95))
+    node = F.concat(*(F.to_binary(F.lpad(F.hex(F.floor(x).cast("long")), 16, "0"), F.lit("hex")) for x in (F.col("path"), F.col("shown") * 1e9, F.col("said") * 1e9)))
+    trees = scratch.keep(low.groupBy("host").agg(F.collect_list(node).alias("nodes")).select(F.col("host").alias("of"), F.col("nodes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree = None, {}
+        known: dict[str, Tree] = {}  # of this task's hosts, emptied when full
         for batch in slices(batches, "html"):
             texts = []
-            for at, html, nodes in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
-                if at != key or key is None:
-                    key, tree = at, {n["path"]: (n["pages"], n["shown"], n["said"]) for n in nodes.as_py() or []}
-                texts.append(main_text(html, tree))
+            for i, (host, html) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if host not in known:
+                    if sum(map(len, known.values())) > 100_000:
+                        known.clear()
+                    known[host] = unpacked(batch.column(4)[i].as_py() or [])
+                texts.append(main_text(html, known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            rows = [(*key, path) for *key, html in zip(*(c.to_pylist() for c in batch.columns), strict=True) for path in {f[0] for f in features(parsed(html))}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [[]] * 3], names=["k1", "k2", "path"])
-
-    schema = "page_id long, url string, text string, n_chars long"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
-    many = rows.join(own, "host").select("page_id", "url", "html", "host", "nodes").mapInArrow(run, schema)
-    few = rows.join(own.select("host"), "host", "left_anti").withColumns({"k1": F.xxhash64("html"), "k2": F.xxhash64(F.lit(1), "html")})
-    met = few.select("k1", "k2", "html").mapInArrow(elements, "k1 long, k2 long, path long").distinct()
-    found = met.join(common, "path").groupBy("k1", "k2").agg(F.collect_list(entry).alias("nodes"))
-    key = F.concat_ws(" ", "k1", "k2")
-    return many.union(few.join(found, ["k1", "k2"], "left").select("page_id", "url", "html", key.alias("key"), "nodes").mapInArrow(run, schema))
+    return rows.join(trees, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "nodes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def unpacked(nodes: list[bytes]) -> Tree:
+    """{path: (shown, said)} of packed nodes."""
+    rows = np.frombuffer(b"".join(nodes), dtype=">i8").reshape(-1, 3)
+    return dict(zip(rows[:, 0].tolist(), zip((rows[:, 1] / 1e9).tolist(), (rows[:, 2] / 1e9).tolist(), strict=True), strict=True))

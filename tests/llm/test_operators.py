@@ -320,6 +320,27 @@ def test_pages_of_small_hosts_do_not_depend_on_others(spark, monkeypatch):
     assert all(got[k] == alone[k] for k in range(24))
 
 
+def test_trees_decide_what_stays(spark):
+    """Adverts, notices and sharing bars go by entropy, within the article too; without the trees they stay."""
+    page = lambda k: f"<head><title>T</title><body class='home no-sidebar'><div class='q'>Only today: buy this {k % 2}</div><article><h1>Own title {k}</h1><div class='z'><p>All rights of the site {'very ' * 60} reserved</p></div><p>Own words of page {k} that nobody else has</p></article><div id='b'>Related pages of the site</div>"
+    rows = [(k, "http://a.example/", page(k), "", 0, 0) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, rows)).collect()}
+    assert all(got[k] == f"Own title {k} Own words of page {k} that nobody else has" for k in range(30))
+    assert all(style_tree.main_text(html, {}) != got[k] for k, _, html, *_ in rows)
+
+
+def test_articles_are_not_lost(spark):
+    rows = [
+        (1, "http://a/", "<body class='home no-sidebar'><article><p>hello there</p></article></body>", "", 0, 0), (2, "http://b/", "<head><title>T</title><body><p>hello", "", 0, 0),
+        (3, "http://c/", "<article><p>One</p><div class='market-share'><p>Two of them</p></div><section class='related-work'><p>Three</p></section></article><div class='comments'><p>Nice!</p></div>", "", 0, 0),
+        (3, "http://c/", "<p>other page, same id</p>", "", 0, 0), (4, "http://d/", "<article>" + "<p>long text</p>" * 20000 + "</article>", "", 0, 0), (5, "", "", "", 0, 0),
+    ]
+    rows += [rows[0]]
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in style_tree.main_texts(pages(spark, rows)).collect())
+    long = " ".join(["long text"] * 20000)
+    assert got == [(1, "hello there", 11)] * 2 + [(2, "hello", 5), (3, "One Two of them Three", 21), (3, "other page, same id", 19), (4, long, len(long)), (5, "", 0)]
+
+
 # op8
 
 
