@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ionlake.llm.common import Scratch
 from ionlake.llm.graph import components
 
+#: Members of a bucket whose pairs are compared at once.
+SMALL = 8
 #: Pairs that comparing in full may form, as a multiple of the rows in buckets; beyond, another centre is tried
 #: first, as long as the last one left no more than this share of the pairs before it.
 FULL, WORTH = 0.5, 0.8
@@ -52,14 +54,24 @@ def linked_components(
     the one that meets most others over all its buckets (the text that the copies were made from, say), unless
     they are in the centre's component by then. When the pairs that stay in different components of one bucket
     are few enough, or another centre would not help, they are compared in full, and that is the end. A centre
-    that was compared with all its bucket leaves it. Pairs whose set sizes or sketches rule the threshold out
+    that was compared with all its bucket leaves it. The pairs of buckets of up to SMALL members come before all
+    rounds, which work on the larger ones alone. Pairs whose set sizes or sketches rule the threshold out
     are not formed; none is confirmed twice.
     """
     kind = members.schema["id"].dataType.simpleString()
     none = members.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
+    small = members.where(F.col("members") <= SMALL)
+    one, other = (small.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = one.join(other, "bucket").where("a < b").where(_alike(percent, 0)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    tried, found = scratch.keep(pairs), None
+    if tried.head(1):
+        found = scratch.keep(components(scratch.keep(confirm(tried)), scratch))
+    else:
+        tried = none
+    members = members.where(F.col("members") > SMALL)
     degrees = members.groupBy("id").agg(F.sum("members").alias("degree"))
     members = scratch.keep(members.drop("members").join(degrees, "id"))
-    tried, found, done, rows, k, last, before = none, None, None, members.count(), 0, False, float("inf")
+    done, rows, k, last, before = None, members.count(), 0, False, float("inf")
     while rows and not last:
         placed = members.withColumn("part", F.col("id"))
         if found is not None:

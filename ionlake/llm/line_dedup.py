@@ -1,109 +1,161 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame expressions alone.
+"""Fuzzy line deduplication by MinHash.
 
-Equal lines (white space at their ends aside) are one line. Distinct lines get MinHash signatures from
-character shingles; bands of four values make buckets; the lines of a bucket are compared with centres by the
-exact Jaccard similarity of all their 5-character shingles; the components of those links keep their first line.
-Pairs that no centre settles are first bounded by parity sketches of their shingles.
+Equal lines (white space at their ends aside) are one line. Distinct lines get MinHash signatures from their
+character shingles; bands of four values make buckets; lines that share a bucket are compared by the exact Jaccard
+similarity of all their 5-character shingles; the components of those links keep their first line.
 
-Signatures read every 5-character shingle of every line, the same sets that are compared. A shingle is hashed
-once; 40 orders of the hashes come from eight rotations and five flips of its bits.
+Signatures read every 5-character shingle of every line, the same sets that are compared. Lines are split,
+deduplicated, bucketed and joined by DataFrame operations; the shingles are hashed in numpy, many lines at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionlake.llm.buckets import linked_components, shared_buckets
-from ionlake.llm.common import Scratch, text_of
+from ionlake.llm.common import Scratch, slices, text_of
+from ionlake.llm.minmax_dedup import _linked, _mixed, _STEP, parity
 
 PERCENT, SHINGLE = 80, 5
 BANDS, ROWS = 10, 4
 #: 64-bit words of a parity sketch.
 SKETCH = 32
-_ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
-
-
-def _all_shingles(line: Column) -> Column:
-    """The 5-character shingle at every place; a shorter line is its own."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
-
-
-def _shingles(line: Column) -> Column:
-    return F.array_distinct(_all_shingles(line))
-
-
-def _flip(k: int) -> int:
-    """A fixed 64-bit number for each k, signed, from the golden ratio's multiples."""
-    x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _orders(h: str) -> list[Column]:
-    turned = [F.shiftleft(h, 8 * r).bitwiseOR(F.shiftrightunsigned(h, 64 - 8 * r)) if r else F.col(h) for r in range(8)]
-    return [turned[k % 8].bitwiseXOR(F.lit(_flip(k))) for k in range(BANDS * ROWS)]
+_RNG = np.random.default_rng(5)
+_ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: White space at the ends of a line, and what fills lines up to one shingle: no text holds it.
+BLANK, FILL = " \t\n\x0b\f\r", "\ud800"
+#: Shingles that are permuted at once, more if a line has more.
+BLOCK = 1 << 15
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the shingle at every place of all lines, and where each line's begin; a shorter line is its own shingle."""
+    sizes = np.array([max(SHINGLE, len(x)) for x in lines], dtype=np.int64)
+    joined = "".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, FILL) for x in lines)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    total = np.zeros(max(0, len(codes) - SHINGLE + 1), dtype=np.uint64)
+    for j in range(SHINGLE):
+        total = total * _STEP + codes[j : len(total) + j]
+    whole = np.ones(len(total), dtype=bool)
+    ends = np.cumsum(sizes)
+    for j in range(1, SHINGLE):
+        whole[ends[:-1] - j] = False
+    counts = sizes - SHINGLE + 1
+    return _mixed(total[whole]), np.cumsum(counts) - counts
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Each line's distinct hashes, sorted."""
+    hashes, starts = shingle_hashes(lines)
+    out = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(hashes)], strict=True):
+        ordered = np.sort(hashes[a:b])
+        fresh = np.empty(b - a, dtype=bool)
+        fresh[0] = True
+        np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+        out.append(ordered[fresh])
+    return out
+
+
+def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(lines, BANDS * ROWS): each line's least value in each order of the hashes' upper halves."""
+    out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint32)
+    upper, ends, at = (hashes >> np.uint64(32)).astype(np.uint32), np.append(starts[1:], len(hashes)), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+        block, inner = upper[starts[at] : ends[stop - 1]], starts[at:stop] - starts[at]
+        for k in range(BANDS * ROWS):
+            out[at:stop, k] = np.minimum.reduceat((block * _ODD[k]) ^ _FLIP[k], inner)
+        at = stop
+    return out
+
+
+def bands_of(signed: np.ndarray) -> np.ndarray:
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signed), BANDS)).copy()
+    for r in range(ROWS):
+        keys = _mixed(keys * _STEP + signed[:, r::ROWS].astype(np.uint64))
+    return keys.view(np.int64)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from 1, line) of every line that is not blank, without white space at its ends."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
-    return split.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+    return split.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
-def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k1, k2, at, line), one row a distinct line, ``at`` its first place; bucketed by key in the shared folder.
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(id, line), one row a distinct line, ``id`` its first place.
 
     Two 64-bit hashes with independent seeds are the key. Repeats meet on the map side first, so a line that
     fills a third of the corpus sends one row a task.
     """
     keyed = lines_of(docs).select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.struct("doc_id", "line_no").alias("at"), "line")
-    once = keyed.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("line").alias("line"))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "lines_" + scratch.root.rsplit("-", 1)[1]
-    once.write.bucketBy(parts, "k1", "k2").option("path", f"{scratch.root}/lines").saveAsTable(name)
-    scratch.release()
-    return spark.table(name)
+    return keyed.groupBy("k1", "k2").agg(F.min("at").alias("id"), F.first("line").alias("line")).select("id", "line")
+
+
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """Adds the keys of the lines' bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line", 1 << 18):
+            bands = bands_of(signatures(*shingle_hashes(batch.column(1).to_pylist())))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "line", "bands"])
 
+    return lines.mapInArrow(run, "id struct<doc_id: bigint, line_no: int>, line string, bands array<long>")
 
-def line_bands(lines: DataFrame) -> DataFrame:
-    """(k1, k2, bands): the bands of every line. The table's bucketing spares the aggregation a shuffle."""
-    hashed = lines.select("k1", "k2", F.explode(_all_shingles(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
-    values = hashed.select("k1", "k2", *[v.alias(f"v{k}") for k, v in enumerate(_orders("h"))])
-    least = values.groupBy("k1", "k2").agg(*[F.min(f"v{k}").alias(f"m{k}") for k in range(BANDS * ROWS)])
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("k1", "k2", F.array(*bands).alias("bands"))
 
+def sets_of(lines: DataFrame) -> DataFrame:
+    """Adds the sizes n of the lines' shingle sets and their parity sketches to (id, line)."""
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(id, sketch): of each of 64 * SKETCH classes of hashes, whether the line has an odd number of shingles in it."""
-    hashed = texts.select("id", F.explode(_shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    placed = hashed.select("id", F.pmod("h", F.lit(SKETCH)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h div {SKETCH}, 64) as int))").alias("bit"))
-    words = placed.groupBy("id").agg(*[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(0)).alias(f"w{w}") for w in range(SKETCH)])
-    return words.select("id", F.array(*[f"w{w}" for w in range(SKETCH)]).alias("sketch"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line", 1 << 18):
+            sets = shingle_sets(batch.column(1).to_pylist())
+            odd = np.concatenate([parity(x, SKETCH) for x in sets])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, SKETCH, dtype=np.int32)), pa.array(odd))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), lists], names=["id", "line", "n", "sketch"])
+
+    return lines.mapInArrow(run, "id struct<doc_id: bigint, line_no: int>, line string, n long, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose shingle sets reach the threshold exactly."""
-    one = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
-    both = one.join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v")
-    sets = both.select("u", "v", _shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "y", 1 << 18):
+            lefts, kept = batch.column(2).to_pylist(), []
+            firsts = [x for i, x in enumerate(lefts) if i == 0 or x != lefts[i - 1]]
+            left, sets = None, iter(shingle_sets(firsts))
+            for i, (x, right) in enumerate(zip(lefts, shingle_sets(batch.column(3).to_pylist()), strict=True)):
+                if i == 0 or x != lefts[i - 1]:
+                    left = next(sets)
+                if _linked(left, right, percent):
+                    kept.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
+
+    one = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v")
+    both = one.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
+    kind = "struct<doc_id: bigint, line_no: int>"
+    return both.select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, kept): the numbers, in order, of the lines that stay. Documents that keep none have no row."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = distinct_lines(docs, scratch)
-    bands = scratch.keep(line_bands(lines))
-    shared = scratch.keep(shared_buckets(bands.select("k1", "k2", F.explode("bands").alias("bucket"))))
+    lines = scratch.keep(signed_lines(distinct_lines(docs)))
+    scratch.release()
+    shared = scratch.keep(shared_buckets(lines.select("id", F.explode("bands").alias("bucket"))))
     scratch.release()
-    wanted = shared.select("k1", "k2").distinct()
-    texts = scratch.keep(lines.join(wanted, ["k1", "k2"], "left_semi").select(F.col("at").alias("id"), "k1", "k2", "line"))
-    members = scratch.keep(shared.join(texts.select("k1", "k2", "id", F.size(_shingles(F.col("line"))).alias("n")), ["k1", "k2"]).select("bucket", "id", "n", "members"))
-    found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent), scratch, percent, lambda wanted: sketches(texts.join(wanted, "id")), SKETCH)
-    first = lines.select(F.col("at").alias("node"))
+    texts = scratch.keep(sets_of(lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi")))
+    members = scratch.keep(shared.join(texts.select("id", "n"), "id").select("bucket", "id", "n", "members"))
+    found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent), scratch, percent, lambda wanted: texts.select("id", "sketch").join(wanted, "id"), SKETCH)
+    first = lines.select(F.col("id").alias("node"))
     if found is not None:
         first = first.join(found.where("node <> component").select("node"), "node", "left_anti")
     return first.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept"))
@@ -123,7 +175,7 @@ def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comes before all others.
     """
     split = F.split(text_of(), "\n")
-    filled = F.filter(F.transform(split, lambda x, i: F.when(F.regexp_replace(x, r"^\s+|\s+$", "") != "", i + 1)), lambda x: x.isNotNull())
+    filled = F.filter(F.transform(split, lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) != "", i + 1)), lambda x: x.isNotNull())
     rows = _with_kept(docs, percent, F.size(split).alias("n_lines"), filled.alias("filled"))
     stays = F.array_intersect("filled", F.coalesce("kept", F.array().cast("array<int>")))
     return rows.select(
@@ -136,7 +188,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = docs.columns
     rows = _with_kept(docs, percent, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     kept = F.coalesce("kept", F.array().cast("array<int>"))
-    lines = F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: (F.regexp_replace(x, r"^\s+|\s+$", "") == "") | F.array_contains(kept, i + 1))
+    lines = F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: (F.btrim(x, F.lit(BLANK)) == "") | F.array_contains(kept, i + 1))
     text = F.array_join(lines, "\n")
     out = []
     for c in names:

@@ -69,9 +69,9 @@ def signature(of: np.ndarray) -> np.ndarray:
     return out
 
 
-def parity(of: np.ndarray) -> np.ndarray:
-    """The parity sketch: of each of 64 * SKETCH classes of hashes, whether the set holds an odd number."""
-    odd = np.bincount((of % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+def parity(of: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """The parity sketch: of each of 64 * words classes of hashes, whether the set holds an odd number."""
+    odd = np.bincount((of % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
