@@ -14,11 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionlake.llm.buckets import linked_components, shared_buckets
-from ionlake.llm.common import Scratch, slices, text_of
+from ionlake.llm.common import WORD, Scratch, slices, text_of
 
 FUNCTIONS, BANDS = 40, 20
 #: 64-bit words of a parity sketch.
@@ -90,7 +90,7 @@ def _linked(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set), the keys of its bands and its parity sketch."""
+    """doc_id, k1, k2 (of the text), n_shingles, set_key (a digest of the whole set), the keys of its bands and its parity sketch."""
 
     def lists(rows: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(rows).ravel()))
@@ -98,15 +98,20 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sizes, keys, odd, signatures = [], [], np.empty((batch.num_rows, SKETCH), dtype=np.int64), np.empty((batch.num_rows, FUNCTIONS, 2), dtype=np.uint64)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column("text")):
                 found = shingles(text.as_py(), words)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                 signatures[i], odd[i] = signature(found), parity(found)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(bands_of(signatures)), lists(odd)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            columns = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(bands_of(signatures)), lists(odd)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+
+
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, k1, k2 and text: together the first three tell rows of different texts apart that share an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("k1"), F.xxhash64(F.lit(1), text_of()).alias("k2"), text_of().alias("text"), *more)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -125,7 +130,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     one = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("right")), "v")
     both = one.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("left")), "u")
-    return both.select("u", "v", "left", "right").sortWithinPartitions("u").mapInArrow(run, "u long, v long")
+    kind = "struct<rep: bigint, tie: bigint>"
+    return both.select("u", "v", "left", "right").sortWithinPartitions("u").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def classes(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, k1, k2, n_shingles, component (rep: its smallest doc_id, tie) for every row of ``docs``; no component where nothing can link."""
+    sketched = scratch.keep(sketches(docs, words))
+    real = sketched.where("doc_id is not null and n_shingles > 0")
+    #: A set is a number and a tie, as rows of different texts may share an id.
+    rep = F.struct(F.col("f.doc_id").alias("rep"), F.xxhash64("set_key").alias("tie")).alias("rep")
+    sets = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = scratch.keep(sets.select("set_key", rep, "f", "n", "bands", "sketch"))
+    members = scratch.keep(shared_buckets(sets.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")))
+    wanted = sets.select("rep", "f.*").join(members.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi")
+    texts = scratch.keep(keyed(docs).join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("rep", "text"))
+    sketch_of = sets.select(F.col("rep").alias("id"), "sketch")
+    found = linked_components(members, lambda pairs: confirmed(pairs, texts, words, percent), scratch, percent, lambda ids: sketch_of.join(ids, "id"), SKETCH)
+    of = sets.select("set_key", "rep", F.col("rep").alias("component"))
+    if found is not None:
+        of = of.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    joined = sketched.select("doc_id", "k1", "k2", "n_shingles", "set_key").join(of.select("set_key", "component"), "set_key", "left")
+    return joined.select("doc_id", "k1", "k2", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -135,21 +161,24 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     ``percent`` in a hundred; component_id is the smallest doc_id reachable. Texts without words link with
     nothing. Equal sets are one representative, so copies never meet in pairs. Rows that share a doc_id are
     classed by their own texts; a null doc_id is compared with nothing and kept. A bucket is missed by all 20 bands with a
-    chance of 2 in 100,000 at a similarity of 0.8.
+    chance of 2 in 100,000 at a similarity of 0.8. Other columns than doc_id and text are not read.
     """
-    scratch = Scratch(docs.sparkSession, "minmax")
-    sketched = scratch.keep(sketches(docs, words))
-    real = sketched.where("doc_id is not null and n_shingles > 0")
-    reps = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    buckets = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
-    members = scratch.keep(shared_buckets(buckets))
-    ids = members.select(F.col("id").alias("rep")).distinct()
-    texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(ids, "rep").dropDuplicates(["rep"]))
-    sketch_of = reps.select(F.col("rep").alias("id"), "sketch")
-    found = linked_components(members, lambda pairs: confirmed(pairs, texts, words, percent), scratch, percent, lambda wanted: sketch_of.join(wanted, "id"), SKETCH)
-    classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    if found is not None:
-        classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    joined = sketched.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", F.col("rep").alias("component_id")), "set_key", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = classes(docs, words, percent, Scratch(docs.sparkSession, "minmax")).withColumn("component_id", F.coalesce("component.rep", "doc_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all its columns, one row of each group of near duplicates: that of the smallest doc_id.
+
+    Rows are told apart by id and text, so a row of an id goes or stays by its own text; of equal rows one stays.
+    Rows without words and rows with a null id all stay.
+    """
+    scratch, names = Scratch(docs.sparkSession, "minmax"), docs.columns
+    found = classes(docs, words, percent, scratch).where("component is not null")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f"))
+    stays = scratch.keep(first.select(F.col("f.doc_id").alias("id"), F.col("f.k1").alias("x1"), F.col("f.k2").alias("x2")))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    whole = keyed(docs, row).drop("text").withColumn("real", F.col("doc_id").isNotNull() & F.col("row.text").rlike(WORD))
+    same = (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))
+    kept = whole.where(F.coalesce("real", F.lit(False))).join(stays, same, "left_semi").groupBy("doc_id", "k1", "k2").agg(F.first("row").alias("row"))
+    return kept.select("row.*").union(whole.where(~F.coalesce("real", F.lit(False))).select("row.*"))

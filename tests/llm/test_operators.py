@@ -373,6 +373,16 @@ def test_documents_equal_brute_force(spark):
     assert all(got[i]["component_id"] == root(i) and got[i]["n_shingles"] == len(sets[i]) for i in sets)
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = prose(31, 60), prose(32, 60)
+    rows = [(3, a), (9, a), (9, b), (9, b + " more"), (12, b + " more"), (None, a), (20, ""), (21, None), (21, None)]
+    got = sorted((r["doc_id"], r["text"]) for r in minmax_dedup.deduplicated(docs(spark, rows)).collect() if r["doc_id"] is not None)
+    least = min((b, b + " more"), key=lambda t: [(r["k1"], r["k2"]) for r in minmax_dedup.keyed(docs(spark, [(9, t)])).collect()])
+    assert got[:2] == [(3, a), (9, least)] and got[2:3] == [(20, "")] and len(got) == 5
+    by = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minmax_dedup.similar_documents(docs(spark, rows)).collect()}
+    assert {(3, 56, 3), (9, 56, 3), (9, 56, 9), (9, 57, 9), (12, 57, 9), (None, 56, None), (20, 0, 20), (21, 0, 21)} == by
+
+
 # op9
 
 
