@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -53,16 +54,19 @@ class Scratch:
     def write(self, frame: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path), path
 
     def keep(self, frame: DataFrame) -> DataFrame:
         return self.write(frame)[0]
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more: the first pass frees the
+        plans, the second what they alone held."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *paths: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
