@@ -103,6 +103,39 @@ def test_license_inheritance(spark):
     assert got[4] == (None, "none", None) and got[6] == (None, "none", None) and got[7] == (None, "none", None)
 
 
+def licences(spark, texts):
+    files = [(k, f"d{k}/x.txt", t, False) for k, t in enumerate(texts)]
+    got = license_scan.scan(spark.createDataFrame(files, "file_id long, path string, text string, is_license boolean")).collect()
+    return [r["license"] for r in sorted(got, key=lambda r: r["file_id"])]
+
+
+def test_prose_is_no_licence(spark):
+    assert licences(spark, ["My driving license was under the seat of the car.", "This fishing license is valid to any person.", "Licence fees for television rise in may.", "Released under the Foo License.", "", None, "see license"]) == [None] * 7
+
+
+def test_statements_and_texts(spark):
+    mit = """MIT License
+
+    Copyright (c) 2020 Some One
+
+    Permission is hereby granted, free of charge, to any person obtaining a copy
+    of this software and associated documentation files (the "Software"), to deal
+    in the Software without restriction, including without limitation the rights
+    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    copies of the Software, and to permit persons to whom the Software is
+    furnished to do so, subject to the following conditions:"""
+    texts = [mit, "x = 1\n# SPDX-License-Identifier: MIT\n", "SPDX-License-Identifier: ISC", prose(5, 300) + "\nLicensed under CC BY-NC 4.0.\n" + prose(6, 300), "SPDX-License-Identifier: GPL-3.0-or-later", "All rights reserved. " + prose(7, 50)]
+    assert licences(spark, texts) == ["MIT", "MIT", "ISC", "CC-BY-NC-4.0", "GPL-3.0", "Proprietary"]
+
+
+def test_licence_documents(spark):
+    text = "Licensed under the Apache License, Version 2.0."
+    rows = [(None, "Released under the MIT License."), (1, text), (1, prose(1, 20)), (2, prose(2, 20)), (2, prose(2, 20))]
+    made = spark.createDataFrame([(i, t, "en", "s", None, 0, "", 0, 0) for i, t in rows], DOCS)
+    got = sorted((str(r["file_id"]), r["origin"], str(r["license"])) for r in license_scan.scan(license_scan.document_files(made)).collect())
+    assert ("None", "header", "MIT") in got and ("1", "header", "Apache-2.0") in got and len(got) == 5 and {g[1] for g in got if g[0] == "2"} <= {"inherited", "none"}
+
+
 # op2
 
 
