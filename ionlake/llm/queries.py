@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe, chaining, cover_tree, entropy_mix, license_scan, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
+from ionlake.llm import bpe, chaining, cover_tree, entropy_mix, license_scan, line_dedup, media_chunks, minmax_dedup, oracles, style_tree, toxicity
 from ionlake.llm.common import table
 
 
@@ -57,4 +57,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_cover_tree, op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op9_chaining, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
