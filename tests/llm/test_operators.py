@@ -454,6 +454,62 @@ def test_passage_whose_halves_came_first_is_found(spark):
         assert abs(got[4, 3]["start_word"] - 40) <= 1 and abs(got[4, 3]["end_word"] - 100) <= 1
 
 
+def brute_passages(rows):
+    """Pairs of documents with an equal run of over 50 words."""
+    words = {i: t.split() for i, t in rows}
+    runs = {i: {tuple(w[j : j + 51]) for j in range(len(w) - 50)} for i, w in words.items()}
+    return {(i, of) for i, of in itertools.permutations(words, 2) if of < i and runs[i] & runs[of]}
+
+
+def test_overlapping_pieces_before_and_after(spark):
+    passage = prose(940, 90).split()
+    parts = [passage[:50], passage[40:], passage, passage[:50], passage, passage[45:]]
+    rows = [(k + 1, " ".join([prose(950 + k, 40), *part, prose(970 + k, 40)])) for k, part in enumerate(parts)]
+    got = {(r["doc_id"], r["of_doc_id"]): r["end_word"] - r["start_word"] for r in chaining.repeated_passages(docs(spark, rows)).collect()}
+    assert brute_passages(rows) == {(5, 3)} and got.get((5, 3), 0) >= 88
+
+
+def test_rows_of_one_id_are_documents(spark):
+    passage = prose(941, 70)
+    rows = [(1, prose(1, 30) + " " + passage), (1, passage + " " + prose(2, 60)), (2, prose(3, 60) + " " + passage), (2, prose(4, 200)), (2, prose(4, 200)), (None, passage), (7, None), (8, "")]
+    got = sorted({(r["doc_id"], r["of_doc_id"]) for r in chaining.repeated_passages(docs(spark, rows)).collect()})
+    assert got == [(1, 1), (2, 1)]
+
+
+def test_recall_on_passages_of_every_eighth_word_changed(spark):
+    rows = []
+    for k in range(60):
+        passage = prose(3000 + k, 100).split()
+        rows += [(2 * k, " ".join([prose(4000 + k, 50), *passage, prose(5000 + k, 50)])), (2 * k + 1, " ".join([prose(6000 + k, 50), *(w if j % 8 else f"w{j}q" for j, w in enumerate(passage)), prose(7000 + k, 50)]))]
+    got = {(r["doc_id"], r["of_doc_id"]) for r in chaining.repeated_passages(docs(spark, rows)).collect()}
+    assert len(got) >= 57 and got <= {(2 * k + 1, 2 * k) for k in range(60)}
+
+
+def test_banded_edits_equal_full_table():
+    r = random.Random(18)
+    for _ in range(200):
+        a, b = ([r.randrange(4) for _ in range(r.randint(0, 70))] for _ in range(2))
+        if r.random() < 0.5:
+            b = [x for x in a if r.random() < 0.9]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        far, least = max(len(a), len(b)), row[-1]
+        want = (max(0, far - least), far) if a and b else (0, far)
+        assert chaining.edits(np.array(a), np.array(b)) == want
+        assert chaining.edits(np.array(a), np.array(b), least) == want and (not a or not b or a == b or chaining.edits(np.array(a), np.array(b), least - 1) == (0, far))
+
+
+def test_long_unequal_gaps_are_aligned():
+    r = random.Random(19)
+    a = np.array([r.randrange(10**6) for _ in range(3000)])
+    b = a.copy()
+    b[300:2700:6] = -1
+    assert chaining.edits(a, b, 700) == (2600, 3000) and chaining.edits(a, b, 300) == (0, 3000)
+
+
 def test_alike_runs_equal_quadratic_search():
     r = random.Random(16)
     for _ in range(200):
