@@ -20,15 +20,31 @@ def _last_wins(per_spectrum: DataFrame, *keys: str) -> DataFrame:
     return per_spectrum.where("intensity > 0").groupBy(*keys, "x", "y").agg(F.max_by("intensity", "spectrum_id").alias("intensity"))
 
 
-def ion_image(points: DataFrame, mz: float, tol: float, mask: DataFrame | None = None) -> DataFrame:
-    """(x, y, intensity), sparse: only pixels with a positive maximum. The window reaches the scan as a filter."""
-    rows = points.where(in_window(mz, tol))
+def in_raster(width: int, height: int) -> Column:
+    return F.col("x").between(1, width) & F.col("y").between(1, height)
+
+
+def without_nan(value: str = "intensity") -> Column:
+    return F.nanvl(F.col(value), F.lit(0.0)).alias(value)
+
+
+def ion_image(points: DataFrame, mz: float, tol: float, mask: DataFrame | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """(x, y, intensity), sparse: only pixels with a positive maximum. The window reaches the scan as a filter.
+
+    Of a raster of ``size`` (width, height) nothing outside counts; NaN intensities are 0.
+    """
+    rows = points.where(in_window(mz, tol) & in_raster(*size) if size else in_window(mz, tol)).withColumn("intensity", without_nan())
     if mask is not None:
-        rows = masked(rows, mask)
+        rows = masked(rows, mask, size)
     return _last_wins(rows.groupBy("spectrum_id", "x", "y").agg(F.max("intensity").alias("intensity")))
 
 
-def masked(rows: DataFrame, mask: DataFrame) -> DataFrame:
+def masked(rows: DataFrame, mask: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
+    """The rows at pixels of the mask (x, y); with the raster's ``size`` a mask that reaches beyond it is refused."""
+    if size:
+        top = mask.agg(F.max("x").alias("w"), F.max("y").alias("h")).first()
+        if (top["w"] or 0) > size[0] or (top["h"] or 0) > size[1]:
+            raise ValueError(f"the mask spans {top['w']} x {top['h']} pixels, the image {size[0]} x {size[1]}")
     return rows.join(mask, ["x", "y"], "left_semi")
 
 
@@ -60,7 +76,8 @@ def ion_images_bucketed(points: DataFrame, masses: list[float], tol: float) -> D
     width = max(2 * tol, 0.01)
     rows = [(float(m), b) for m in sorted(set(masses)) for b in range(math.floor((m - tol) / width), math.floor((m + tol) / width) + 1)]
     wanted = points.sparkSession.createDataFrame(rows, "mass double, bucket long")
-    hit = points.withColumn("bucket", F.floor(F.col("mz") / width)).join(F.broadcast(wanted), "bucket")
+    near = points.where(F.col("mz").between(min(masses) - tol, max(masses) + tol))
+    hit = near.withColumn("bucket", F.floor(F.col("mz") / width)).join(F.broadcast(wanted), "bucket")
     hit = hit.where((F.col("mz") >= F.col("mass") - tol) & (F.col("mz") <= F.col("mass") + tol))
     return _last_wins(hit.groupBy("mass", "spectrum_id", "x", "y").agg(F.max("intensity").alias("intensity")), "mass")
 
@@ -70,10 +87,20 @@ def candidates(stats: DataFrame, mz: float, tol: float) -> DataFrame:
     return stats.where((F.lit(mz + tol) >= F.col("MinMZ")) & (F.lit(mz - tol) <= F.col("MaxMZ")))
 
 
+def pruned(points: DataFrame, stats: DataFrame, masses: list[float], tol: float) -> DataFrame:
+    """The points of the spectra whose m/z range meets the window of any mass: the union of the masses' candidates."""
+    meets = [(F.lit(m + tol) >= F.col("MinMZ")) & (F.lit(m - tol) <= F.col("MaxMZ")) for m in masses]
+    found = meets[0]
+    for m in meets[1:]:
+        found = found | m
+    return points.join(stats.where(found).select(F.col("SpectrumID").alias("spectrum_id")), "spectrum_id", "left_semi")
+
+
 def quantize_linear(image: DataFrame, levels: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``level``: intensity scaled to the image's maximum, halves to even."""
-    top = F.max("intensity").over(Window.partitionBy(*by))
-    return image.withColumn("level", F.when(top > 0, F.rint(F.greatest(F.lit(0.0), F.least(F.lit(levels - 1.0), F.col("intensity") * (levels - 1) / top)))).otherwise(0.0).cast("int"))
+    tops = image.groupBy(*by).agg(F.max("intensity").alias("top"))
+    rows, top = image.join(tops, list(by)) if by else image.crossJoin(F.broadcast(tops)), F.col("top")
+    return rows.withColumn("level", F.when(top > 0, F.rint(F.greatest(F.lit(0.0), F.least(F.lit(levels - 1.0), F.col("intensity") * (levels - 1) / top)))).otherwise(0.0).cast("int")).drop("top")
 
 
 def outlier_bounds(image: DataFrame, prob: float = 0.98, by: tuple[str, ...] = ()) -> DataFrame:

@@ -143,9 +143,10 @@ def downsample_spectrum(spark, sf):
     return spectra.downsample(pts_ev(spark, sf), 20)
 
 
-@query(f"with {EV} select spectrum_id, bool_and(mz>=0 and intensity>=0 and isfinite(mz) and isfinite(intensity)) valid from p group by 1")
+@query(f"with {EV}, w as (select *, lag(mz) over (partition by spectrum_id order by pos) before from p) select spectrum_id, bool_and(mz>=0 and intensity>=0 and isfinite(mz) and isfinite(intensity) and (before is null or mz>=before)) valid from w group by 1")
 def qc_validate(spark, sf):
-    return spectra.validate(as_spectra(pts_ev(spark, sf)))
+    """Spectra as they stand in the file, by position, so that an axis out of order shows."""
+    return spectra.validate(as_spectra(pts_ev(spark, sf), by="pos"))
 
 
 def _transformed(method):
@@ -268,39 +269,38 @@ def adaptive_tolerance(spark, sf):
 
 CHAIN = """g as (select *, case when lag(mz) over w is null or mz-lag(mz) over w>0.05e0 then 1 else 0 end brk from {t} window w as (order by mz, spectrum_id, pos)),
  c as (select *, sum(brk) over (order by mz, spectrum_id, pos rows unbounded preceding) seg from g)"""
-TOP = "t3 as (select * from (select *, row_number() over (partition by spectrum_id order by intensity desc, mz, pos) k from p) where k<=3)"
+PICKED = f"{NOISE}, {PEAKS}"
 
 
-def _top(spark, sf):
-    return peaks.top_peaks(pts_ev(spark, sf)).drop("rank")
+def _picked(spark, sf):
+    return peaks.centroid_peaks(pts_ev(spark, sf), 1.5).select("spectrum_id", "pos", "mz", "intensity")
 
 
-@query(f"with {EV}, {TOP}, {CHAIN.format(t='t3')} select round(min(mz),6) mz_lo, round(max(mz),6) mz_hi, round(avg(mz),6) center, count(*) n from c group by seg having count(*)>=2")
+@query(f"with {EV}, {PICKED}, {CHAIN.format(t='pk')} select round(min(mz),6) mz_lo, round(max(mz),6) mz_hi, round(avg(mz),6) center, count(*) n from c group by seg having count(*)>=2")
 def bins_chain(spark, sf):
-    rows = peaks.bin_table(peaks.chain_segments(_top(spark, sf), 0.05), "segment", 2)
+    rows = peaks.bin_table(peaks.chain_segments(_picked(spark, sf), 0.05), "segment", 2)
     return rows.select(*[F.round(c, 6).alias(c) for c in ("mz_lo", "mz_hi", "center")], "n")
 
 
 UNI = "u as (select *, cast(floor((mz-lo)/((hi-lo)/100))+1 as int) bin from {t}, (select min(mz) lo, max(mz) hi from {t}))"
 
 
-@query(f"with {EV}, {TOP}, {UNI.format(t='t3')} select spectrum_id, bin, max(intensity) \"value\" from u where bin<=100 group by 1, 2")
+@query(f"with {EV}, {PICKED}, {UNI.format(t='pk')} select spectrum_id, bin, max(intensity) \"value\" from u where bin<=100 group by 1, 2")
 def bins_uniform(spark, sf):
-    return peaks.features(peaks.uniform_bins(_top(spark, sf), 100), "bin")
+    return peaks.features(peaks.uniform_bins(_picked(spark, sf), 100), "bin")
 
 
-@query(f"""with recursive {EV}, {TOP}, o as (select mz, intensity, row_number() over (order by mz, spectrum_id, pos) k from t3),
- f as (select k, mz, intensity, mz anchor, 1 bin from o where k=1 union all
- select o.k, o.mz, o.intensity, case when o.mz-f.anchor<=0.05e0 then f.anchor else o.mz end, case when o.mz-f.anchor<=0.05e0 then f.bin else f.bin+1 end from f join o on o.k=f.k+1)
- select round(avg(mz),6) mz, round(avg(intensity),6) intensity, count(*) n from f group by bin having count(*)>=2""")
+@query(f"""with recursive {EV}, {PICKED}, f as (select min(mz) anchor from pk union all select (select min(mz) from pk where mz-f.anchor>0.05e0) from f where anchor is not null),
+ a as (select anchor, lead(anchor) over (order by anchor) next from f where anchor is not null)
+ select round(avg(mz),6) mz, round(avg(intensity),6) intensity, count(*) n from pk join a on mz>=anchor and (next is null or mz<next) group by anchor having count(*)>=2""")
 def bins_anchor(spark, sf):
-    rows = peaks.anchor_bins(_top(spark, sf), 0.05, min_peaks=2)
+    rows = peaks.anchor_bins(_picked(spark, sf), 0.05, min_peaks=2)
     return rows.select(F.round("mz", 6).alias("mz"), F.round("intensity", 6).alias("intensity"), "n")
 
 
-@query(f"with {EV}, {TOP}, {CHAIN.format(t='t3')}, b as (select seg, min(mz) lo from c group by 1) select spectrum_id, round(lo,6) mz_lo, max(intensity) \"value\" from c join b using (seg) group by 1, 2")
+@query(f"with {EV}, {PICKED}, {CHAIN.format(t='pk')}, b as (select seg, min(mz) lo from c group by 1) select spectrum_id, round(lo,6) mz_lo, max(intensity) \"value\" from c join b using (seg) group by 1, 2")
 def feature_matrix_long(spark, sf):
-    rows = peaks.chain_segments(_top(spark, sf), 0.05)
+    rows = peaks.chain_segments(_picked(spark, sf), 0.05)
     low = rows.groupBy("segment").agg(F.round(F.min("mz"), 6).alias("mz_lo"))
     return peaks.features(rows, "segment").join(low, "segment").select("spectrum_id", "mz_lo", "value")
 
@@ -369,19 +369,18 @@ def mz_axis_regular(spark, sf):
 
 
 def _scans(spark, sf):
-    p = spark.read.parquet(f"{sf}/events.parquet")
-    return p.where("event_id < 700").select((F.col("event_id") + 1).alias("scan"), (F.col("event_id") * 40).alias("t"))
+    return spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") + 1).alias("scan"), (F.col("event_id") * 40).alias("t"))
 
 
 def _pixels(spark, sf):
-    p = spark.read.parquet(f"{sf}/events.parquet")
-    return p.where("event_id < 700 and event_id % 7 = 0").select((F.col("event_id") / 7 + 1).cast("long").alias("pixel"), (F.col("event_id") * 41 + 13).alias("t"))
+    return spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") + 1).alias("pixel"), (F.col("event_id") * 41 + 13).alias("t"))
 
 
-SCANS = "sc as (select event_id+1 scan, event_id*40 t from events where event_id<700), px as (select cast(event_id/7+1 as bigint) pixel, event_id*41+13 t from events where event_id<700 and event_id%7=0)"
-TIMES = """kk as (select pixel, px.t, (select count(*) from sc where sc.t<px.t) k, (select count(*) from sc) n from px),
- mm as (select *, greatest(1, k) la, greatest(1, lag(k, 1, 1) over (order by pixel)) pf, max(case when k>=n then 1 else 0 end) over (order by pixel rows unbounded preceding) spent from kk),
- ma as (select pixel, t, case when spent=1 then n+1 else least(la, pf) end first_scan, case when spent=1 then n else la end last_scan from mm)"""
+SCANS = "sc as (select event_id+1 scan, event_id*40 t from events), px as (select event_id+1 pixel, event_id*41+13 t from events)"
+TIMES = """bo as (select t, 1 is_scan, null pixel from sc union all select t, 0, pixel from px),
+ kk as (select pixel, t, coalesce(sum(is_scan) over (order by t, is_scan, pixel rows between unbounded preceding and 1 preceding), 0) k, (select count(*) from sc) n, is_scan from bo),
+ mm as (select *, greatest(1, k) la, greatest(1, lag(k, 1, 1) over (order by pixel)) pf, max(case when k>=n then 1 else 0 end) over (order by pixel rows unbounded preceding) spent from kk where is_scan=0),
+ ma as (select pixel, t, cast(case when spent=1 then n+1 else least(la, pf) end as bigint) first_scan, cast(case when spent=1 then n else la end as bigint) last_scan from mm)"""
 
 
 @query(f"with {SCANS}, {TIMES} select pixel, t, first_scan, last_scan from ma")
@@ -391,13 +390,14 @@ def scan_pixel_match(spark, sf):
 
 @query(f"""with {SCANS}, {TIMES}, pd as (select *, greatest(coalesce(lead(t) over (order by pixel)-t, t-lag(t) over (order by pixel), 1), 1) dp from ma),
  sd as (select scan, t ts, greatest(coalesce(lead(t) over (order by scan)-t, t-lag(t) over (order by scan), 1), 1) ds from sc),
+ ex as (select *, unnest(range(first_scan, last_scan+1)) scan from pd where first_scan<=last_scan),
  wt as (select pixel, scan, greatest(0.0e0, case when first_scan=last_scan then dp/ds when scan=first_scan then (ts+ds-t)/ds when scan=last_scan then (t+dp-ts)/ds else 1.0e0 end) weight
- from pd join sd on scan between first_scan and last_scan),
- q as (select event_id%700+1 scan, event_id%50 pos, sum("value") intensity from events group by 1, 2)
+ from ex join sd using (scan)),
+ q as (select event_id+1 scan, user_id%5 pos, "value" intensity from events)
  select pixel, pos, round(sum(weight*intensity), 6) intensity from wt join q using (scan) group by 1, 2""")
 def render_pixel(spark, sf):
     scans, pixels = _scans(spark, sf), _pixels(spark, sf)
-    points = spark.read.parquet(f"{sf}/events.parquet").groupBy((F.col("event_id") % 700 + 1).alias("scan"), (F.col("event_id") % 50).alias("pos")).agg(F.sum("value").alias("intensity"))
+    points = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") + 1).alias("scan"), (F.col("user_id") % 5).alias("pos"), F.col("value").alias("intensity"))
     rows = convert.render(convert.scan_weights(convert.match_times(scans, pixels), scans), points)
     return rows.select("pixel", "pos", F.round("intensity", 6).alias("intensity"))
 

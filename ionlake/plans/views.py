@@ -48,9 +48,9 @@ def pts_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spectra(points: DataFrame) -> DataFrame:
-    """One row a spectrum with its arrays in m/z order; positions break ties."""
-    rows = points.groupBy("spectrum_id", "x", "y").agg(F.sort_array(F.collect_list(F.struct("mz", "pos", "intensity"))).alias("p"))
+def spectra(points: DataFrame, by: str = "mz") -> DataFrame:
+    """One row a spectrum with its arrays in m/z order, positions break ties, or in order of position."""
+    rows = points.groupBy("spectrum_id", "x", "y").agg(F.sort_array(F.collect_list(F.struct(*(("mz", "pos") if by == "mz" else ("pos", "mz")), "intensity"))).alias("p"))
     return rows.select("spectrum_id", "x", "y", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
 
 
