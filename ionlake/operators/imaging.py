@@ -48,6 +48,26 @@ def masked(rows: DataFrame, mask: DataFrame, size: tuple[int, int] | None = None
     return rows.join(mask, ["x", "y"], "left_semi")
 
 
+def mask_flipped(mask: DataFrame, axis: str) -> DataFrame:
+    """The mask (x, y) mirrored within the raster that it spans."""
+    rows = mask.crossJoin(F.broadcast(mask.agg(F.max(axis).alias("top"))))
+    turned = (F.col("top") - F.col(axis) + 1).cast("int").alias(axis)
+    return rows.select(*((turned, "y") if axis == "x" else ("x", turned)))
+
+
+def mask_shifted(mask: DataFrame, dx: int, dy: int) -> DataFrame:
+    """The mask moved; what leaves the raster that it spans goes."""
+    rows = mask.crossJoin(F.broadcast(mask.agg(F.max("x").alias("w"), F.max("y").alias("h")))).withColumn("x", (F.col("x") + dx).cast("int")).withColumn("y", (F.col("y") + dy).cast("int"))
+    return rows.where((F.col("x") >= 1) & (F.col("y") >= 1) & (F.col("x") <= F.col("w")) & (F.col("y") <= F.col("h"))).select("x", "y")
+
+
+def mask_inverse(mask: DataFrame) -> DataFrame:
+    """The pixels of the raster that the mask spans and does not hold."""
+    size = mask.agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    grid = size.select("h", F.explode(F.sequence(F.lit(1), "w")).alias("x")).select("x", F.explode(F.sequence(F.lit(1), "h")).alias("y"))
+    return grid.join(mask, ["x", "y"], "left_anti").select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
 def outside(rows: DataFrame, mask: DataFrame) -> DataFrame:
     return rows.join(mask, ["x", "y"], "left_anti")
 

@@ -55,6 +55,14 @@ def accuracy(matched: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def regional_report(matched: DataFrame, by: str) -> DataFrame:
+    """(by, mean_ppm, n_matches, range_of_means): errors by region, and the distance of the least and greatest finite mean."""
+    each = matched.groupBy(by).agg(F.avg("ppm").alias("m"), F.count("*").alias("n_matches"))
+    finite = F.when(~F.isnan("m"), F.col("m"))
+    span = each.agg(F.round(F.max(finite) - F.min(finite), 6).alias("range_of_means"))
+    return each.crossJoin(F.broadcast(span)).select(by, F.round("m", 6).alias("mean_ppm"), "n_matches", "range_of_means")
+
+
 def adaptive_tolerance(matched: DataFrame) -> DataFrame:
     """Mean and three deviations, between 10 and 100 ppm; 20 without finite errors."""
     tol = F.greatest(F.lit(10.0), F.least(F.lit(100.0), F.avg("ppm") + 3 * F.stddev_samp("ppm")))

@@ -99,3 +99,54 @@ def validate(spectra: DataFrame) -> DataFrame:
     rising = ~F.exists(F.sequence(F.lit(1), F.size(mz) - 1), lambda k: mz[k] < mz[k - 1])
     valid = (F.size(mz) > 0) & (F.size(mz) == F.size("intensity")) & F.forall(mz, sound) & F.forall("intensity", sound) & F.when(F.size(mz) > 1, rising).otherwise(True)
     return spectra.select("spectrum_id", valid.alias("valid"))
+
+
+def apply_spectra(spectra: DataFrame, function, schema: str) -> DataFrame:
+    """A user's function of (spectrum_id, mz, intensity), numpy arrays, on every spectrum; it returns a tuple of ``schema`` or None.
+
+    Spectra come in Arrow batches of bounded rows; nothing is gathered.
+    """
+    import pyarrow as pa
+
+    empty = spectra.sparkSession.createDataFrame([], schema)
+    types = [(f.name, f.dataType) for f in empty.schema.fields]
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fields = pa.schema([(n, to_arrow_type(t)) for n, t in types])
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                mz, intensity = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+                found = function(batch.column(0)[i].as_py(), mz, intensity)
+                if found is not None:
+                    out.append(found)
+            columns = list(zip(*out, strict=True)) or [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return spectra.select("spectrum_id", "mz", "intensity").where("mz is not null and intensity is not null").mapInArrow(run, schema)
+
+
+def iterate(spectra: DataFrame):
+    """The spectra in order of their ids, one after another, a partition at a time on the driver."""
+    yield from spectra.orderBy("spectrum_id").toLocalIterator()
+
+
+def processed_total(points: DataFrame, bins: int = 2000, mean: bool = False) -> DataFrame:
+    """The sum or mean spectrum of processed points, over their own range; an empty table gives an empty one."""
+    return total_spectrum(points, bins, mean=mean)
+
+
+def noise_hints(noise: DataFrame, resolution: float | None = None) -> DataFrame:
+    """(noise, window): the mean of the positive finite noise levels, and a smoothing window by the instrument's resolution."""
+    level = F.col("noise")
+    usable = (level > 0) & ~F.isnan(level) & (level < float("inf"))
+    window = 5 if resolution and resolution > 40000 else 7 if resolution and resolution > 10000 else 9
+    return noise.agg(F.avg(F.when(usable, level)).alias("noise")).select("noise", F.lit(window).alias("window"))
+
+
+def peak_characteristics(points: DataFrame) -> DataFrame:
+    """(mean_points, median_points, total_points, n_spectra) over spectra that hold any."""
+    counts = points.groupBy("spectrum_id").agg(F.count("*").alias("n"))
+    return counts.agg(F.avg("n").alias("mean_points"), F.median("n").alias("median_points"), F.sum("n").alias("total_points"), F.count("*").alias("n_spectra"))

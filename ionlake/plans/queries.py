@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.operators import convert, imaging, peaks, signal, spectra
+from ionlake.operators import convert, datasets, imaging, peaks, signal, spectra
 from ionlake.plans.views import EM, EV, LI, MASK, checker_mask, pts_em, pts_ev, pts_li
 from ionlake.plans.views import spectra as as_spectra
 
@@ -413,6 +413,120 @@ def metadata_summary(spark, sf):
     return spectra.metadata_summary(spectra.statistics(pts_ev(spark, sf)))
 
 
+@query(f"with {EV}, s as (select spectrum_id, sum(mz*intensity)/sum(intensity) centre, count(*) n from p group by 1) select spectrum_id, round(centre, 6) centre, n from s")
+def apply_spectra(spark, sf):
+    """A user's function over all spectra: the intensity-weighted centre."""
+    found = spectra.apply_spectra(as_spectra(pts_ev(spark, sf)), lambda i, mz, y: (i, float((mz * y).sum() / y.sum()), len(mz)), "spectrum_id long, centre double, n long")
+    return found.withColumn("centre", F.round("centre", 6))
+
+
+def _processed_sql(mean: bool) -> str:
+    return f"""with {EV}, t as (select spectrum_id, mz, sqrt(greatest(0, intensity)) i from p), k as (select spectrum_id, sum(i) k from t group by 1),
+ q as (select spectrum_id, mz, i/k intensity from t join k using (spectrum_id)), r as (select min(mz) lo, max(mz) hi from q), c as (select count(distinct spectrum_id) n from q),
+ b as (select cast(greatest(1, least(200, floor((mz-lo)*(199/(hi-lo))+1))) as int) bin, sum(intensity) s from q, r group by 1), g as (select cast(k as int) bin from range(1, 201) t(k))
+ select g.bin, round(lo+(g.bin-1)*((hi-lo)/199), 6) mz, round(coalesce(s, 0)/{"c.n" if mean else "1"}, 6) intensity, c.n n_spectra from g left join b on g.bin=b.bin, r, c"""
+
+
+def _processed(spark, sf):
+    rows = pts_ev(spark, sf).withColumn("intensity", signal.transform("sqrt"))
+    return signal.normalized(rows, "tic")
+
+
+@query(_processed_sql(False))
+def processed_sum_spectrum(spark, sf):
+    return spectra.processed_total(_processed(spark, sf), 200)
+
+
+@query(_processed_sql(True))
+def processed_mean_spectrum(spark, sf):
+    return spectra.processed_total(_processed(spark, sf), 200, mean=True)
+
+
+@query(f"with {EV}, {NOISE} select round(avg(noise) filter (where noise>0 and isfinite(noise)), 6) noise, 7 \"window\" from nz")
+def noise_hints(spark, sf):
+    return spectra.noise_hints(signal.noise(pts_ev(spark, sf)), 20000.0).withColumn("noise", F.round("noise", 6))
+
+
+@query(f"with {LI}, n as (select count(*) n from p group by spectrum_id) select round(avg(n), 6) mean_points, median(n) median_points, cast(sum(n) as bigint) total_points, count(*) n_spectra from n")
+def peak_characteristics(spark, sf):
+    return spectra.peak_characteristics(pts_li(spark, sf)).withColumn("mean_points", F.round("mean_points", 6))
+
+
+@query(f"with {EV}, q as (select spectrum_id, x, y, mz, case when pos%13=0 then 0.0e0 else intensity end intensity from p where x between 1 and 10 and y between 1 and 8), {_image_sql('mz between 105.0e0 and 115.0e0').replace('from p', 'from q')} select * from img")
+def ion_image_raster(spark, sf):
+    """Only pixels inside the raster count, and NaN intensities are 0."""
+    p = pts_ev(spark, sf)
+    return imaging.ion_image(p.withColumn("intensity", F.when(F.col("pos") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("intensity"))), 110.0, 5.0, size=(10, 8))
+
+
+@query(f"with {LI}, {STATS}, masses as (select unnest([1000.0e0, 2000.0e0, 104000.0e0]) mass), ok as (select distinct \"SpectrumID\" spectrum_id from st, masses where mass+50.0e0>=\"MinMZ\" and mass-50.0e0<=\"MaxMZ\"), {_image_sql('mz between mass-50.0e0 and mass+50.0e0', 'mass', 'semi join ok using (spectrum_id), masses')} select * from img")
+def ion_images_pruned(spark, sf):
+    """Spectra whose range meets no window are left out before any of their points is looked at."""
+    p = pts_li(spark, sf)
+    return imaging.ion_images(imaging.pruned(p, spectra.statistics(p), [1000.0, 2000.0, 104000.0], 50.0), [1000.0, 2000.0, 104000.0], 50.0)
+
+
+@query(f"""with {EV}, m as (select distinct x, y from p where (x+y)%3<>0), z as (select max(x) w, max(y) h from m)
+ select 'flip_x' op, cast(w-x+1 as int) x, y from m, z union all select 'flip_y', x, cast(h-y+1 as int) from m, z union all select 'shift', cast(x+2 as int), cast(y-1 as int) from m, z where x+2<=w and y-1>=1
+ union all select 'inverse', cast(a as int), cast(b as int) from z, range(1, 1000) r(a), range(1, 1000) q(b) where a<=w and b<=h and not exists (select 1 from m where m.x=a and m.y=b)""")
+def mask_ops(spark, sf):
+    """Flips, a shift and the inverse of a mask, as pixels."""
+    from functools import reduce
+
+    mask = checker_mask(pts_ev(spark, sf))
+    rows = [imaging.mask_flipped(mask, "x"), imaging.mask_flipped(mask, "y"), imaging.mask_shifted(mask, 2, -1), imaging.mask_inverse(mask)]
+    return reduce(DataFrame.union, [r.select(F.lit(n).alias("op"), "x", "y") for n, r in zip(("flip_x", "flip_y", "shift", "inverse"), rows, strict=True)])
+
+
+@query(f"""with {LI}, {MATCH}, reg as (select distinct x, y, cast(x%3 as int) region from p), a as (select region, avg(ppm) m, count(*) n from ac join (select distinct spectrum_id, x, y from p) using (spectrum_id) join reg using (x, y) group by 1)
+ select region, round(m, 6) mean_ppm, n n_matches, round((select max(m)-min(m) from a), 6) range_of_means from a""")
+def regional_masks(spark, sf):
+    """Accuracy by the regions of masks, and how far the regions' means lie apart."""
+    p = pts_li(spark, sf)
+    region = p.select("x", "y", (F.col("x") % 3).cast("int").alias("region")).distinct()
+    found = _matched(spark, sf).join(p.select("spectrum_id", "x", "y").distinct(), "spectrum_id").join(region, ["x", "y"])
+    return peaks.regional_report(found, "region")
+
+
+FILES = f"f as (select 'a' file, x, y, intensity from (with {EV}, {IMAGE} select * from img) union all select 'b', x, y, intensity from (with {EM}, {IMAGE} select * from img))"
+
+
+@query(f"with {FILES}, img as (select * from f), {_triq_sql('')} select file, x, y, intensity, {LEVEL} from img, bd")
+def several_files(spark, sf):
+    """One contrast for the images of several data sets."""
+    both = datasets.together({"a": imaging.ion_image(pts_ev(spark, sf), 110.0, 5.0), "b": imaging.ion_image(pts_em(spark, sf), 110.0, 5.0)})
+    return imaging.set_depth(both, imaging.outlier_bounds(both)).select("file", "x", "y", "intensity", "level")
+
+
+@query("with i as (select user_id%7 folder, 'img_' || (event_id%1000) || '.bmp' name from events group by 1, 2), k as (select *, regexp_extract(name, '[0-9]+') d from i) select folder, name, coalesce(lag(name) over w, name) previous, coalesce(lead(name) over w, name) \"next\" from k window w as (partition by folder order by lpad(d, 20, '0'), name)")
+def image_neighbours(spark, sf):
+    """The images before and after each in natural order."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return datasets.with_neighbours(e.select((F.col("user_id") % 7).alias("folder"), F.concat(F.lit("img_"), (F.col("event_id") % 1000).cast("string"), F.lit(".bmp")).alias("name")).distinct(), "folder", "name")
+
+
+@query("select count(*) n, count(distinct user_id) n_distinct, count(*)<>count(distinct user_id) duplicates from events")
+def duplicate_indices(spark, sf):
+    return datasets.has_duplicates(spark.read.parquet(f"{sf}/events.parquet"), "user_id")
+
+
+@query("select p_partkey, p_retailprice>1000 is_imzml from part")
+def batch_list(spark, sf):
+    """A list that takes in what it doesn't hold yet."""
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_retailprice") > 1000).alias("is_imzml"))
+    return datasets.appended(rows.where("is_imzml"), rows, "p_partkey")
+
+
+@query("select p_partkey from part where p_retailprice>1000")
+def image_capable(spark, sf):
+    return datasets.image_capable(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_retailprice") > 1000).alias("is_imzml"))).select("p_partkey")
+
+
+@query(f"with {EV} select distinct x, y, cast((y-1)*15+x as int) flat from p")
+def pixel_numbers(spark, sf):
+    return pts_ev(spark, sf).select("x", "y", datasets.flat_index(15).cast("int").alias("flat")).distinct()
+
+
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     return as_spectra(pts_em(spark, sf))
 
