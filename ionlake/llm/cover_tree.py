@@ -1,12 +1,14 @@
 """Exact near-duplicate embeddings by dual traversal of a cover tree.
 
-Unit vectors at distance t or less are those with cosine 1 - t*t/2 or more. The upper levels of the tree are
-the first centres of a farthest-first order of a bounded sample: each prefix of that order is a net, and the
-nets nest with halving radii. All vectors join their nearest centre's cell; Spark measures each cell's covering
-radius over all its vectors. Cell pairs that the radii keep apart are dropped; each other pair is one task's
-work, which descends the lower levels (nets of halving radii within a cell) on both sides at once: node pairs
-too far apart go, node pairs that are near as a whole count without looking at their vectors, and the rest is
-compared in double precision. Tasks return counts and spanning edges, never pairs.
+Unit vectors at distance t or less are those with cosine 1 - t*t/2 or more. The tree's upper levels are tables: a node
+with more vectors than a task should hold is split by centres of its own, the first of a farthest-first order of a
+sample of it, until they cover the sample within half of the node's radius or the fan is full; all its vectors join
+their nearest centre, and Spark measures each child's covering radius over all of them. The tree is traversed against
+itself by joins, level by level: pairs of nodes that their radii keep apart are dropped, the others open into the pairs
+of their children, down to pairs of leaves. Each of these is one task's work, which descends the lower levels (nets of
+halving radii within a leaf) on both sides at once: node pairs too far apart go, node pairs that are near as a whole
+count without looking at their vectors, and the rest is compared in double precision. Tasks return counts and spanning
+edges, never pairs; nothing but a few counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from ionlake.llm.common import Scratch
 from ionlake.llm.graph import components
 
-#: Vectors fetched to choose centres from, vectors a part aims at, and centres at most.
-SAMPLE, PART, CENTRES = 2048, 4096, 256
-#: Radii of the nets inside a part, from the top.
+#: Vectors that a node's centres are chosen from, vectors that a leaf holds at most, children of a node at most, and vectors that one placing task gets.
+SAMPLE, PART, FAN, BLOCK = 1024, 4096, 32, 16384
+#: Levels that split by distance; below, nodes are dealt by number (vectors that many others surround within rounding).
+DEEPEST = 24
+#: Radii of the nets inside a leaf, from the top.
 RADII = (0.5, 0.25, 0.125)
 #: More than the rounding error of a distance computed from a dot product in single or double precision.
 SLACK32, SLACK = 2e-3, 1e-7
@@ -33,10 +37,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
 
-def farthest_first(units: np.ndarray, most: int) -> np.ndarray:
+def farthest_first(units: np.ndarray, most: int, radius: float = 1e-6) -> np.ndarray:
     """Indices of the first centres; a prefix that ends where the next distance falls below r is an r-net."""
     chosen, away = [0], _distances(units, units[:1])[:, 0]
-    while len(chosen) < min(most, len(units)) and away.max() > 1e-6:
+    while len(chosen) < min(most, len(units)) and away.max() > radius:
         chosen.append(int(away.argmax()))
         away = np.minimum(away, _distances(units, units[chosen[-1:]])[:, 0])
     return np.array(chosen)
@@ -190,72 +194,130 @@ def _work(cosine: float):
     return run
 
 
+ROOT = "r"
+
+
+def _split(part: int, fan: int):
+    """Of one node's sample: the centres of its children, a single one if all are one point."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key")
+        units, n = _units(group["embedding"]), int(group["n"].iloc[0])
+        chosen = farthest_first(units, min(fan, max(2, -(-2 * n // part))), max(1e-6, float(group["radius"].iloc[0]) / 2))
+        if len(chosen) == 1 and _distances(units, units[:1]).max() > 1e-6:
+            chosen = farthest_first(units, 2)
+        alone = len(chosen) == 1
+        return pd.DataFrame({"cell": group["cell"].iloc[0], "child": range(len(chosen)), "alone": alone, "centre": list(units[chosen])})
+
+    return run
+
+
+def _place(part: int):
+    """A block of one node's vectors at their nearest child; dealt by number where the node has one centre."""
+
+    def run(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        centres, rows = centres.sort_values("child"), rows.sort_values("key")
+        if not len(rows):
+            return pd.DataFrame({"key": [], "copies": [], "embedding": [], "cell": [], "away": []})
+        away = _distances(_units(rows["embedding"]), np.array(centres["centre"].tolist()))
+        child, off = away.argmin(axis=1).astype(str), away.min(axis=1)
+        if bool(centres["alone"].iloc[0]) or int(rows["level"].iloc[0]) >= DEEPEST:
+            parts = -(-int(rows["n"].iloc[0]) // part)
+            child = [f"{c}.{k % parts}" for k, c in enumerate(child)]
+        return pd.DataFrame({"key": rows["key"], "copies": rows["copies"], "embedding": rows["embedding"], "cell": [f"{c}/{k}" for c, k in zip(rows["cell"], child, strict=True)], "away": off})
+
+    return run
+
+
+def _tree(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(key, copies, embedding, cell) with the leaf of each vector, and (parent, node, centre, radius) of all nodes below the root."""
+    rows, nodes, level = scratch.keep(reps.select("key", "copies", "embedding", F.lit(ROOT).alias("cell"), F.lit(2.0).alias("radius"))), None, 0
+    leaves = None
+    while True:
+        sized = scratch.keep(rows.groupBy("cell").agg(F.count("*").alias("n")))
+        big = sized.where(F.col("n") > PART)
+        fit = rows.join(big.select("cell"), "cell", "left_anti").select("key", "copies", "embedding", "cell")
+        leaves = fit if leaves is None else leaves.union(fit)
+        if not big.head(1):
+            return scratch.keep(leaves), nodes
+        open_rows = scratch.keep(rows.join(big, "cell").withColumn("level", F.lit(level)))
+        sample = open_rows.where(F.pmod(F.xxhash64("key", "level"), F.col("n")) < SAMPLE)
+        centres = scratch.keep(sample.groupBy("cell").applyInPandas(_split(PART, FAN), "cell string, child int, alone boolean, centre array<double>"))
+        block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).alias("block")
+        blocks = big.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
+        dealt = open_rows.select("key", "copies", "embedding", "cell", "n", "level", block)
+        placed = dealt.groupBy("cell", "block").cogroup(centres.join(blocks, "cell").groupBy("cell", "block"))
+        placed = scratch.keep(placed.applyInPandas(_place(PART), "key long, copies long, embedding array<float>, cell string, away double"))
+        radii = placed.groupBy("cell").agg(F.max("away").alias("radius"))
+        parent, child = F.regexp_replace("cell", "/[^/]*$", ""), F.regexp_extract("cell", "/([0-9]+)[^/]*$", 1).cast("int")
+        made = radii.select(parent.alias("parent"), F.col("cell").alias("node"), "radius", child.alias("child")).join(centres.select(F.col("cell").alias("parent"), "child", "centre"), ["parent", "child"])
+        made = scratch.keep(made.select("parent", "node", "centre", "radius"))
+        nodes = made if nodes is None else nodes.union(made)
+        rows = scratch.keep(placed.join(radii, "cell").select("key", "copies", "embedding", "cell", "radius"))
+        level += 1
+
+
+def _leaf_pairs(nodes: DataFrame | None, limit: float, scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """(a, b), a <= b: the pairs of leaves that may hold links, by traversing the tree against itself from the root."""
+    now = rows.sparkSession.createDataFrame([(ROOT, ROOT)], "a string, b string")
+    if nodes is None:
+        return now
+    inner = nodes.select(F.col("parent").alias("node")).distinct()
+    ends = nodes.join(inner, "node", "left_anti").select(F.col("node").alias("parent"), "node", "centre", "radius", F.lit(True).alias("leaf"))
+    kids = scratch.keep(nodes.join(inner, "node", "left_semi").select("parent", "node", "centre", "radius", F.lit(False).alias("leaf")).union(nodes.join(inner, "node", "left_anti").select("parent", "node", "centre", "radius", F.lit(True))).union(ends))
+    one, other = (kids.select(F.col("parent").alias(f"p{k}"), F.col("node").alias(f"n{k}"), F.col("centre").alias(f"c{k}"), F.col("radius").alias(f"r{k}"), F.col("leaf").alias(f"l{k}")) for k in (0, 1))
+    while True:
+        met = now.join(one, F.col("a") == F.col("p0")).join(other, F.col("b") == F.col("p1")).where("a < b or n0 <= n1")
+        away = F.sqrt(F.aggregate(F.zip_with("c0", "c1", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
+        near = met.where((F.col("n0") == F.col("n1")) | (away <= F.col("r0") + F.col("r1") + limit))
+        now = scratch.keep(near.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b"), (F.col("l0") & F.col("l1")).alias("done")).distinct())
+        if not now.where("not done").head(1):
+            return now.select("a", "b")
+        now = now.select("a", "b")
+
+
 def _links_of(reps: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
-    """(rep, links, root) by task, for representatives of one dimension."""
-    n = reps.count()
-    sample = _units(reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()["embedding"])
-    centres = sample[farthest_first(sample, max(1, min(CENTRES, -(-n // PART))))]
-    sent = reps.sparkSession.sparkContext.broadcast(centres)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            away = _distances(_units(batch["embedding"]), sent.value)
-            yield batch.assign(cell=away.argmin(axis=1), away=away.min(axis=1))
-
-    placed = scratch.keep(reps.mapInPandas(place, "rep long, copies long, embedding array<float>, cell long, away double"))
-    cells = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).orderBy("cell").toPandas()
-    radius, parts = np.zeros(len(centres)), np.ones(len(centres), dtype=np.int64)
-    radius[cells["cell"]], parts[cells["cell"]] = cells["radius"], -(-cells["n"] // (2 * PART))
-    limit = np.sqrt(2 - 2 * cosine) + SLACK
-    meet = _distances(centres, centres) <= radius[:, None] + radius[None, :] + limit
-    here = np.isin(np.arange(len(centres)), cells["cell"])
-    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(meet & here[:, None] & here[None, :]), strict=True) if i <= j]
-    spark = reps.sparkSession
-    frame = spark.createDataFrame([(i, j, int(parts[i]), int(parts[j])) for i, j in pairs], "i long, j long, parts_i long, parts_j long")
-    split = frame.select("i", "j", F.explode(F.sequence(F.lit(0), F.col("parts_i") - 1)).alias("p"), "parts_j").select("i", "j", "p", F.explode(F.sequence(F.lit(0), F.col("parts_j") - 1)).alias("q"))
-    tasks = split.where("i < j or p <= q").select(F.concat_ws("-", "i", "p", "j", "q").alias("task"), "i", "p", "j", "q", ((F.col("i") == F.col("j")) & (F.col("p") == F.col("q"))).alias("own"))
-    ends = tasks.select("task", "own", F.lit(0).alias("side"), F.col("i").alias("cell"), F.col("p").alias("part")).union(
-        tasks.where("not own").select("task", "own", F.lit(1), F.col("j"), F.col("q"))
-    )
-    many = spark.createDataFrame([(int(c), int(parts[c])) for c in cells["cell"]], "cell long, parts long")
-    rows = placed.join(F.broadcast(many), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
-    sent_out = rows.join(ends, ["cell", "part"]).select("task", "own", "side", "rep", "copies", "embedding")
+    """(rep, links, root) by task, for vectors (key, copies, embedding) of one dimension; rep and root are keys."""
+    rows, nodes = _tree(reps, scratch)
+    pairs = _leaf_pairs(nodes, float(np.sqrt(2 - 2 * cosine)) + SLACK, scratch, rows)
+    tasks = pairs.select(F.concat_ws("|", "a", "b").alias("task"), "a", "b", (F.col("a") == F.col("b")).alias("own"))
+    ends = tasks.select("task", "own", F.lit(0).alias("side"), F.col("a").alias("cell")).union(tasks.where("not own").select("task", "own", F.lit(1), F.col("b")))
+    sent_out = rows.join(ends, "cell").select("task", "own", "side", F.col("key").alias("rep"), "copies", "embedding")
     return sent_out.groupBy("task").applyInPandas(_work(cosine), "rep long, links long, root long")
 
 
+def _sound(column: str):
+    return F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
 
     Two vectors are linked if their cosine in double precision is at least ``cosine`` (above 0). A vector that
     is null, empty or zero, or holds nulls or non-finite numbers, links with nothing; so do vectors of different
     lengths. Equal vectors are represented once and counted in full. Rows with a null id are kept and link with
-    nothing. The centres come from SAMPLE vectors with the least hash, which fixes the work's layout and not its
-    result.
+    nothing. Rows that share an id are vectors of their own, each with its links and its component. The centres come
+    from samples by hash, which fix the work's layout and not its result. Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    sound = rows.where("vec_id is not null and embedding is not null").where(
-        F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    )
-    reps = scratch.keep(sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "embedding"))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & _sound("embedding"), F.lit(False))
+    sound = rows.where(usable)
+    reps = sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    reps = scratch.keep(reps.withColumn("key", F.monotonically_increasing_id()))
     found = None
     for (size,) in reps.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect():
-        part = _links_of(reps.where(F.size("embedding") == size), cosine, scratch)
+        part = _links_of(reps.where(F.size("embedding") == size).select("key", "copies", "embedding"), cosine, scratch)
         found = part if found is None else found.union(part)
+    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + 0).alias("component_id"), F.lit(True).alias("kept"))
     if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + 0).alias("component_id"), F.lit(True).alias("kept"))
+        return alone
     found = scratch.keep(found)
-    classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
-    classes = scratch.keep(classes)
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_rep = reps.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+    classes = scratch.keep(components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("node", "key"))
+    least = classes.join(reps.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("least"))
+    counts = found.groupBy(F.col("rep").alias("key")).agg(F.sum("links").alias("links"))
+    of_rep = reps.join(counts, "key", "left").join(classes.join(least, "component").select("key", "least"), "key", "left").select(
+        "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component")
     )
     linked = sound.join(of_rep, "embedding").select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
-    rest = rows.where("vec_id is null or embedding is null").union(
-        rows.where("vec_id is not null and embedding is not null").where(
-            ~(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-        )
-    )
-    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + 0).alias("component_id"), F.lit(True).alias("kept"))
     return linked.union(alone)

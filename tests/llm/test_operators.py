@@ -159,6 +159,26 @@ def test_cover_tree_equals_brute_force(spark):
     assert cover_tree.near_duplicates(empty).count() == 0
 
 
+def test_many_leaves_and_repeated_ids(spark, monkeypatch):
+    """A tree of several levels, clusters, copies beyond a leaf, and two vectors of one id."""
+    for name, value in (("PART", 60), ("SAMPLE", 60), ("FAN", 6), ("BLOCK", 128)):
+        monkeypatch.setattr(cover_tree, name, value)
+    r = np.random.default_rng(17)
+    x = np.concatenate([r.normal(size=(60, 6)), *(r.normal(size=6) * 3 + s * r.normal(size=(40, 6)) for s in (0.02, 0.1, 0.3, 0.6)), np.tile(r.normal(size=6), (70, 1)) * (1 + np.arange(70))[:, None]])
+    rows = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+    rows += [(5, rows[100][1]), (7, rows[70][1]), (None, rows[0][1])]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.near_duplicates(spark.createDataFrame([(*v, 1, "x") for v in rows], "vec_id long, embedding array<float>, cell int, key string")).collect()), key=str)
+    ids, u = [i for i, _ in rows[:-1]], np.array([v for _, v in rows[:-1]], dtype=np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.array(ids)
+    for _ in range(len(ids)):
+        label = np.array([min([label[i], *label[near[i]]]) for i in range(len(ids))])
+    want = sorted([(i, int(near[k].sum()), int(label[k]), i == label[k]) for k, i in enumerate(ids)] + [(None, 0, None, True)], key=str)
+    assert got == want
+
+
 def test_dual_traversal_in_levels():
     r = np.random.default_rng(6)
     x = np.concatenate([r.normal(size=(50, 5)), r.normal(size=5) + 0.01 * r.normal(size=(80, 5)), r.normal(size=5) + 0.2 * r.normal(size=(80, 5))])
