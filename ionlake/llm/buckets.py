@@ -71,17 +71,20 @@ def linked_components(
     members = members.where(F.col("members") > SMALL)
     degrees = members.groupBy("id").agg(F.sum("members").alias("degree"))
     members = scratch.keep(members.drop("members").join(degrees, "id"))
-    done, rows, k, last, before = None, members.count(), 0, False, float("inf")
+    spent, rows, last, before = None, members.count(), False, float("inf")
     while rows and not last:
+        if spent is not None:
+            members = members.join(spent, ["bucket", "id"], "left_anti")
         placed = members.withColumn("part", F.col("id"))
         if found is not None:
             placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-        if done is not None:
-            placed = placed.join(done, ["bucket", "id"], "left_anti")
-        if k:
+        if found is not None or spent is not None:
             several = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
             placed = scratch.keep(placed.join(several, "bucket"))
-            crossing = _crossing(placed)
+            #: What is one component stays one, so later rounds need no more than these.
+            members, crossing = placed.drop("part"), _crossing(placed)
+            if not crossing:
+                break
             last, before = crossing <= FULL * rows or crossing > WORTH * before, crossing
         if last:
             placed = placed.join(scratch.keep(sketches(placed.select("id").distinct())), "id")
@@ -92,12 +95,11 @@ def linked_components(
             centre = scratch.keep(centre)
             meets = placed.join(centre, "bucket").where("id <> c.id and part <> c.part").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c.id").alias("b"), F.col("c.n").alias("n_b"))
             spent = centre.select("bucket", F.col("c.id").alias("id"))
-            done = spent if done is None else done.union(spent)
         pairs = meets.where(_alike(percent, words if last else 0)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         fresh = scratch.keep(pairs.join(tried, ["u", "v"], "left_anti"))
-        k += 1
         if fresh.head(1):
             linked, tried = scratch.keep(confirm(fresh)), tried.union(fresh)
             links = linked if found is None else found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(linked)
             found = scratch.keep(components(links, scratch))
+        scratch.release()
     return found

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ionlake.llm import bpe, chaining, cover_tree, entropy_mix, graph, license_scan, line_dedup, media_chunks, minmax_dedup, style_tree, toxicity
 from ionlake.llm.common import Scratch
@@ -287,6 +288,19 @@ def test_lines_equal_brute_force(spark):
     assert all(texts[i] == "\n".join(t.split("\n")[k - 1] for k in got.get(i, [])) for i, t in rows)
 
 
+def test_large_buckets_without_links_end(spark):
+    """More members than are compared at once, none of them alike; and alike ones that no single centre links."""
+    from ionlake.llm.buckets import linked_components
+
+    rows = [(1, i, 10, 40) for i in range(40)] + [(2, i, 10, 20) for i in range(20)]
+    members = spark.createDataFrame(rows, "bucket long, id long, n long, members long")
+    sketch = lambda ids: ids.select("id", F.array(F.lit(0).cast("long")).alias("sketch"))
+    none = linked_components(members, lambda pairs: pairs.where("false"), Scratch(spark, "t"), 80, sketch, 1)
+    assert none is None or none.count() == 0
+    near = linked_components(members, lambda pairs: pairs.where("v - u = 1"), Scratch(spark, "t"), 80, sketch, 1)
+    assert {(r["node"], r["component"]) for r in near.collect()} == {(i, 0) for i in range(40)}
+
+
 def test_lines_of_all_sizes_are_signed_alike(spark):
     r, rows = random.Random(15), []
     for k in range(20):
