@@ -82,6 +82,20 @@ def fwhm(x: np.ndarray, y: np.ndarray, i: int) -> float:
     return float(hi - lo)
 
 
+def robust_fwhm(x: np.ndarray, y: np.ndarray, i: int, widest: float = 1.0) -> float:
+    """The width at half height, nan for short spectra, peaks within two points of an end, and widths not between 0 and ``widest``."""
+    if len(y) < 5 or i < 2 or i > len(y) - 3:
+        return float("nan")
+    width = fwhm(x, y, i)
+    return width if np.isfinite(width) and 0 < width <= widest else float("nan")
+
+
+def resolution(x: np.ndarray, y: np.ndarray, i: int) -> float:
+    """m/z over the width at half height; nan without one."""
+    width = robust_fwhm(x, y, i)
+    return float(x[i] / width) if np.isfinite(width) else float("nan")
+
+
 def gaussian_r2(x: np.ndarray, y: np.ndarray, i: int, half: int) -> float:
     """How well a Gaussian of the peak's height, place and width explains it; 0 without a width."""
     width = fwhm(x, y, i)

@@ -567,6 +567,15 @@ def _register() -> None:
         rows = [(k, n, str(v)) for k, d in recommend(pts_em(spark, sf).drop("region"), [110.0, 120.0]).items() for n, v in d.items()]
         return spark.createDataFrame(rows, "step string, name string, value string")
 
+    def resolution_of_peaks(spark, sf):
+        import numpy as np
+
+        from ionlake.functions import kernels
+
+        top = lambda i, mz, y: (i, float(mz[(k := int(np.argmax(y)))]), kernels.robust_fwhm(mz, y, k, 50.0), kernels.fwhm(mz, y, k))
+        return spectra.apply_spectra(_profiles(spark, sf), top, "spectrum_id long, mz double, robust double, fwhm double")
+
+    QUERIES["resolution_of_peaks"] = resolution_of_peaks
     QUERIES.update({"peaks_profile": _peaks_of(pick), "peaks_wavelet": _peaks_of(Step("peak_picking", {"method": "wavelet", "snr": 1.0}))})
     for method in ("linear", "lowess", "ransac"):
         QUERIES[f"align_{method}"] = lambda spark, sf, m=method: peak_rows(run_steps(_profiles(spark, sf), [pick, Step("peak_alignment", {"method": m, "tol": 0.6})])[0]).select("spectrum_id", "pos", "mz")

@@ -9,12 +9,16 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ionlake.schema import UNKNOWN, FileFormatError
+from ionlake.schema import UNKNOWN, FileFormatError, InstrumentMetadata
 from ionlake.sources import arrays
-from ionlake.sources.imzml import _kind, _mode, _tag, _terms
+from ionlake.sources.imzml import _kind, _mode, _tag, _terms, instrument_of
 
 SCHEMA = "spectrum_id long, native_id string, mode string, scan_time_ms long, mz array<double>, intensity array<double>"
 SPECTRA_A_PARTITION = 256
+#: Bytes of a file that its header may take.
+HEADER_BYTES = 8 << 20
+#: Processing steps by accession, as the headers in question use them.
+VENDOR_STEPS = {"MS:1000579": "Baseline Correction", "MS:1000580": "Smoothing", "MS:1000578": "Data Transformation", "MS:1000800": "Deisotoping"}
 
 
 def index_offset(path: str) -> int:
@@ -27,6 +31,19 @@ def index_offset(path: str) -> int:
     return int(found[1])
 
 
+def instrument_metadata(path: str) -> InstrumentMetadata:
+    """What the header before the first spectrum says of the instrument and the vendor's processing."""
+    head, size = b"", 0
+    with open(path, "rb") as file:
+        while b"<spectrum " not in head and (more := file.read(1 << 16)) and size < HEADER_BYTES:
+            head, size = head + more, size + len(more)
+    terms = {m[1].decode(): m[2].decode() for m in re.finditer(rb'accession="([^"]+)"[^>]*?value="([^"]*)"', head.split(b"<spectrum ")[0])}
+    terms = {m[1].decode(): "" for m in re.finditer(rb'<cvParam[^>]*accession="([^"]+)"', head.split(b"<spectrum ")[0])} | terms
+    found = instrument_of(terms)
+    found.vendor_steps = [name for accession, name in VENDOR_STEPS.items() if accession in terms]
+    return found
+
+
 def spectrum_offsets(path: str) -> list[int]:
     with open(path, "rb") as file:
         file.seek(index_offset(path))

@@ -97,3 +97,34 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = {(r["bin"], r["intensity"]) for r in stats.running_spectrum(points, 100, 104, 5).collect()}
     assert {(r["bin"], r["intensity"]) for r in spark.table("running").collect()} == want and len(want) == 5
+
+
+def test_parameters_round_trip():
+    from ionlake.plans import parameters
+    from ionlake.plans.preprocessing import Step
+    from ionlake.schema import FileFormatError
+
+    steps = [Step("smoothing", {"window": 5}), Step("peak_picking", {"method": "profile", "snr": 8.0}, enabled=False), Step("peak_binning", {"tolerance": 0.05})]
+    assert parameters.loads(parameters.dumps(steps, [(137.0244, "a")])) == (steps, [(137.0244, "a")])
+    with pytest.raises(FileFormatError):
+        parameters.standards([{"mz": 1.0}])
+
+
+def test_instrument_of_mzml(tmp_path):
+    from ionlake.sources import mzml
+
+    path = tmp_path / "a.mzML"
+    path.write_text('<mzML><instrumentConfiguration><cvParam cvRef="MS" accession="MS:1000031" name="model" value="X1"/><cvParam accession="MS:1000011" value="40000"/><cvParam accession="MS:1000130"/></instrumentConfiguration><processingMethod><cvParam accession="MS:1000580" name="smoothing"/></processingMethod><run><spectrumList><spectrum id="a"><cvParam accession="MS:1000129"/></spectrum></spectrumList></run></mzML>')
+    found = mzml.instrument_metadata(str(path))
+    assert (found.instrument_model, found.resolution, found.polarity, found.vendor_steps) == ("X1", 40000.0, "positive", ["Smoothing"])
+
+
+def test_robust_widths():
+    import numpy as np
+
+    from ionlake.functions import kernels
+
+    x = 100 + 0.01 * np.arange(41)
+    y = np.exp(-0.5 * ((x - 100.2) / 0.03) ** 2)
+    assert abs(kernels.robust_fwhm(x, y, 20) - 0.0706) < 0.002 and abs(kernels.resolution(x, y, 20) - 100.2 / 0.0706) < 40
+    assert np.isnan(kernels.robust_fwhm(x, y, 1)) and np.isnan(kernels.robust_fwhm(x[:4], y[:4], 2)) and np.isnan(kernels.robust_fwhm(x, y, 20, widest=0.05))
