@@ -60,6 +60,13 @@ class Scratch:
     def keep(self, frame: DataFrame) -> DataFrame:
         return self.write(frame)[0]
 
+    def settle(self, frame: DataFrame) -> DataFrame:
+        """Writes what is needed from here on and deletes all tables before it."""
+        before = [f"{self.root}/{k}" for k in range(1, self.count + 1)]
+        out = self.keep(frame)
+        self.drop(*before)
+        return out
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more: the first pass frees the
         plans, the second what they alone held."""

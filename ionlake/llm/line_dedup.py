@@ -158,7 +158,7 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = lines.select(F.col("id").alias("node"))
     if found is not None:
         first = first.join(found.where("node <> component").select("node"), "node", "left_anti")
-    return first.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept"))
+    return scratch.settle(first.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept")))
 
 
 def _with_kept(docs: DataFrame, percent: int, *columns: Column) -> DataFrame:

@@ -163,7 +163,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     classed by their own texts; a null doc_id is compared with nothing and kept. A bucket is missed by all 20 bands with a
     chance of 2 in 100,000 at a similarity of 0.8. Other columns than doc_id and text are not read.
     """
-    found = classes(docs, words, percent, Scratch(docs.sparkSession, "minmax")).withColumn("component_id", F.coalesce("component.rep", "doc_id"))
+    scratch = Scratch(docs.sparkSession, "minmax")
+    found = scratch.settle(classes(docs, words, percent, scratch)).withColumn("component_id", F.coalesce("component.rep", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -176,7 +177,7 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     scratch, names = Scratch(docs.sparkSession, "minmax"), docs.columns
     found = classes(docs, words, percent, scratch).where("component is not null")
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f"))
-    stays = scratch.keep(first.select(F.col("f.doc_id").alias("id"), F.col("f.k1").alias("x1"), F.col("f.k2").alias("x2")))
+    stays = scratch.settle(first.select(F.col("f.doc_id").alias("id"), F.col("f.k1").alias("x1"), F.col("f.k2").alias("x2")))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     whole = keyed(docs, row).drop("text").withColumn("real", F.col("doc_id").isNotNull() & F.col("row.text").rlike(WORD))
     same = (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2"))
