@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ionlake.llm import license_scan as ls
+from ionlake.llm import resampling, vector_codes, web_archive
 from ionlake.llm.license_texts import NAMES, all_templates
 
 
@@ -101,4 +102,65 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (blank
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op1_license_scan": _LICENSES, "op2_cover_tree": _VECTORS, "op5_line_dedup": _LINES, "op8_minmax_dedup": _DOCUMENTS}
+
+
+def _vector_codes() -> str:
+    """The rounds one after another: e<k> are the entries of round k, a<k> the assignments to them."""
+    parts, entries, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+    text = f"""
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS k, vec_id, label, [floor({scale} * x)::BIGINT for x in e] AS e FROM v
+  WHERE len(e) > 0 AND len(e) = (SELECT count(*) FROM (SELECT unnest(e) AS x) WHERE isfinite(x))),
+p AS MATERIALIZED (SELECT k, vec_id, label, j AS part, e[j * len(e) // {parts} + 1 : (j + 1) * len(e) // {parts}] AS x FROM sound, range({parts}) r(j)),
+e0 AS MATERIALIZED (SELECT part, k - 1 AS entry, x AS c FROM p WHERE k <= {entries}),"""
+    for k in range(vector_codes.ROUNDS + 1):
+        text += f"""
+a{k} AS MATERIALIZED (SELECT k, part, any_value(x) AS x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT k, p.part, x, entry, list_sum([(z[1] - z[2]) ** 2 for z in list_zip(x, c)])::BIGINT AS d FROM p JOIN e{k} USING (part)) GROUP BY k, part),"""
+        if k < vector_codes.ROUNDS:
+            text += f"""
+m{k} AS (SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (SELECT part, entry, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM a{k}, range(1, len(x) + 1) r(i) GROUP BY part, entry, i) GROUP BY part, entry),
+e{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, e{k}.c) AS c FROM e{k} LEFT JOIN m{k} USING (part, entry)),"""
+    last = vector_codes.ROUNDS
+    return f"""{text}
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{last}),
+out AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} JOIN (SELECT k, vec_id, label FROM sound) USING (k) GROUP BY k, vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256, label FROM out, h
+"""
+
+
+_ARCHIVE = f"""
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, url FROM p),
+f AS (SELECT *, row_number() OVER w AS r, first_value(page_id) OVER w AS first FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < {web_archive.LEAST} OR r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes >= {web_archive.LEAST} AND r > 1 THEN first END AS refers_to FROM f
+"""
+
+#: CRC-32 byte by byte over a table that its polynomial gives.
+_RESAMPLING = f"""
+WITH step AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) r(i))),
+texts AS (SELECT row_number() OVER () AS k, doc_id, text, false AS goal FROM documents UNION ALL SELECT NULL, NULL, text, true FROM benchmark),
+w AS MATERIALIZED (SELECT k, doc_id, goal, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+f AS MATERIALIZED (SELECT k, goal, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM w),
+bytes AS (SELECT x, [CAST('0x' || h[i : i + 1] AS BIGINT) for i in range(1, len(h), 2)] AS b FROM (SELECT DISTINCT x, hex(encode(x)) AS h FROM f)),
+b AS MATERIALIZED (SELECT x, xor(4294967295, list_reduce(list_concat([4294967295], b), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]))) % {resampling.BUCKETS} AS bucket FROM bytes, step),
+n AS MATERIALIZED (SELECT k, goal, bucket, count(*) AS n FROM f JOIN b USING (x) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (NOT goal), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal), 0)::DOUBLE AS t FROM n GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM sums) + {resampling.BUCKETS})) / ((s + 1) * ((SELECT sum(t) FROM sums) + {resampling.BUCKETS}))))::BIGINT AS gain FROM sums),
+m AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM n JOIN g USING (bucket) WHERE NOT goal GROUP BY k),
+s AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN m USING (k) WHERE NOT goal),
+r AS (SELECT *, CASE WHEN words >= {resampling.LEAST_WORDS} THEN row_number() OVER (PARTITION BY words >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) END AS r, count(*) FILTER (words >= {resampling.LEAST_WORDS}) OVER () AS total FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {resampling.PERCENT} * total // 100 THEN r END AS rank FROM r
+"""
+
+ORACLE_SQL = {
+    "op1_license_scan": _LICENSES,
+    "op2_cover_tree": _VECTORS,
+    "op5_line_dedup": _LINES,
+    "op8_minmax_dedup": _DOCUMENTS,
+    "op11_vector_codes": _vector_codes(),
+    "op12_web_archive": _ARCHIVE,
+    "op13_resampling": _RESAMPLING,
+}

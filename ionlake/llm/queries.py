@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionlake.llm import bpe, chaining, cover_tree, entropy_mix, license_scan, line_dedup, media_chunks, minmax_dedup, oracles, style_tree, toxicity
+from ionlake.llm import (
+    bpe,
+    chaining,
+    cover_tree,
+    entropy_mix,
+    license_scan,
+    line_dedup,
+    media_chunks,
+    minmax_dedup,
+    oracles,
+    resampling,
+    style_tree,
+    toxicity,
+    vector_codes,
+    web_archive,
+)
 from ionlake.llm.common import table
 
 
@@ -55,6 +70,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_cover_tree, op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op9_chaining, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archive.archived(table(spark, sf_dir, "pages")).drop("record_bytes")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+_OPERATORS = (
+    op1_license_scan, op2_cover_tree, op3_media_chunks, op4_entropy_mix, op5_line_dedup, op6_bpe, op7_style_tree, op8_minmax_dedup, op9_chaining, op10_toxicity,
+    op11_vector_codes, op12_web_archive, op13_resampling,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
