@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionlake.operators import imaging
+from ionlake.sources import imzml
 from ionlake.sources.files import Registry, dense, write_bmp
 
 
@@ -61,4 +62,4 @@ def convert(spectra: DataFrame, pixels: DataFrame, path: str, compressed: bool =
         F.col("pixel").alias("spectrum_id"), "x", (F.col("h") - F.col("y") + 1).cast("int").alias("y"), F.lit("").alias("native_id"), F.coalesce("mode", F.lit("UNKNOWN")).alias("mode"),
         F.coalesce(F.col("p.mz"), F.array().cast("array<double>")).alias("mz"), F.coalesce(F.col("p.intensity"), F.array().cast("array<double>")).alias("intensity"),
     )
-    out.write.format("imzml").option("compression", "zlib" if compressed else "none").mode("append").save(path)
+    imzml.save(out, path, compressed)

@@ -34,6 +34,28 @@ def open_dataset(spark: SparkSession, path: str, sample_types: dict[int, str] |
     return rows.join(given, "spectrum_id", "left").withColumn("sample_type", F.coalesce("given", F.lit("sample"))).drop("given")
 
 
+def lookup(spark: SparkSession, path: str, condition: str) -> DataFrame:
+    """The spectra of a file that meet an SQL condition, such as 'spectrum_id = 7' or 'x = 3 and y between 1 and 4'.
+
+    Comparisons with spectrum_id, x and y reach the reader, which then opens only the byte ranges of those spectra.
+    Spark keeps what a Python reader was told in the relation itself, where a second plan over it would find the
+    filters of the first. So each call reads through a relation of its own, and a sample of everything stands between
+    it and whatever is done with the result: no other filter passes that, and every plan tells the reader the same.
+    """
+    kind = os.path.splitext(path)[1].lower()
+    if kind not in (".imzml", ".mzml"):
+        raise FileFormatError(f"{kind} is neither .imzML nor .mzML")
+    register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(kind[1:]).option("pushdown", "true").load(path).where(condition).sample(1.0)
+
+
+def scan_times(spark: SparkSession, path: str) -> DataFrame:
+    """(spectrum_id, scan_time_ms) of an mzML file, with or without an index."""
+    register(spark)
+    return spark.read.format("mzml").load(path).select("spectrum_id", "scan_time_ms")
+
+
 def points_of(spectra: DataFrame) -> DataFrame:
     keep = [c for c in ("spectrum_id", "x", "y") if c in spectra.columns]
     rows = spectra.select(*keep, F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p"))

@@ -6,16 +6,22 @@ ranges, and tasks read only the arrays of their pixels.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ionlake.schema import CENTROID, PROFILE, UNKNOWN, FileFormatError, InstrumentMetadata
 from ionlake.sources import arrays
+from ionlake.sources.lookup import Bounds
 
 SCHEMA = "spectrum_id long, x int, y int, native_id string, mode string, mz array<double>, intensity array<double>"
 PARTITION_BYTES = 32 << 20
@@ -134,19 +140,19 @@ class Pixels(InputPartition):
 
 
 class ImzmlReader(DataSourceReader):
-    """Option ``spectra`` (ids and ranges, '3,7-9') prunes the index before any array is read.
-
-    Filters are left to Spark: a reader that takes them keeps them when its DataFrame is used again.
-    """
+    """Option ``spectra`` (ids and ranges, '3,7-9') prunes the index before any array is read, and so do pushed filters."""
 
     def __init__(self, path: str, spectra: str | None = None) -> None:
         self.path = path
         self.ranges = [(int(a), int(b or a)) for a, _, b in (r.partition("-") for r in spectra.split(","))] if spectra else None
+        self.bounds = Bounds(("spectrum_id", "x", "y"))
 
     def partitions(self) -> list[InputPartition]:
         _, pixels = read_index(self.path)
         if self.ranges is not None:
             pixels = [p for p in pixels if any(a <= p.spectrum_id <= b for a, b in self.ranges)]
+        if self.bounds:
+            pixels = [p for p in pixels if self.bounds.allow(spectrum_id=p.spectrum_id, x=p.x, y=p.y)]
         parts, held, size = [], [], 0
         for p in sorted(pixels, key=lambda p: p.mz.offset if p.mz else 0):
             held.append(p)
@@ -156,7 +162,7 @@ class ImzmlReader(DataSourceReader):
                 held, size = [], 0
         return [*parts, *([Pixels(self.path, held)] if held or not parts else [])]
 
-    def read(self, partition: Pixels) -> Iterator[tuple]:
+    def read(self, partition: Pixels) -> Iterator[pa.RecordBatch]:
         with open(ibd_of(partition.path), "rb") as file:
             length = os.fstat(file.fileno()).st_size
 
@@ -167,57 +173,139 @@ class ImzmlReader(DataSourceReader):
                 file.seek(a.offset)
                 return arrays.decode(file.read(size), a.kind, a.compressed)
 
-            for p in partition.pixels:
-                mz, intensity = (load(p.mz), load(p.intensity)) if p.mz and p.intensity else ([], [])
-                if p.mz:
+            def rows():
+                for p in partition.pixels:
+                    mz, intensity = (load(p.mz), load(p.intensity)) if p.mz and p.intensity else (arrays.NONE, arrays.NONE)
                     arrays.checked(mz, intensity)
-                yield p.spectrum_id, p.x, p.y, p.native_id, p.mode, [float(v) for v in mz], [float(v) for v in intensity]
+                    yield (p.spectrum_id, p.x, p.y, p.native_id, p.mode), (mz, intensity)
+
+            yield from arrays.batches(rows(), (("spectrum_id", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("native_id", pa.string()), ("mode", pa.string())), ("mz", "intensity"))
+
+
+class PushedReader(ImzmlReader):
+    """The reader that takes Spark's filters; see ``files.lookup`` for the one safe way to it."""
+
+    def pushFilters(self, filters):  # noqa: N802 - the interface's name
+        return self.bounds.take(filters)
 
 
 @dataclass
 class Part(WriterCommitMessage):
     file: str
+    part: int
+    size: int
     rows: list
 
 
+def encoded(mz, intensity, compressed: bool) -> tuple[bytes, bytes]:
+    """A spectrum's two arrays as the .ibd holds them: m/z in doubles, intensities in floats; empty ones take no bytes."""
+    return tuple(arrays.encode(v, kind, compressed) if len(v) else b"" for v, kind in ((mz, "<f8"), (intensity, "<f4")))
+
+
 class ImzmlWriter(DataSourceWriter):
-    """Each task writes its arrays to a part beside the target; the driver joins the parts and writes the index."""
+    """Without ``layout`` each task writes a part beside the target and the driver joins the parts.
+
+    With it (``save`` makes one: the first byte and the size of each partition) every task writes straight into the
+    target at its own place, and what reaches the driver is the index alone. A task that runs twice writes the same
+    bytes to the same place.
+    """
 
-    def __init__(self, path: str, overwrite: bool, compressed: bool) -> None:
+    def __init__(self, path: str, overwrite: bool, compressed: bool, layout: str | None = None) -> None:
+        if os.path.exists(path) and not overwrite:
+            raise FileExistsError(path)
         self.path, self.overwrite, self.compressed = path, overwrite, compressed
+        self.layout = json.loads(layout) if layout else None
 
     def write(self, rows: Iterator) -> Part:
-        file, index, at = f"{ibd_of(self.path)}.{uuid.uuid4().hex}", [], 0
-        with open(file, "wb") as out:
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        index, at = [], 0
+        if self.layout:
+            file = self.layout["file"]
+            out = open(file, "r+b")  # noqa: SIM115 - closed below
+            out.seek(self.layout["starts"].get(str(part), (16, 0))[0])
+        else:
+            file = f"{ibd_of(self.path)}.{uuid.uuid4().hex}"
+            out = open(file, "wb")  # noqa: SIM115
+        with out:
             for r in rows:
                 entry = [r["spectrum_id"], r["x"], r["y"], r["mode"], len(r["mz"] or [])]
-                for values, kind in ((r["mz"] or [], "<f8"), (r["intensity"] or [], "<f4")):
-                    data = arrays.encode(values, kind, self.compressed) if values else b""
+                for data in encoded(r["mz"] or [], r["intensity"] or [], self.compressed):
+                    if self.layout and at + len(data) > self.layout["starts"][str(part)][1]:
+                        raise ValueError(f"partition {part} is larger than it was when it was measured")
                     entry += [at, len(data)]
                     out.write(data)
                     at += len(data)
                 index.append(tuple(entry))
-        return Part(file, index)
+        return Part(file, part, at, index)
 
     def commit(self, messages: list) -> None:
-        if os.path.exists(self.path) and not self.overwrite:
-            raise FileExistsError(self.path)
-        identity, entries = uuid.uuid4(), []
-        with open(ibd_of(self.path), "wb") as out:
-            out.write(identity.bytes)
+        if self.layout:
+            identity, entries = uuid.UUID(self.layout["identity"]), []
             for m in messages:
-                base = out.tell()
-                with open(m.file, "rb") as part:
-                    while block := part.read(1 << 20):
-                        out.write(block)
-                os.remove(m.file)
-                entries += [(*r[:5], base + r[5], r[6], base + r[7], r[8]) for r in m.rows]
+                start, size = self.layout["starts"].get(str(m.part), (16, 0))
+                if m.size != size:
+                    raise ValueError(f"partition {m.part} wrote {m.size} bytes, {size} were measured")
+                entries += [(*r[:5], start + r[5], r[6], start + r[7], r[8]) for r in m.rows]
+            os.replace(self.layout["file"], ibd_of(self.path))
+        else:
+            identity, entries = uuid.uuid4(), []
+            with open(ibd_of(self.path), "wb") as out:
+                out.write(identity.bytes)
+                for m in messages:
+                    base = out.tell()
+                    with open(m.file, "rb") as part:
+                        while block := part.read(1 << 20):
+                            out.write(block)
+                    os.remove(m.file)
+                    entries += [(*r[:5], base + r[5], r[6], base + r[7], r[8]) for r in m.rows]
         write_index(self.path, sorted(entries), identity, self.compressed)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m and os.path.exists(m.file):
-                os.remove(m.file)
+        for file in {self.layout["file"]} if self.layout else {m.file for m in messages if m}:
+            if os.path.exists(file):
+                os.remove(file)
+
+
+def _measured(compressed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for batch in batches:
+            for mz, intensity in zip(batch.column(0), batch.column(1), strict=True):
+                size += sum(map(len, encoded(*(v.values.to_numpy(zero_copy_only=False) if v.is_valid else arrays.NONE for v in (mz, intensity)), compressed)))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([size], pa.int64())], names=["part", "size"])
+
+    return run
+
+
+def save(spectra: DataFrame, path: str, compressed: bool = False, overwrite: bool = False, parts: int | None = None) -> None:
+    """Writes spectra (spectrum_id, x, y, mode, mz, intensity) as imzML, in the order of their numbers, from all tasks at once.
+
+    The first pass measures each partition's bytes; their running sums are where the tasks of the second pass write.
+    The partitions are kept on executors' disks between the two, so that both see the same rows. A target that is
+    there already is refused before any task starts; a pass that finds other bytes than were measured fails.
+    """
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    session = spectra.sparkSession
+    session.dataSource.register(ImzmlDataSource)
+    rows = spectra.select("spectrum_id", "x", "y", F.lit("").alias("native_id"), "mode", "mz", "intensity")
+    ordered = (rows.repartitionByRange(parts, "spectrum_id") if parts else rows.repartitionByRange("spectrum_id")).sortWithinPartitions("spectrum_id").persist(StorageLevel.DISK_ONLY)
+    identity, scratch = uuid.uuid4(), f"{ibd_of(path)}.{uuid.uuid4().hex}"
+    try:
+        at, starts = 16, {}
+        for part, size in ordered.select("mz", "intensity").mapInArrow(_measured(compressed), "part int, size long").orderBy("part").collect():  # one row a partition
+            starts[part] = (at, size)
+            at += size
+        with open(scratch, "wb") as out:
+            out.write(identity.bytes)
+            out.truncate(at)
+        layout = json.dumps({"file": scratch, "identity": str(identity), "starts": starts})
+        writer = ordered.write.format("imzml").option("compression", "zlib" if compressed else "none").option("layout", layout)
+        writer.mode("overwrite" if overwrite else "append").save(path)
+    finally:
+        ordered.unpersist()
+        if os.path.exists(scratch):
+            os.remove(scratch)
 
 
 def write_index(path: str, entries: list[tuple], identity: uuid.UUID, compressed: bool) -> None:
@@ -248,7 +336,8 @@ class ImzmlDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ImzmlReader:
-        return ImzmlReader(self.options["path"], self.options.get("spectra"))
+        kind = PushedReader if self.options.get("pushdown") == "true" else ImzmlReader
+        return kind(self.options["path"], self.options.get("spectra"))
 
     def writer(self, schema, overwrite: bool) -> ImzmlWriter:
-        return ImzmlWriter(self.options["path"], overwrite, self.options.get("compression", "none") == "zlib")
+        return ImzmlWriter(self.options["path"], overwrite, self.options.get("compression", "none") == "zlib", self.options.get("layout"))

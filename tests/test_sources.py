@@ -128,3 +128,127 @@ def test_robust_widths():
     y = np.exp(-0.5 * ((x - 100.2) / 0.03) ** 2)
     assert abs(kernels.robust_fwhm(x, y, 20) - 0.0706) < 0.002 and abs(kernels.resolution(x, y, 20) - 100.2 / 0.0706) < 40
     assert np.isnan(kernels.robust_fwhm(x, y, 1)) and np.isnan(kernels.robust_fwhm(x[:4], y[:4], 2)) and np.isnan(kernels.robust_fwhm(x, y, 20, widest=0.05))
+
+
+def opened(frame):
+    """What the scan of a frame read: partitions and rows."""
+    return frame.rdd.getNumPartitions(), frame.count()
+
+
+@pytest.fixture
+def many(spark, tmp_path):
+    rows = [(i + 1, i % 20 + 1, i // 20 + 1, "", "PROFILE", [100.0 + k for k in range(i % 7 + 1)], [float(i + k) for k in range(i % 7 + 1)]) for i in range(200)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5), str(tmp_path / "m.imzML")
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_eight_tasks_write_one_file(spark, many, compressed):
+    from ionlake.sources import imzml
+
+    frame, path = many
+    imzml.save(frame, path, compressed, parts=8)
+    header, pixels = imzml.read_index(path)
+    places = [(p.mz.offset, p.intensity.offset) for p in pixels]
+    assert header["count"] == 200 and places == sorted(places) and places[0][0] == 16  # numbers in order, after the identity
+    key = lambda f: sorted(map(str, f.select("spectrum_id", "x", "y", "mode", "mz", "intensity").collect()))
+    assert key(files.open_dataset(spark, path)) == key(frame)
+    with pytest.raises(FileExistsError):
+        imzml.save(frame, path)
+    imzml.save(frame.where("spectrum_id < 4"), path, compressed, overwrite=True)
+    assert files.open_dataset(spark, path).count() == 3
+    import glob
+    import os
+
+    assert sorted(os.path.basename(f) for f in glob.glob(f"{os.path.dirname(path)}/*")) == ["m.ibd", "m.imzML"]
+
+
+def test_the_driver_moves_the_index_only(spark, many, monkeypatch):
+    import json
+    import pickle
+
+    from ionlake.sources import imzml
+
+    frame, path = many
+    wide = frame.withColumn("mz", F_sequence(5000)).withColumn("intensity", F_sequence(5000))
+    imzml.save(wide, path, parts=8)
+    rows = [(1, 1, 1, "PROFILE", 5000, 0, 40000, 40000, 20000)] * 25
+    assert len(pickle.dumps(imzml.Part("f", 0, 1, rows))) < 8000  # what one of 8 tasks sends for 1.5 MB of arrays
+    target = str(many[1]).replace("m.imzML", "n.ibd")
+    open(target, "wb").write(b"\0" * 16)
+    short = imzml.ImzmlWriter(target.replace(".ibd", ".imzML"), True, False, json.dumps({"file": target, "identity": "0" * 32, "starts": {"0": [16, 8]}}))
+    with pytest.raises(ValueError, match="larger than"):
+        short.write(iter([{"spectrum_id": 1, "x": 1, "y": 1, "mode": "PROFILE", "mz": [1.0, 2.0], "intensity": [1.0, 2.0]}]))
+
+
+def F_sequence(n):
+    from pyspark.sql import functions as F
+
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda v: v.cast("double"))
+
+
+def test_lookups_open_one_partition(spark, many, monkeypatch):
+    from ionlake.sources import imzml
+
+    frame, path = many
+    imzml.save(frame, path)
+    monkeypatch.setattr(imzml, "PARTITION_BYTES", 200)  # of this process: the planner's workers read what the file says
+    one = files.lookup(spark, path, "spectrum_id = 77")
+    place = files.lookup(spark, path, "x = 3 and y = 4")
+    assert one.rdd.getNumPartitions() == 1 and [r["spectrum_id"] for r in one.collect()] == [77]
+    assert [r["spectrum_id"] for r in place.collect()] == [63]
+    assert one.where("x = 99").count() == 0 and one.count() == 1 and place.count() == 1  # nothing of another plan stays
+    assert one.join(files.lookup(spark, path, "spectrum_id in (77, 5)"), "spectrum_id").count() == 1
+    assert files.lookup(spark, path, "y >= 10 and x < 3").count() == 2 and files.lookup(spark, path, "mode = 'PROFILE'").count() == 200
+    assert files.open_dataset(spark, path).count() == 200 and files.lookup(spark, path, "spectrum_id = 999").count() == 0
+
+
+def test_pushed_bounds_choose_bytes(spark, many):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+
+    from ionlake.sources import imzml
+
+    frame, path = many
+    imzml.save(frame, path)
+    for filters, want in (([EqualTo(("spectrum_id",), 7)], [7]), ([In(("x",), (1, 2)), LessThanOrEqual(("y",), 1)], [1, 2]), ([GreaterThan(("spectrum_id",), 198)], [199, 200])):
+        reader = imzml.PushedReader(path)
+        assert list(reader.pushFilters(filters)) == filters
+        assert [p.spectrum_id for part in reader.partitions() for p in part.pixels] == want
+
+
+def test_arrays_beyond_the_end(spark, many):
+    from ionlake.sources import imzml
+
+    frame, path = many
+    imzml.save(frame, path)
+    with open(imzml.ibd_of(path), "r+b") as file:
+        file.truncate(2000)
+    with pytest.raises(Exception, match="beyond the end"):
+        files.open_dataset(spark, path).collect()
+    assert files.lookup(spark, path, "spectrum_id = 1").count() == 1
+
+
+def test_no_index_two_splits(spark, tmp_path):
+    from ionlake.sources import mzml
+
+    spectra = [(k / 600, [100.0 + i for i in range(k % 5)], [float(k)] * (k % 5), "MS:1000523", k % 3 == 0) for k in range(40)]
+    write_mzml(tmp_path / "a.mzML", spectra)
+    write_mzml(tmp_path / "b.mzML", spectra, indexed=False)
+    size = (tmp_path / "b.mzML").stat().st_size
+    key = lambda f: [tuple(r) for r in f.orderBy("spectrum_id").collect()]
+    want = key(spark.read.format("mzml").load(str(tmp_path / "a.mzML")))
+    for step in (size // 2 + 1, size // 7, 997, 10**9):
+        cut = spark.read.format("mzml").option("splitBytes", step).load(str(tmp_path / "b.mzML"))
+        assert key(cut) == want
+        assert sum(1 for s in mzml.splits(str(tmp_path / "b.mzML"), step) for _ in mzml.records_between(s.path, s.start, s.stop)) == 40
+    assert len(mzml.splits(str(tmp_path / "b.mzML"), size // 2 + 1)) == 2
+    assert key(files.scan_times(spark, str(tmp_path / "a.mzML"))) == key(files.scan_times(spark, str(tmp_path / "b.mzML"))) == [(k + 1, round(k * 100)) for k in range(40)]
+    assert [r[0] for r in key(files.lookup(spark, str(tmp_path / "a.mzML"), "spectrum_id between 5 and 7"))] == [5, 6, 7]
+    assert [r[0] for r in key(files.lookup(spark, str(tmp_path / "b.mzML"), "spectrum_id in (5, 39)"))] == [5, 39]
+
+
+def test_times_in_seconds(spark, tmp_path):
+    write_mzml(tmp_path / "a.mzML", [(1.5, [1.0], [1.0], "MS:1000523", False)])
+    text = (tmp_path / "a.mzML").read_text()
+    (tmp_path / "s.mzML").write_text(text.replace('unitName="minute"', 'unitName="second"'))
+    (tmp_path / "u.mzML").write_text(text.replace('unitName="minute"', 'unitAccession="UO:0000010"'))
+    assert [files.scan_times(spark, str(tmp_path / f"{n}.mzML")).first()["scan_time_ms"] for n in "asu"] == [90000, 1500, 1500]
