@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 Equal lines (white space at their ends aside) are one line. Distinct lines get MinHash signatures from their
-character shingles; bands of four values make buckets; lines that share a bucket are compared by the exact Jaccard
+character shingles; bands of four values (two functions' least and greatest) make buckets; lines that share a bucket are compared by the exact Jaccard
 similarity of all their 5-character shingles; the components of those links keep their first line.
 
 Signatures read every 5-character shingle of every line, the same sets that are compared. Lines are split,
@@ -22,12 +22,13 @@ from ionlake.llm.common import Scratch, slices, text_of
 from ionlake.llm.minmax_dedup import _linked, _mixed, _STEP, parity
 
 PERCENT, SHINGLE = 80, 5
-BANDS, ROWS = 10, 4
+#: Each function gives two values of a signature, the least and the greatest under it; bands are of two functions each.
+FUNCTIONS, BANDS = 40, 20
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 _RNG = np.random.default_rng(5)
-_ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_ODD = _RNG.integers(0, 1 << 31, FUNCTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
 #: White space at the ends of a line, and what fills lines up to one shingle: no text holds it.
 BLANK, FILL = " \t\n\x0b\f\r", "\ud800"
 #: Shingles that are permuted at once, more if a line has more.
@@ -64,29 +65,35 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(lines, BANDS * ROWS): each line's least value in each order of the hashes' upper halves."""
-    out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint32)
+    """(lines, 2 * FUNCTIONS): each line's least and greatest value in each order of the hashes' upper halves."""
+    out = np.empty((len(starts), 2 * FUNCTIONS), dtype=np.uint32)
     upper, ends, at = (hashes >> np.uint64(32)).astype(np.uint32), np.append(starts[1:], len(hashes)), 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
         block, inner = upper[starts[at] : ends[stop - 1]], starts[at:stop] - starts[at]
-        for k in range(BANDS * ROWS):
-            out[at:stop, k] = np.minimum.reduceat((block * _ODD[k]) ^ _FLIP[k], inner)
+        for k in range(FUNCTIONS):
+            ordered = (block * _ODD[k]) ^ _FLIP[k]
+            out[at:stop, k] = np.minimum.reduceat(ordered, inner)
+            out[at:stop, FUNCTIONS + k] = np.maximum.reduceat(ordered, inner)
         at = stop
     return out
 
 
 def bands_of(signed: np.ndarray) -> np.ndarray:
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signed), BANDS)).copy()
-    for r in range(ROWS):
-        keys = _mixed(keys * _STEP + signed[:, r::ROWS].astype(np.uint64))
+    for r in range(2 * FUNCTIONS // BANDS):
+        keys = _mixed(keys * _STEP + signed[:, r * BANDS : (r + 1) * BANDS].astype(np.uint64))
     return keys.view(np.int64)
 
 
+#: A line's place: its row's id and, as rows of different texts may share one, a hash of the text; and its number.
+PLACE = "struct<doc_id: bigint, tie: bigint, line_no: int>"
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, line) of every line that is not blank, without white space at its ends."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
-    return split.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANK)).alias("line")).where("line <> ''")
+    """(doc_id, tie, line_no from 1, line) of every line that is not blank, without white space at its ends."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), F.posexplode(F.split(text_of(), "\n")).alias("pos", "raw"))
+    return split.select("doc_id", "tie", (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     Two 64-bit hashes with independent seeds are the key. Repeats meet on the map side first, so a line that
     fills a third of the corpus sends one row a task.
     """
-    keyed = lines_of(docs).select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.struct("doc_id", "line_no").alias("at"), "line")
+    keyed = lines_of(docs).select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.struct("doc_id", "tie", "line_no").alias("at"), "line")
     return keyed.groupBy("k1", "k2").agg(F.min("at").alias("id"), F.first("line").alias("line")).select("id", "line")
 
 
@@ -108,7 +115,7 @@ def signed_lines(lines: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "line", "bands"])
 
-    return lines.mapInArrow(run, "id struct<doc_id: bigint, line_no: int>, line string, bands array<long>")
+    return lines.mapInArrow(run, f"id {PLACE}, line string, bands array<long>")
 
 
 def sets_of(lines: DataFrame) -> DataFrame:
@@ -121,7 +128,7 @@ def sets_of(lines: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, SKETCH, dtype=np.int32)), pa.array(odd))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), lists], names=["id", "line", "n", "sketch"])
 
-    return lines.mapInArrow(run, "id struct<doc_id: bigint, line_no: int>, line string, n long, sketch array<long>")
+    return lines.mapInArrow(run, f"id {PLACE}, line string, n long, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -141,12 +148,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v")
     both = one.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
-    kind = "struct<doc_id: bigint, line_no: int>"
-    return both.select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, f"u {kind}, v {kind}")
+    return both.select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, f"u {PLACE}, v {PLACE}")
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, kept): the numbers, in order, of the lines that stay. Documents that keep none have no row."""
+    """(doc_id, tie, kept): the numbers, in order, of the lines that stay, by id and hash of the text. Texts that keep none have no row."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(signed_lines(distinct_lines(docs)))
     scratch.release()
@@ -158,25 +164,30 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = lines.select(F.col("id").alias("node"))
     if found is not None:
         first = first.join(found.where("node <> component").select("node"), "node", "left_anti")
-    return scratch.settle(first.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept")))
+    return scratch.settle(first.groupBy(F.col("node.doc_id").alias("doc_id"), F.col("node.tie").alias("tie")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept")))
 
 
 def _with_kept(docs: DataFrame, percent: int, *columns: Column) -> DataFrame:
-    kept = kept_lines(docs, percent).withColumnRenamed("doc_id", "of")
-    inner = docs.select(F.col("doc_id").cast("long").alias("id"), *columns)
-    return inner.join(kept, F.col("id").eqNullSafe(F.col("of")), "left")
+    kept = kept_lines(docs, percent).withColumnsRenamed({"doc_id": "of", "tie": "of_tie"})
+    inner = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("tie"), *columns)
+    return inner.join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left")
+
+
+def _places(lines: Column, blank: bool) -> Column:
+    """The numbers of the lines that are blank, or of those that are not."""
+    is_blank = lambda x: F.btrim(x, F.lit(BLANK)) == ""
+    return F.filter(F.transform(lines, lambda x, i: F.when(is_blank(x) if blank else ~is_blank(x), i + 1)), lambda x: x.isNotNull())
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_blank, n_kept, dropped (line numbers from 1) for every row of ``docs``.
 
-    A line stays if it is the first, by (doc_id, line number), of its component; blank lines always stay.
-    A null or empty text is one blank line. Rows that share a doc_id share their decisions; a null doc_id
-    comes before all others.
+    A line stays if it is the first, by (doc_id, hash of the text, line number), of its component; blank lines
+    always stay. A null or empty text is one blank line. Rows of different texts that share a doc_id are told apart
+    by their texts; rows that are equal in both share their decisions. A null doc_id comes before all others.
     """
     split = F.split(text_of(), "\n")
-    filled = F.filter(F.transform(split, lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) != "", i + 1)), lambda x: x.isNotNull())
-    rows = _with_kept(docs, percent, F.size(split).alias("n_lines"), filled.alias("filled"))
+    rows = _with_kept(docs, percent, F.size(split).alias("n_lines"), _places(split, False).alias("filled"))
     stays = F.array_intersect("filled", F.coalesce("kept", F.array().cast("array<int>")))
     return rows.select(
         F.col("id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("filled")).alias("n_blank"), F.size(stays).alias("n_kept"), F.array_except("filled", stays).alias("dropped")
@@ -187,9 +198,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with all its columns, the text without the lines that do not stay. No row goes; null texts stay null."""
     names = docs.columns
     rows = _with_kept(docs, percent, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    kept = F.coalesce("kept", F.array().cast("array<int>"))
-    lines = F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: (F.btrim(x, F.lit(BLANK)) == "") | F.array_contains(kept, i + 1))
-    text = F.array_join(lines, "\n")
+    lines = F.split(F.col("row.text"), "\n")
+    places = F.sort_array(F.concat(_places(lines, True), F.coalesce("kept", F.array().cast("array<int>"))))
+    text = F.array_join(F.transform(places, lambda i: F.get(lines, i - 1)), "\n")
     out = []
     for c in names:
         if c == "text":

@@ -288,6 +288,37 @@ def test_lines_equal_brute_force(spark):
     assert all(texts[i] == "\n".join(t.split("\n")[k - 1] for k in got.get(i, [])) for i, t in rows)
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line, own = prose(41, 12), prose(42, 12)
+    rows = [(1, line), (9, line + "!"), (9, own), (None, own + "?"), (None, prose(43, 9) + "\n" + line), (9, own), (12, None), (13, "")]
+    texts = sorted(((r["doc_id"], r["text"]) for r in line_dedup.deduplicated(docs(spark, rows)).collect()), key=str)
+    #: The null ids come first, so what they hold stays with them; equal rows share their decisions.
+    first = sorted([(None, own + "?"), (None, prose(43, 9) + "\n" + line)], key=lambda r: str(r))
+    assert texts == sorted([*first, (1, ""), (9, ""), (9, ""), (9, ""), (12, None), (13, "")], key=str)
+    lone = prose(44, 12)
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.deduplicated(docs(spark, [(1, line), (9, line + "!"), (9, lone)])).collect())
+    assert got == [(1, line), (9, ""), (9, lone)]
+    report = sorted((r["doc_id"], r["n_lines"], r["n_blank"], r["n_kept"], r["dropped"]) for r in line_dedup.line_report(docs(spark, [(1, line + "\n\n" + line), (9, " " + line), (9, lone)])).collect())
+    assert report == [(1, 3, 1, 1, [3]), (9, 1, 0, 0, [1]), (9, 1, 0, 1, [])]
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Of pairs with a similarity of 0.80 to 0.82 no more than the bands' own chance may share no band."""
+    r, missed, tried = random.Random(31), 0, 0
+    for _ in range(1500):
+        a = "".join(r.choice("abcdefghijklmnop") for _ in range(360))
+        b = list(a)
+        for at in r.sample(range(360), 8):
+            b[at] = "#"
+        b = "".join(b)
+        x, y = ({t[j : j + 5] for j in range(356)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.82:
+            tried += 1
+            one, two = line_dedup.bands_of(line_dedup.signatures(*line_dedup.shingle_hashes([a, b])))
+            missed += not (one == two).any()
+    assert tried > 100 and missed <= 1
+
+
 def test_large_buckets_without_links_end(spark):
     """More members than are compared at once, none of them alike; and alike ones that no single centre links."""
     from ionlake.llm.buckets import linked_components
