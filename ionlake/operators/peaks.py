@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionlake.operators.signal import EPS, noise, ordered
+from ionlake.operators.tables import settled
 
 
 def centroid_peaks(points: DataFrame, snr: float) -> DataFrame:
@@ -109,30 +112,132 @@ def frequent(feature_rows: DataFrame, key: str, share: float, n_spectra: Column
     return feature_rows.where("value > 0").groupBy(key).agg(F.count("*").alias("present")).where(F.col("present") >= F.ceil(F.lit(share) * n_spectra))
 
 
-def anchor_bins(peaks: DataFrame, tol: float, unit: str = "mz", min_peaks: int = 3) -> DataFrame:
-    """(mz, intensity, n): a bin is opened by its first peak and takes those within the tolerance of it.
+#: Distinct m/z a range of ``anchor_bins`` aims at, and the most ranges there are.
+AXIS_A_RANGE, MOST_RANGES = 1 << 16, 4096
 
-    Only the peaks of one chain segment depend on each other, since a gap that ends a chain ends the bin too; the
-    segments are folded apart, a batch at a time.
-    """
 
-    def fold(batches):
-        import pandas as pd
+def _limits(anchors: np.ndarray | float, tol: float, unit: str):
+    return tol if unit == "mz" else anchors * tol / 1e6
+
+
+def _next(mz: np.ndarray, tol: float, unit: str) -> np.ndarray:
+    """For each of the ascending ``mz`` the first one beyond its tolerance, len(mz) if there is none."""
+    limits = np.broadcast_to(_limits(mz, tol, unit), mz.shape)
+    at, n = np.searchsorted(mz, mz + limits, side="right"), len(mz)
+    padded = np.append(mz, np.inf)
+    while (low := (at < n) & (padded[at] - mz <= limits)).any():  # sums round otherwise than differences
+        at = at + low
+    while (high := (at > 0) & (padded[at - 1] - mz > limits)).any():
+        at = at - high
+    return at
+
 
+def _by_range(batches, columns: int):
+    """(range, arrays) of rows that come sorted by range and m/z, one range at a time."""
+    held, now = [], None
+    for batch in batches:
+        ranges = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and ranges[a] != now:
+                yield now, [np.concatenate([h[c] for h in held]) for c in range(columns)]
+                held = []
+            now = int(ranges[a])
+            held.append([batch.column(c + 1).to_numpy()[a:b] for c in range(columns)])
+    if held:
+        yield now, [np.concatenate([h[c] for h in held]) for c in range(columns)]
+
+
+def _ranged(axis: DataFrame, bounds: list[float]) -> DataFrame:
+    def run(batches):
         for batch in batches:
-            out = []
-            for segment in batch["peaks"]:
-                anchor, mzs, values = None, [], []
-                for p in [*segment, None]:
-                    if p is not None and anchor is not None and p["mz"] - anchor <= (tol if unit == "mz" else anchor * tol / 1e6):
-                        mzs.append(p["mz"])
-                        values.append(p["intensity"])
-                        continue
-                    if len(mzs) >= min_peaks:
-                        out.append((sum(mzs) / len(mzs), sum(values) / len(values), len(mzs)))
-                    if p is not None:
-                        anchor, mzs, values = p["mz"], [p["mz"]], [p["intensity"]]
-            yield pd.DataFrame(out, columns=["mz", "intensity", "n"])
-
-    grouped = chain_segments(peaks, tol, unit).groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("mz", "spectrum_id", "pos", "intensity"))).alias("peaks"))
-    return grouped.select("peaks").mapInPandas(fold, "mz double, intensity double, n long")
+            ranges = np.searchsorted(np.array(bounds), batch.column(0).to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), *batch.columns], names=["range", *batch.schema.names])
+
+    return axis.mapInArrow(run, "range int, mz double, intensity double, n long").repartition("range").sortWithinPartitions("range", "mz")
+
+
+def _steps(tol: float, unit: str):
+    """What a range does to the anchor that comes in: for m/z up to ``upto`` as its first anchor, ``last`` is its last."""
+
+    def run(batches):
+        for number, (mz,) in _by_range(batches, 1):
+            following, n = _next(mz, tol, unit), len(mz)
+            last = np.where(following == n, np.arange(n), following)
+            for _ in range(max(1, n.bit_length())):
+                last = last[last]
+            entries = last[: min(n, int(following[0]) + 1)]
+            ends = np.append(np.flatnonzero(np.diff(entries)), len(entries) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), number, np.int32)), pa.array(mz[ends]), pa.array(mz[entries[ends]])], names=["range", "upto", "last"])
+
+    return run
+
+
+def _bins_of(carried: dict[int, float], tol: float, unit: str):
+    """Sums a range contributes to each anchor, the one that comes in included."""
+
+    def run(batches):
+        for number, (mz, intensity, n) in _by_range(batches, 3):
+            coming = carried[number]
+            first = int(np.argmax(mz - coming > _limits(coming, tol, unit))) if (mz - coming > _limits(coming, tol, unit)).any() else len(mz)
+            following, anchors, i = _next(mz, tol, unit), [], first
+            while i < len(mz):
+                anchors.append(i)
+                i = int(following[i])
+            starts = ([0] if first else []) + anchors
+            names = ([coming] if first else []) + mz[anchors].tolist()
+            sums = [np.add.reduceat(x, starts) for x in (mz * n, intensity, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.float64()), *[pa.array(x) for x in sums]], names=["anchor", "mz", "intensity", "n"])
+
+    return run
+
+
+def anchor_bins(peaks: DataFrame, tol: float, unit: str = "mz", min_peaks: int = 3) -> DataFrame:
+    """(mz, intensity, n): a bin is opened by its first peak and takes those within the tolerance of it.
+
+    Peaks of equal m/z share a bin, so they are first added up; what remains is the axis of distinct m/z, cut into
+    ranges of about AXIS_A_RANGE. An anchor's successor is the first m/z beyond its tolerance; the last anchor of a range
+    is all that the next one needs. A range is a step function of what comes in, a few rows; the chain through all
+    ranges is found by doubling the pointers between those rows, and then all ranges are summed at once. A task holds one
+    range's axis, never the peaks of a bin or chain.
+    """
+    axis = settled(peaks.where("mz is not null").groupBy("mz").agg(F.sum("intensity").alias("intensity"), F.count("*").alias("n")))
+    count = axis.count()
+    pieces = min(MOST_RANGES, -(-count // AXIS_A_RANGE))
+    bounds = sorted(set(axis.approxQuantile("mz", [k / pieces for k in range(1, pieces)], 0.2 / pieces))) if pieces > 1 else []
+    apart, least = [], -float("inf")
+    for b in bounds:  # at most MOST_RANGES; two tolerances wide at least, so that a bin spans no whole range
+        if b - least > 2 * _limits(b, tol, unit):
+            apart.append(b)
+            least = b
+    ranged = settled(_ranged(axis, apart))
+    carried = _carried(ranged, tol, unit) if apart else {0: -float("inf")}
+    sums = ranged.select("range", "mz", "intensity", "n").mapInArrow(_bins_of(carried, tol, unit), "anchor double, mz double, intensity double, n long")
+    bins = sums.groupBy("anchor").agg(F.sum("mz").alias("mz"), F.sum("intensity").alias("intensity"), F.sum("n").alias("n")).where(F.col("n") >= min_peaks)
+    return bins.select((F.col("mz") / F.col("n")).alias("mz"), (F.col("intensity") / F.col("n")).alias("intensity"), "n")
+
+
+def _carried(ranged: DataFrame, tol: float, unit: str) -> dict[int, float]:
+    """The anchor that comes into each range, one number a range: none (-inf) where the range before has no anchor."""
+    none = F.lit(-float("inf"))
+    steps = settled(ranged.select("range", "mz").mapInArrow(_steps(tol, unit), "range int, upto double, last double"))
+    order = {r["range"]: k for k, r in enumerate(ranged.select("range").distinct().orderBy("range").collect())}
+    numbered = ranged.sparkSession.createDataFrame(list(order.items()), "range int, k int")
+    steps = settled(steps.join(F.broadcast(numbered), "range").drop("range"))
+    nodes = steps.select("k", "last").distinct().union(numbered.select("k", none))
+    coming = nodes.select(F.col("k").alias("from_k"), F.col("last").alias("a"))
+    limit = F.lit(tol) if unit == "mz" else F.col("a") * tol / 1e6
+    beyond = F.when(F.col("upto") - F.col("a") > limit, F.struct("upto", "last"))
+    jumps = coming.join(steps, F.col("k") == F.col("from_k") + 1).groupBy("from_k", "a").agg(F.min(beyond).alias("s")).select("from_k", "a", (F.col("from_k") + 1).alias("to_k"), F.coalesce("s.last", none).alias("b"))
+    start = steps.where("k = 0").agg(F.min_by("last", "upto").alias("a")).select(F.lit(0).alias("k"), "a")
+    jumps, seen, span = settled(jumps), settled(start), 1
+    while span < len(order):
+        there = seen.join(jumps, (F.col("k") == F.col("from_k")) & (seen["a"] == jumps["a"])).select(F.col("to_k").alias("k"), F.col("b").alias("a"))
+        seen = settled(seen.union(there))
+        on = jumps.select(F.col("from_k").alias("k2"), F.col("a").alias("a2"), F.col("to_k").alias("to2"), F.col("b").alias("b2"))
+        jumps = settled(jumps.join(on, (F.col("to_k") == F.col("k2")) & (F.col("b") == F.col("a2"))).select("from_k", "a", F.col("to2").alias("to_k"), F.col("b2").alias("b")))
+        span *= 2
+    last = {r["k"]: r["a"] for r in seen.collect()}  # one row a range
+    return {number: last[k - 1] if k else -float("inf") for number, k in order.items()}

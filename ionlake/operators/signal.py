@@ -7,6 +7,9 @@ import sys
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ionlake.operators.quantiles import quantiles
+from ionlake.operators.tables import settled
+
 EPS = sys.float_info.epsilon
 MAD_SCALE = 1.4826022185
 
@@ -37,8 +40,12 @@ def normalized(points: DataFrame, method: str) -> DataFrame:
 
 
 def pqn(points: DataFrame) -> DataFrame:
-    """(spectrum_id, factor): the median quotient to the median spectrum, on the position axis."""
-    reference = points.groupBy("pos").agg(F.median("intensity").alias("ref"))
+    """(spectrum_id, factor): the median quotient to the median spectrum, on the position axis.
+
+    A position holds a value of every spectrum, so its median is selected by histograms; a spectrum's own quotients
+    are as many as its points.
+    """
+    reference = quantiles(points, ["pos"], "intensity", name="ref")
     quotient = (F.col("intensity") + EPS) / (F.col("ref") + EPS)
     return points.join(reference, "pos").groupBy("spectrum_id").agg(F.median(quotient).alias("factor"))
 
@@ -86,7 +93,9 @@ def signal_quality(points: DataFrame) -> DataFrame:
     """One row: means of noise, of the 95th percentile of positive intensities over noise (at most 1e6), of totals and their spread."""
     high = points.groupBy("spectrum_id").agg(F.percentile(F.when(F.col("intensity") > 0, F.col("intensity")), 0.95).alias("q95"), F.sum("intensity").alias("tic"))
     rows = noise(points).join(high, "spectrum_id").withColumn("snr", F.least(F.lit(1e6), F.col("q95") / F.greatest(F.col("noise"), F.lit(1e-6))))
-    return rows.agg(
-        F.round(F.avg("noise"), 6).alias("mean_noise"), F.round(F.avg("snr"), 6).alias("mean_snr"), F.round(F.median("snr"), 6).alias("median_snr"),
-        F.round(F.avg("tic"), 4).alias("mean_tic"), F.round(F.stddev_samp("tic") / F.avg("tic"), 6).alias("tic_cv"),
+    rows = settled(rows)
+    means = rows.agg(
+        F.round(F.avg("noise"), 6).alias("mean_noise"), F.round(F.avg("snr"), 6).alias("mean_snr"), F.round(F.avg("tic"), 4).alias("mean_tic"), F.round(F.stddev_samp("tic") / F.avg("tic"), 6).alias("tic_cv"),
     )
+    middle = quantiles(rows, [], "snr").agg(F.round(F.max("value"), 6).alias("median_snr"))
+    return means.crossJoin(middle).select("mean_noise", "mean_snr", "median_snr", "mean_tic", "tic_cv")
