@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import struct
+import time
+import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ionlake.functions import bitmaps
+from ionlake.operators.tables import settled
 from ionlake.schema import FileFormatError
 from ionlake.sources.imzml import ImzmlDataSource
 from ionlake.sources.mzml import MzmlDataSource
@@ -71,11 +76,49 @@ def read_sync(spark: SparkSession, path: str, width: int | None = None) -> DataF
     return lines.select(F.when(F.size("c") >= 3, full).otherwise(flat).alias("r")).select("r.*")
 
 
+#: Columns of a file of a wide matrix.
+COLUMNS = 1000
+
+
+def write_matrix(features: DataFrame, folder: str, row: str = "spectrum_id", column: str = "mz", value: str = "value", columns: int = COLUMNS) -> None:
+    """A wide matrix as CSV files of at most ``columns`` columns each, from its long form (row, column, value).
+
+    ``columns.csv`` numbers the distinct columns in their order; block=k/ holds the rows' values of columns k *
+    ``columns`` and on, nothing where the long form has no entry, the greatest where it has several. A line is made
+    from the entries of one row in one block, so neither rows nor columns are bounded and no plan has a column a bin.
+    """
+    spark = features.sparkSession
+    names = features.select(column).distinct().where(F.col(column).isNotNull()).sort(column)
+    #: The order of columns, by ranges: the number within a range and the sizes of the ranges before.
+    placed = settled(names.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
+    numbered = settled(placed.join(F.broadcast(starts), "part").select(F.col(column), (F.col("start") + F.col("at")).alias("k")))
+    numbered.orderBy("k").coalesce(1).write.mode("overwrite").csv(f"{folder}/columns.csv", header=True)
+    entries = features.groupBy(row, column).agg(F.max(value).alias("v")).join(numbered, column).withColumn("block", F.floor(F.col("k") / columns))
+    widths = numbered.groupBy(F.floor(F.col("k") / columns).alias("block")).agg(F.count("*").cast("int").alias("width"))
+    cells = entries.groupBy("block", row).agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") % columns).cast("int").alias("i"), F.col("v").cast("string")))).alias("cells"))
+    lines = cells.join(F.broadcast(widths), "block").select("block", F.lit(1).alias("place"), F.col(row).cast("string").alias("name"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(""))).alias("v"))
+    heads = numbered.groupBy(F.floor(F.col("k") / columns).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.col(column).cast("string").alias("c")))), lambda s: s["c"]).alias("v"))
+    text = lines.union(heads.select("block", F.lit(0), F.lit(row), "v")).select("block", "place", "name", F.concat_ws(",", "name", F.array_join("v", ",")).alias("line"))
+    dealt = text.repartition("block").sortWithinPartitions("block", "place", "name")
+    dealt.select("block", "line").write.mode("overwrite").partitionBy("block").text(f"{folder}/matrix")
+
+
+def read_matrix(spark: SparkSession, folder: str, row: str = "spectrum_id", column: str = "mz") -> DataFrame:
+    """The long form (row, column, value as text) of a written matrix; cells without a value have no row."""
+    lines = spark.read.option("basePath", f"{folder}/matrix").text(f"{folder}/matrix").select(F.col("block").cast("long").alias("block"), F.split("value", ",").alias("c"))
+    cells = lines.where(F.col("c")[0] != row).select("block", F.col("c")[0].alias(row), F.posexplode(F.slice("c", 2, F.size("c"))).alias("i", "value")).where("value <> ''")
+    names = spark.read.csv(f"{folder}/columns.csv", header=True)
+    width = names.count() if not (first := lines.where((F.col("c")[0] == row) & (F.col("block") == 0)).head()) else len(first["c"]) - 1
+    return cells.withColumn("k", F.col("block") * width + F.col("i")).join(names.withColumn("k", F.col("k").cast("long")), "k").select(row, column, "value")
+
+
 def write_features(binned: DataFrame, folder: str) -> None:
-    """feature_matrix_simple and feature_matrix_standard as CSV; the features fit one row of a table, hence one file."""
-    binned.select("mz", "intensity").orderBy("mz").coalesce(1).write.mode("overwrite").csv(f"{folder}/feature_matrix_simple", header=True)
-    rows = binned.select(F.format_string("mz_%.4f", "mz").alias("k"), "intensity").groupBy().pivot("k").sum("intensity")
-    rows.select(F.lit("aggregated_spectrum").alias("sample_type"), *[F.col(f"`{c}`") for c in rows.columns]).coalesce(1).write.mode("overwrite").csv(f"{folder}/feature_matrix_standard", header=True)
+    """feature_matrix_simple (m/z, intensity) in order, and feature_matrix_standard: one sample, a column a bin, in blocks."""
+    binned.select("mz", "intensity").orderBy("mz").write.mode("overwrite").csv(f"{folder}/feature_matrix_simple", header=True)
+    one = binned.select(F.lit("aggregated_spectrum").alias("sample_type"), F.format_string("%.4f", "mz").cast("decimal(20,4)").alias("mz"), "intensity")
+    write_matrix(one, f"{folder}/feature_matrix_standard", "sample_type", "mz", "intensity")
 
 
 def dense(image: DataFrame, value: str = "intensity") -> np.ndarray:
@@ -94,51 +137,15 @@ def write_bmp(levels: np.ndarray, path: str, palette: list[int] | None = None) -
     height, width = scaled.shape
     stride = -(-width // 4) * 4
     body = b"".join(row.tobytes() + bytes(stride - width) for row in scaled[::-1])
-    colours = struct.pack("<256I", *(palette or [v << 16 | v << 8 | v for v in range(256)]))
+    colours = struct.pack("<256I", *(palette or bitmaps.palette_of(bitmaps.GRAY)))
     with open(path, "wb") as out:
         out.write(struct.pack("<2sIHHI", b"BM", 1078 + len(body), 0, 0, 1078) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, len(body), 2835, 2835, 256, 256) + colours + body)
 
 
 def read_png(path: str) -> np.ndarray:
-    """Gray levels 0-1 of an 8-bit, not interlaced PNG; colours by the usual luma weights."""
+    """Gray levels 0-1 of a PNG; colours by the usual luma weights."""
     with open(path, "rb") as file:
-        data = file.read()
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise FileFormatError("not a PNG")
-    at, body, palette = 8, b"", None
-    while at < len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        chunk = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, laced = struct.unpack(">IIBBBBB", chunk)
-            if depth != 8 or laced:
-                raise FileFormatError("only 8-bit PNG without interlacing")
-        elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body += chunk
-        at += 12 + size
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw, rows = zlib.decompress(body), np.zeros((height, width * n), np.uint8)
-    before = np.zeros(width * n, np.int32)
-    for y in range(height):
-        how, line = raw[y * (width * n + 1)], np.frombuffer(raw, np.uint8, width * n, y * (width * n + 1) + 1).astype(np.int32)
-        if how == 2:
-            line = (line + before) & 255
-        elif how:
-            out = np.zeros(width * n, np.int32)
-            for i in range(width * n):
-                a, b, c = (out[i - n] if i >= n else 0), before[i], (before[i - n] if i >= n else 0)
-                p = a + b - c
-                guess = a if how == 1 else (a + b) // 2 if how == 3 else min((a, b, c), key=lambda v: (abs(p - v), (v == b) + 2 * (v == c and v != a and v != b)))
-                out[i] = (line[i] + guess) & 255
-            line = out
-        rows[y], before = line, line
-    pixels = rows.reshape(height, width, n)
-    if palette is not None:
-        pixels = palette[pixels[:, :, 0]]
-    gray = pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114]) if pixels.shape[2] >= 3 else pixels[:, :, 0]
-    return gray / 255
+        return bitmaps.decode_png(file.read())
 
 
 def write_png(levels: np.ndarray, path: str) -> None:
@@ -150,7 +157,13 @@ def write_png(levels: np.ndarray, path: str) -> None:
 
 
 class Registry:
-    """Data sets by name in a JSON file, replaced atomically; updates keep keys they don't name."""
+    """Data sets by name in a JSON file. Changes are made under a lock, to what is in the file by then, and replace it at once.
+
+    The lock is a file beside the registry that only one process can create; it names its owner. One that is older
+    than STALE seconds belonged to a process that died and is taken over.
+    """
+
+    RETRIES, PAUSE, STALE = 200, 0.05, 30.0
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -161,21 +174,55 @@ class Registry:
         with open(self.path, encoding="utf-8") as file:
             return json.load(file)
 
+    @contextlib.contextmanager
+    def locked(self):
+        """The entries, to be changed in place; they are written when the block ends without an error."""
+        lock, owner = f"{self.path}.lock", f"{os.uname().nodename}-{os.getpid()}-{uuid.uuid4().hex}"
+        for turn in range(self.RETRIES + 1):
+            try:
+                with os.fdopen(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as file:
+                    file.write(owner)
+                break
+            except FileExistsError:
+                with contextlib.suppress(FileNotFoundError):
+                    if time.time() - os.stat(lock).st_mtime > self.STALE:
+                        aside = f"{lock}.{owner}"
+                        os.rename(lock, aside)  # only one process gets it
+                        os.remove(aside)
+                        continue
+                if turn == self.RETRIES:
+                    raise TimeoutError(f"{lock} is held") from None
+                time.sleep(self.PAUSE)
+        try:
+            entries = self.load()
+            yield entries
+            with open(lock, encoding="utf-8") as file:
+                if file.read() != owner:
+                    raise TimeoutError(f"{lock} was taken over")
+            self.save(entries)
+        finally:
+            with contextlib.suppress(FileNotFoundError), open(lock, encoding="utf-8") as file:
+                if file.read() == owner:
+                    os.remove(lock)
+
     def save(self, entries: dict[str, dict]) -> None:
-        with open(f"{self.path}.new", "w", encoding="utf-8") as file:
+        fresh = f"{self.path}.{uuid.uuid4().hex}"
+        with open(fresh, "w", encoding="utf-8") as file:
             json.dump(entries, file, indent=1, sort_keys=True)
-        os.replace(f"{self.path}.new", self.path)
+        os.replace(fresh, self.path)
 
-    def update(self, name: str, **fields) -> dict:
-        entries = self.load()
-        entries[name] = entries.get(name, {}) | fields
-        self.save(entries)
-        return entries[name]
+    def update(self, name: str, defaults: dict | None = None, **fields) -> dict:
+        """Sets fields of an entry, ``defaults`` only where the entry is new; other keys stay."""
+        with self.locked() as entries:
+            entries[name] = (entries.get(name) or dict(defaults or {})) | fields
+            return entries[name]
 
     def reconcile(self, folders: set[str]) -> tuple[set[str], set[str]]:
         """Adds folders without an entry; drops entries whose folder and source are both gone."""
-        entries = self.load()
-        new = folders - entries.keys()
-        gone = {k for k in entries.keys() - folders if not os.path.exists(entries[k].get("source_path", ""))}
-        self.save({k: v for k, v in entries.items() if k not in gone} | {k: {} for k in new})
+        with self.locked() as entries:
+            new = folders - entries.keys()
+            gone = {k for k in entries.keys() - folders if not os.path.exists(entries[k].get("source_path", ""))}
+            for k in gone:
+                del entries[k]
+            entries.update({k: {} for k in new})
         return new, gone
