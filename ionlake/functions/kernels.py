@@ -27,6 +27,7 @@ def hull(x: np.ndarray, y: np.ndarray, lower: bool = True) -> np.ndarray:
     if len(y) < 3:
         return np.zeros(len(y))
     turn, kept = (1 if lower else -1), []
+    x, y = np.asarray(x, float), np.asarray(y, float)
     for i in range(len(x)):
         while len(kept) > 1:
             a, b = kept[-2], kept[-1]
@@ -114,22 +115,22 @@ def detect_profile(x: np.ndarray, y: np.ndarray, half: int = 10, snr: float = 2.
     noise = mad(y) + EPS
     window = max(5, 2 * half + 1)
     ys = savitzky_golay(y, window, 2) if len(y) >= window else y.astype(float)
+    high, low = (np.pad(ys, half, constant_values=v) for v in (-np.inf, np.inf))
+    top = np.lib.stride_tricks.sliding_window_view(high, 2 * half + 1).max(axis=1)
+    least = np.lib.stride_tricks.sliding_window_view(low, half + 1).min(axis=1)
+    rise = ys - np.maximum(least[: len(ys)], least[half : half + len(ys)])
+    inner = (np.arange(len(ys)) > 0) & (np.arange(len(ys)) < len(ys) - 1)
     found: list[int] = []
-    for i in range(1, len(ys) - 1):
-        lo, hi = max(0, i - half), min(len(ys), i + half + 1)
-        rise = ys[i] - max(ys[lo : i + 1].min(), ys[i:hi].min())
-        if ys[i] >= ys[lo:hi].max() and ys[i] > snr * noise and rise > prominence * ys[i]:
-            if found and x[i] - x[found[-1]] < merge:
-                if y[i] > y[found[-1]]:
-                    found[-1] = i
-            else:
-                found.append(i)
+    for i in np.flatnonzero(inner & (ys >= top) & (ys > snr * noise) & (rise > prominence * ys)).tolist():
+        if found and x[i] - x[found[-1]] < merge:
+            if y[i] > y[found[-1]]:
+                found[-1] = i
+        else:
+            found.append(i)
     out = []
     for i in found:
         width = fwhm(x, y, i)
-        lo, hi = max(0, i - half), min(len(y), i + half + 1)
-        rise = ys[i] - max(ys[lo : i + 1].min(), ys[i:hi].min())
-        out.append((float(x[i]), float(y[i]), 1e6 * width / x[i] if np.isfinite(width) else 0.0, gaussian_r2(x, y, i, half), float(y[i] / noise), float(rise)))
+        out.append((float(x[i]), float(y[i]), 1e6 * width / x[i] if np.isfinite(width) else 0.0, gaussian_r2(x, y, i, half), float(y[i] / noise), float(rise[i])))
     return out
 
 

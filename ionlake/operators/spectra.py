@@ -150,3 +150,40 @@ def peak_characteristics(points: DataFrame) -> DataFrame:
     """(mean_points, median_points, total_points, n_spectra) over spectra that hold any."""
     counts = points.groupBy("spectrum_id").agg(F.count("*").alias("n"))
     return counts.agg(F.avg("n").alias("mean_points"), F.median("n").alias("median_points"), F.sum("n").alias("total_points"), F.count("*").alias("n_spectra"))
+
+
+def peak_shapes(spectra: DataFrame, top: int = 3, snr: float = 3.0, half_window: int = 10) -> DataFrame:
+    """(spectrum_id, n_peaks, fwhm_ppm, shape_r2): of each spectrum the means over its ``top`` most intense profile peaks.
+
+    Widths count where a peak has one; a spectrum without peaks has nulls.
+    """
+    import numpy as np
+
+    from ionlake.functions import kernels
+
+    def shape(i, mz, y):
+        sound = len(mz) == len(y) and np.isfinite(mz).all() and np.isfinite(y).all()
+        found = sorted(kernels.detect_profile(mz, y, half_window, snr), key=lambda p: (-p[1], p[0]))[:top] if sound else []
+        widths = [p[2] for p in found if p[2] > 0]
+        return i, len(found), float(np.mean(widths)) if widths else None, float(np.mean([p[3] for p in found])) if found else None
+
+    return apply_spectra(spectra, shape, "spectrum_id long, n_peaks int, fwhm_ppm double, shape_r2 double")
+
+
+def shape_summary(shapes: DataFrame) -> DataFrame:
+    """One row: mean and median width (ppm) and shape over the spectra that have them, and how many had peaks."""
+    return shapes.agg(
+        F.avg("fwhm_ppm").alias("mean_fwhm_ppm"), F.median("fwhm_ppm").alias("median_fwhm_ppm"), F.avg("shape_r2").alias("mean_r2"), F.median("shape_r2").alias("median_r2"),
+        F.count_if(F.col("n_peaks") > 0).alias("n_spectra"),
+    )
+
+
+def dimensions(points: DataFrame) -> DataFrame:
+    """One row: the raster's width and height, and the pixels that have a spectrum."""
+    return points.agg(F.max("x").alias("width"), F.max("y").alias("height"), F.count_distinct("x", "y").alias("n_pixels"))
+
+
+def dynamic_range(points: DataFrame) -> DataFrame:
+    """One row: orders of magnitude between the least positive and the greatest intensity."""
+    positive = F.when(F.col("intensity") > 0, F.col("intensity"))
+    return points.agg(F.round(F.log10(F.max(positive) / F.min(positive)), 6).alias("orders"))

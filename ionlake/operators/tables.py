@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -19,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
+    folder = shared_folder(spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """The rows as they are now, without their lineage: a table in the shared folder, which goes when the session ends.
 
@@ -26,12 +38,23 @@ def settled(frame: DataFrame) -> DataFrame:
     Either way plans that read them know their true size.
     """
     spark = frame.sparkSession
-    if not (folder := shared_folder(spark)):
+    if not shared_folder(spark):
         kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
         kept.count()
         return kept
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    path = own_folder(spark, "settled")
     frame.write.option("compression", "zstd").parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, 3... in that order, over all rows.
+
+    The rows are sorted in ranges; a row's number is its place in its range and the sizes of the ranges before, one
+    row a range. No window holds all rows.
+    """
+    at = F.monotonically_increasing_id()
+    placed = settled(rows.orderBy(*order).withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")

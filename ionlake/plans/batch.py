@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionlake.operators import imaging
+from ionlake.operators.tables import numbered, settled
 from ionlake.sources import imzml
 from ionlake.sources.files import Registry, dense, write_bmp
 
@@ -46,10 +47,8 @@ def convert(spectra: DataFrame, pixels: DataFrame, path: str, compressed: bool =
     start = spectra.agg(F.min("scan_time_ms").alias("zero"))
     timed = spectra.where("scan_time_ms is not null").crossJoin(F.broadcast(start)).select("spectrum_id", (F.col("scan_time_ms") - F.col("zero")).alias("t"), "mz", "intensity", "mode")
     ids = timed.select("spectrum_id", "t")
-    from pyspark.sql import Window
-
-    scans = ids.select(F.row_number().over(Window.orderBy("t", "spectrum_id")).cast("long").alias("scan"), "t", "spectrum_id")
-    order = pixels.select("x", "y", "t", F.row_number().over(Window.orderBy("t", "y", "x")).cast("long").alias("pixel"))
+    scans = settled(numbered(ids, ["t", "spectrum_id"], "scan"))
+    order = settled(numbered(pixels.select("x", "y", "t"), ["t", "y", "x"], "pixel"))
     weights = ops.scan_weights(ops.match_times(scans.select("scan", "t"), order.select("pixel", "t")), scans.select("scan", "t"))
     rows = timed.join(scans.select("spectrum_id", "scan"), "spectrum_id").select("scan", "mode", F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p"))
     summed = ops.render(weights, rows.select("scan", "pos", F.col("p.intensity").alias("intensity")))

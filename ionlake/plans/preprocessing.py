@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +30,48 @@ class Spectrum:
         return bool(len(self.mz) and len(self.mz) == len(self.intensity) and np.isfinite(both).all() and (both >= 0).all() and (np.diff(self.mz) >= 0).all())
 
 
+#: What a step's parameters may be, by step and name; the lowest and the highest value.
+RANGES: dict[str, dict[str, tuple[float, float]]] = {
+    "smoothing": {"window": (3, float("inf")), "order": (0, float("inf"))},
+    "baseline_correction": {"iterations": (1, float("inf")), "window": (3, float("inf"))},
+    "peak_picking": {"snr": (0, float("inf")), "half_window": (1, float("inf")), "prominence": (0, 1), "merge": (0, float("inf"))},
+    "peak_selection": {"min_snr": (0, float("inf")), "min_fwhm": (0, float("inf")), "max_fwhm": (0, float("inf")), "min_r2": (0, 1)},
+    "calibration": {"ppm": (0, float("inf")), "fit_order": (0, 2), "snr": (0, float("inf"))},
+    "peak_alignment": {"tol": (0, float("inf"))},
+    "peak_binning": {"tolerance": (0, float("inf")), "min_peaks": (1, float("inf"))},
+}
+
+
+def problems(name: str, params: dict) -> list[str]:
+    """What is wrong with a step's parameters: everything at once, as the user has to mend it."""
+    out = []
+    for key, (low, high) in RANGES.get(name, {}).items():
+        value = params.get(key)
+        if value is None:
+            continue
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            out.append(f"{key} is no number")
+        elif not low <= value <= high:
+            out.append(f"{key} out of range")
+    if name == "calibration" and "references" in params and not params["references"]:
+        out.append("no reference peaks")
+    return out
+
+
 @dataclass(frozen=True)
 class Step:
-    """A step's name and parameters, checked when it is made."""
+    """A step's name and parameters, checked when it is made. A disabled step is not checked; an unknown one is left out with a warning."""
 
     name: str
     params: dict = field(default_factory=dict)
     enabled: bool = True
 
     def __post_init__(self) -> None:
-        if self.name not in KERNELS and self.name not in ("peak_alignment", "peak_binning"):
-            raise ValueError(f"unknown step {self.name}")
-        checks = {"prominence": lambda v: 0 <= v <= 1, "min_r2": lambda v: 0 <= v <= 1, "snr": lambda v: v >= 0, "window": lambda v: v >= 3, "iterations": lambda v: v >= 1}
-        wrong = [k for k, ok in checks.items() if self.params.get(k) is not None and not ok(self.params[k])]
-        if wrong:
-            raise ValueError(f"{self.name}: {', '.join(wrong)} out of range")
+        if self.enabled and (wrong := problems(self.name, self.params)):
+            raise ValueError(f"{self.name}: {', '.join(wrong)}")
+
+    def known(self) -> bool:
+        return self.name in KERNELS or self.name in ("peak_alignment", "peak_binning")
 
 
 def _stabilize(s: Spectrum, method: str = "sqrt") -> None:
@@ -60,7 +88,14 @@ def _smooth(s: Spectrum, method: str = "savitzky_golay", window: int = 9, order:
 
 
 def _baseline(s: Spectrum, method: str = "snip", iterations: int = 100, window: int = 20, upper_hull: bool = False) -> None:
-    base = {"snip": lambda: kernels.snip(s.intensity, iterations), "convex_hull": lambda: kernels.hull(s.mz, s.intensity, not upper_hull), "median": lambda: kernels.moving_median(s.intensity, window)}.get(method, lambda: 0.0)()
+    """``convex_hull`` is the hull under the signal over m/z; ``upper_hull`` the one over it, over the points' places."""
+    places = np.arange(len(s.intensity))
+    table = {
+        "snip": lambda: kernels.snip(s.intensity, iterations),
+        "convex_hull": lambda: kernels.hull(places, s.intensity, False) if upper_hull else kernels.hull(s.mz, s.intensity),
+        "median": lambda: kernels.moving_median(s.intensity, window),
+    }
+    base = table.get(method, lambda: 0.0)()
     s.intensity = np.maximum(0, s.intensity - base)
 
 
@@ -108,25 +143,41 @@ KERNELS: dict[str, Callable] = {
 }
 
 
+def _peaks_in(column: pa.ListArray, i: int) -> list[tuple]:
+    start, stop = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+    fields = [column.values.field(k)[start:stop].to_pylist() for k in PEAK_FIELDS]
+    return list(zip(*fields, strict=True))
+
+
+def _listed(values: list, width: int | None = None) -> pa.ListArray:
+    """A list column from one array a row, or, with ``width``, a column of lists of structs from tuples of so many numbers."""
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
+    if width is None:
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values) if values else np.zeros(0)))
+    flat = np.array([p for v in values for p in v], float).reshape(-1, width)
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(width)], names=list(PEAK_FIELDS)))
+
+
 def apply_kernels(spectra: DataFrame, steps: list[tuple[Callable, dict]]) -> DataFrame:
-    """All steps on each spectrum in one pass. Unsound spectra pass untouched, but have no peaks after peak picking."""
+    """All steps on each spectrum in one pass over Arrow batches. Unsound spectra pass untouched, but have no peaks after peak picking."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mz, intensity, found = [], [], []
-            for row in batch.itertuples():
-                s = Spectrum(int(row.spectrum_id), np.array(row.mz, dtype=float), np.array(row.intensity, dtype=float), [tuple(p[k] for k in PEAK_FIELDS) for p in (row.peaks if row.peaks is not None else [])])
+            for i in range(batch.num_rows):
+                axes = [c[i].values.to_numpy(zero_copy_only=False).astype(float) if c[i].is_valid else np.zeros(0) for c in batch.columns[3:5]]
+                s = Spectrum(batch.column(0)[i].as_py(), *axes, _peaks_in(batch.column(5), i) if batch.column(5)[i].is_valid else [])
                 for step, params in steps:
                     if s.sound():
                         step(s, **params)
                     elif step is _pick:
                         s.peaks = []
-                mz.append(s.mz.tolist())
-                intensity.append(s.intensity.tolist())
-                found.append([dict(zip(PEAK_FIELDS, p, strict=True)) for p in s.peaks])
-            yield batch.assign(mz=mz, intensity=intensity, peaks=found)
+                mz.append(s.mz)
+                intensity.append(s.intensity)
+                found.append(s.peaks)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _listed(mz), _listed(intensity), _listed(found, len(PEAK_FIELDS))], names=["spectrum_id", "x", "y", "mz", "intensity", "peaks"])
 
-    return spectra.select("spectrum_id", "x", "y", "mz", "intensity", "peaks").mapInPandas(run, SCHEMA)
+    return spectra.select("spectrum_id", "x", "y", "mz", "intensity", "peaks").mapInArrow(run, SCHEMA)
 
 
 def with_peaks(spectra: DataFrame) -> DataFrame:
@@ -139,25 +190,41 @@ def peak_rows(spectra: DataFrame) -> DataFrame:
     return rows.select("spectrum_id", F.col("pos").cast("long").alias("pos"), *[F.col(f"p.{k}").alias(k) for k in PEAK_FIELDS])
 
 
-def alignment_reference(spectra: DataFrame) -> tuple[float, ...]:
-    """The peaks' m/z of the first spectrum that has any: one spectrum's peaks reach the driver."""
-    first = spectra.where(F.size("peaks") > 0).agg(F.min_by("peaks.mz", "spectrum_id").alias("mz")).first()
-    return tuple(first["mz"] or ())
+#: Spectra that the search for a reference looks at first, and at most at once.
+FIRST, MOST = 8, 4096
+
+
+def alignment_reference(before: DataFrame, pending: list[tuple[Callable, dict]]) -> tuple[float, ...]:
+    """The peaks' m/z of the first spectrum that has any after the pending steps: one spectrum's peaks reach the driver.
+
+    Spectra are tried in order of their ids, more at a time as long as none has peaks, so the steps run over a few
+    spectra here and over all of them only afterwards.
+    """
+    last, size = None, FIRST
+    while True:
+        some = (before if last is None else before.where(F.col("spectrum_id") > last)).orderBy("spectrum_id").limit(size)
+        tried = apply_kernels(some, pending) if pending else some
+        has = F.size("peaks") > 0
+        row = tried.agg(F.min_by(F.when(has, F.col("peaks.mz")), F.when(has, F.col("spectrum_id"))).alias("mz"), F.max("spectrum_id").alias("last"), F.count("*").alias("n")).first()
+        if row["mz"] or row["n"] < size:
+            return tuple(row["mz"] or ())
+        last, size = row["last"], min(MOST, size * 8)
 
 
 def run_steps(spectra: DataFrame, steps: list[Step]) -> tuple[DataFrame, DataFrame | None]:
     """The spectra after all steps, and the binned features (mz, intensity, n) if binning is among them."""
     frame, pending, binned = with_peaks(spectra), [], None
     for step in [s for s in steps if s.enabled]:
-        if step.name in KERNELS:
+        if not step.known():
+            warnings.warn(f"unknown step {step.name} is left out", stacklevel=2)
+        elif step.name in KERNELS:
             pending.append((KERNELS[step.name], step.params))
-            continue
-        if pending:
-            frame, pending = apply_kernels(frame, pending), []
-        if step.name == "peak_alignment":
-            reference = alignment_reference(frame)
-            pending = [(_align_to, {"reference": reference} | step.params)]
+        elif step.name == "peak_alignment":
+            reference = alignment_reference(frame, pending)
+            pending.append((_align_to, {"reference": reference} | step.params))
         else:
+            if pending:
+                frame, pending = apply_kernels(frame, pending), []
             binned = peak_ops.anchor_bins(peak_rows(frame), step.params.get("tolerance", 0.05), step.params.get("unit", "mz"), step.params.get("min_peaks", 3))
     if pending:
         frame = apply_kernels(frame, pending)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.operators import convert, datasets, imaging, peaks, signal, spectra
+from ionlake.operators import convert, datasets, imaging, peaks, quantiles, regions, signal, spectra, stored, surfaces
+from ionlake.operators.tables import numbered, own_folder
+from ionlake.sources import images as image_files
 from ionlake.plans.views import EM, EV, LI, MASK, checker_mask, pts_em, pts_ev, pts_li
 from ionlake.plans.views import spectra as as_spectra
 
@@ -461,9 +464,10 @@ def ion_image_raster(spark, sf):
 
 @query(f"with {LI}, {STATS}, masses as (select unnest([1000.0e0, 2000.0e0, 104000.0e0]) mass), ok as (select distinct \"SpectrumID\" spectrum_id from st, masses where mass+50.0e0>=\"MinMZ\" and mass-50.0e0<=\"MaxMZ\"), {_image_sql('mz between mass-50.0e0 and mass+50.0e0', 'mass', 'semi join ok using (spectrum_id), masses')} select * from img")
 def ion_images_pruned(spark, sf):
-    """Spectra whose range meets no window are left out before any of their points is looked at."""
-    p = pts_li(spark, sf)
-    return imaging.ion_images(imaging.pruned(p, spectra.statistics(p), [1000.0, 2000.0, 104000.0], 50.0), [1000.0, 2000.0, 104000.0], 50.0)
+    """The points are stored by blocks with their statistics; the images read the candidates' blocks alone."""
+    folder, masses = own_folder(spark, "points"), [1000.0, 2000.0, 104000.0]
+    stored.store_points(pts_li(spark, sf), folder)
+    return imaging.ion_images(stored.candidate_points(spark, folder, masses, 50.0), masses, 50.0)
 
 
 @query(f"""with {EV}, m as (select distinct x, y from p where (x+y)%3<>0), z as (select max(x) w, max(y) h from m)
@@ -510,16 +514,16 @@ def duplicate_indices(spark, sf):
     return datasets.has_duplicates(spark.read.parquet(f"{sf}/events.parquet"), "user_id")
 
 
-@query("select p_partkey, p_retailprice>1000 is_imzml from part")
+@query("select p_partkey, p_retailprice>950 is_imzml from part")
 def batch_list(spark, sf):
     """A list that takes in what it doesn't hold yet."""
-    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_retailprice") > 1000).alias("is_imzml"))
-    return datasets.appended(rows.where("is_imzml"), rows, "p_partkey")
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_retailprice") > 950).alias("is_imzml"))
+    return datasets.appended(rows.where("is_imzml"), rows.union(rows), "p_partkey")
 
 
-@query("select p_partkey from part where p_retailprice>1000")
+@query("select p_partkey from part where p_retailprice>950")
 def image_capable(spark, sf):
-    return datasets.image_capable(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_retailprice") > 1000).alias("is_imzml"))).select("p_partkey")
+    return datasets.image_capable(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_retailprice") > 950).alias("is_imzml"))).select("p_partkey")
 
 
 @query(f"with {EV} select distinct x, y, cast((y-1)*15+x as int) flat from p")
@@ -527,6 +531,103 @@ def pixel_numbers(spark, sf):
     return pts_ev(spark, sf).select("x", "y", datasets.flat_index(15).cast("int").alias("flat")).distinct()
 
 
+#: A raster of 25 columns: the profile view's ion image, its threshold, and the mask of the pixels that reach it.
+IMG = f"{EM}, img as (select x, y, max(intensity) intensity from p where mz between 99.75e0 and 100.25e0 group by 1, 2 having max(intensity)>0)"
+SIZE = "size as (select 25 w, max(y) h from img), grid as (select cast(i as int) x, cast(j as int) y from size, range(1, 26) r(i), range(1, 100001) q(j) where j<=h)"
+OTSU = """span as (select min(intensity) low, max(intensity) high from img), hb as (select least(255, floor((intensity-low)/((high-low)/256))) bin, count(*)::double n, any_value(low) low, any_value(high) high from img, span group by 1),
+ hc as (select *, low+(bin+0.5)*((high-low)/256) middle from hb), hd as (select bin, middle, sum(n) over (order by bin) b, sum(n) over ()-sum(n) over (order by bin) a, sum(n*middle) over (order by bin) m, sum(n*middle) over ()-sum(n*middle) over (order by bin) r from hc),
+ th as (select middle threshold from hd where a>0 and b>0 order by round(b*a*(m/b-r/a)**2, 6) desc, bin limit 1), mask as (select x, y from img, th where intensity>=threshold)"""
+LABELS = """reach(x, y, s) as (select x, y, y*100000+x from mask union select m.x, m.y, r.s from reach r join mask m on abs(m.x-r.x)+abs(m.y-r.y)=1), lab as (select x, y, min(s) s from reach group by 1, 2)"""
+
+
+def _raster(spark, sf):
+    return imaging.ion_image(pts_em(spark, sf), 100.0, 0.25)
+
+
+def _height(image):
+    return image.agg(F.max("y")).first()[0] or 0
+
+
+@query(f"with {IMG}, {OTSU} select round(threshold, 9) threshold from th")
+def otsu_threshold(spark, sf):
+    return regions.otsu_threshold(_raster(spark, sf)).select(F.round("threshold", 9).alias("threshold"))
+
+
+@query(f"with recursive {IMG}, {OTSU}, {LABELS} select x, y, cast(s//100000 as int) region_y, cast(s%100000 as int) region_x from lab")
+def mask_regions(spark, sf):
+    """The connected regions of the pixels above the threshold."""
+    return regions.regions(regions.binarized(_raster(spark, sf)), 8)
+
+
+@query(f"with recursive {IMG}, {OTSU}, {LABELS} select x, y from lab where s in (select s from lab group by 1 having count(*)>=4)")
+def mask_opened(spark, sf):
+    return regions.area_opened(regions.binarized(_raster(spark, sf)), 4)
+
+
+@query(f"""with recursive {IMG}, {SIZE}, {OTSU.replace("mask as", "lit as").replace("from img, th", "from img, th")}, mask as (select x, y from grid anti join lit using (x, y)), {LABELS}
+ select x, y from grid anti join (select x, y from lab where s in (select s from lab group by 1 having count(*)>=3)) using (x, y)""")
+def mask_filled(spark, sf):
+    """Holes of fewer than three pixels are filled."""
+    image = _raster(spark, sf)
+    return regions.area_closed(regions.binarized(image), 3, 25, _height(image))
+
+
+@query(f"""with {IMG}, {SIZE}, {OTSU}, o as (select unnest([-1, 0, 1]) d), gr as (select distinct m.x+a.d x, m.y+b.d y from mask m, o a, o b)
+ select grid.x, grid.y from grid join gr on abs(gr.x-grid.x)<=1 and abs(gr.y-grid.y)<=1 group by 1, 2 having count(*)=9""")
+def mask_closed(spark, sf):
+    """Dilation and erosion by a square of three."""
+    image = _raster(spark, sf)
+    return regions.closed(regions.binarized(image), 3, 25, _height(image))
+
+
+@query(f"""with {IMG}, {SIZE}, v as (select grid.x, grid.y, coalesce(intensity, 0) v, h from grid left join img using (x, y), size), w as (select d, exp(-d*d/18.0e0)/sum(exp(-d*d/18.0e0)) over () w from range(-6, 7) r(d)),
+ a as (select v.x, v.y, v.h, sum(w*n.v) v from v, w join v n on n.y=v.y and n.x=greatest(1, least(25, v.x+d)) group by 1, 2, 3)
+ select a.x, a.y, round(sum(w*n.v), 6) intensity from a, w join a n on n.x=a.x and n.y=greatest(1, least(a.h, a.y+d)) group by 1, 2""")
+def surface_smoothed(spark, sf):
+    """The ion image under a Gaussian of three pixels."""
+    image = _raster(spark, sf)
+    return surfaces.gaussian(image, 25, _height(image), 3.0, tile=16).withColumn("intensity", F.round("intensity", 6))
+
+
+@query(f"""with {IMG}, {SIZE}, t as (select *, greatest(0e0, least(24e0, (cast(x as double)-0.5e0)*2.5e0-0.5e0)) ax, greatest(0e0, least(h-1e0, (cast(y as double)-0.5e0)*(h/7e0)-0.5e0)) ay from (select cast(i as int) x, cast(j as int) y, h from range(1, 11) r(i), range(1, 8) q(j), size)),
+ c as (select x, y, unnest([floor(ax), least(24, floor(ax)+1)]) gx, unnest([1-(ax-floor(ax)), ax-floor(ax)]) wx, ay, h from t), e as (select x, y, gx, wx, unnest([floor(ay), least(h-1, floor(ay)+1)]) gy, unnest([1-(ay-floor(ay)), ay-floor(ay)]) wy from c)
+ select e.x, e.y, round(sum(wx*wy*coalesce(intensity, 0)), 6) intensity from e left join img on img.x=gx+1 and img.y=gy+1 group by 1, 2""")
+def image_resized(spark, sf):
+    """The ion image brought to 10 x 7 pixels."""
+    image = _raster(spark, sf)
+    full = image.unionByName(spark.createDataFrame([(25, _height(image), 0.0)], "x int, y int, intensity double")).groupBy("x", "y").agg(F.max("intensity").alias("intensity"))
+    return image_files.resized(full, 10, 7).withColumn("intensity", F.round("intensity", 6))
+
+
+@query(f"with {EM} select pos, round(quantile_cont(intensity, 0.9), 9) high from p group by 1")
+def position_quantiles(spark, sf):
+    """The 90th percentile of every position over all spectra, by refined histograms."""
+    return quantiles.quantiles(pts_em(spark, sf), ["pos"], "intensity", 0.9, "high").withColumn("high", F.round("high", 9))
+
+
+@query(f"with {LI}, r as (select round(quantile_cont(intensity, 0.5), 9) middle, round(quantile_cont(mz, 0.999), 6) far from p) select * from r")
+def global_quantiles(spark, sf):
+    p = pts_li(spark, sf)
+    middle, far = quantiles.quantiles(p, [], "intensity", 0.5, "middle"), quantiles.quantiles(p, [], "mz", 0.999, "far")
+    return middle.crossJoin(far).select(F.round("middle", 9).alias("middle"), F.round("far", 6).alias("far"))
+
+
+@query(f"with {LI}, g as (select distinct mz from p) select mz, row_number() over (order by mz) k from g")
+def numbered_axis(spark, sf):
+    """The distinct m/z with their numbers, sorted in ranges."""
+    return numbered(pts_li(spark, sf).select("mz").distinct(), ["mz"], "k").select("mz", "k")
+
+
+@query(f"with {EV} select cast(max(x) as int) width, cast(max(y) as int) height, (select count(*) from (select distinct x, y from p)) n_pixels from p")
+def raster_dimensions(spark, sf):
+    return spectra.dimensions(pts_ev(spark, sf))
+
+
+@query(f"with {EM} select round(log10(max(intensity) filter (where intensity>0)/min(intensity) filter (where intensity>0)), 6) orders from p")
+def intensity_orders(spark, sf):
+    return spectra.dynamic_range(pts_em(spark, sf))
+
+
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     return as_spectra(pts_em(spark, sf))
 
@@ -572,9 +673,21 @@ def _register() -> None:
 
         from ionlake.functions import kernels
 
-        top = lambda i, mz, y: (i, float(mz[(k := int(np.argmax(y)))]), kernels.robust_fwhm(mz, y, k, 50.0), kernels.fwhm(mz, y, k))
-        return spectra.apply_spectra(_profiles(spark, sf), top, "spectrum_id long, mz double, robust double, fwhm double")
+        top = lambda i, mz, y: (i, float(mz[(k := int(np.argmax(y)))]), kernels.robust_fwhm(mz, y, k, 50.0), kernels.fwhm(mz, y, k), kernels.resolution(mz, y, k))
+        return spectra.apply_spectra(_profiles(spark, sf), top, "spectrum_id long, mz double, robust double, fwhm double, resolution double")
+
+    def sql_peaks(spark, sf):
+        from ionlake.plans import sql
+
+        sql.register(spark)
+        view = f"profiles_{uuid.uuid4().hex}"
+        _profiles(spark, sf).select("spectrum_id", "mz", "intensity").createOrReplaceTempView(view)
+        return spark.sql(f"SELECT * FROM detect_peaks(TABLE({view}), method => 'profile', snr => 1.0, half_window => 3)")
+
+    def peak_shapes(spark, sf):
+        return spectra.peak_shapes(_profiles(spark, sf), snr=1.0, half_window=3)
 
+    QUERIES.update({"sql_peaks": sql_peaks, "peak_shapes": peak_shapes})
     QUERIES["resolution_of_peaks"] = resolution_of_peaks
     QUERIES.update({"peaks_profile": _peaks_of(pick), "peaks_wavelet": _peaks_of(Step("peak_picking", {"method": "wavelet", "snr": 1.0}))})
     for method in ("linear", "lowess", "ransac"):

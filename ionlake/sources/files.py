@@ -11,11 +11,11 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionlake.functions import bitmaps
-from ionlake.operators.tables import settled
+from ionlake.operators.tables import numbered, settled
 from ionlake.schema import FileFormatError
 from ionlake.sources.imzml import ImzmlDataSource
 from ionlake.sources.mzml import MzmlDataSource
@@ -87,19 +87,14 @@ def write_matrix(features: DataFrame, folder: str, row: str = "spectrum_id", col
     ``columns`` and on, nothing where the long form has no entry, the greatest where it has several. A line is made
     from the entries of one row in one block, so neither rows nor columns are bounded and no plan has a column a bin.
     """
-    spark = features.sparkSession
-    names = features.select(column).distinct().where(F.col(column).isNotNull()).sort(column)
-    #: The order of columns, by ranges: the number within a range and the sizes of the ranges before.
-    placed = settled(names.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
-    numbered = settled(placed.join(F.broadcast(starts), "part").select(F.col(column), (F.col("start") + F.col("at")).alias("k")))
-    numbered.orderBy("k").coalesce(1).write.mode("overwrite").csv(f"{folder}/columns.csv", header=True)
-    entries = features.groupBy(row, column).agg(F.max(value).alias("v")).join(numbered, column).withColumn("block", F.floor(F.col("k") / columns))
-    widths = numbered.groupBy(F.floor(F.col("k") / columns).alias("block")).agg(F.count("*").cast("int").alias("width"))
+    names = features.select(column).distinct().where(F.col(column).isNotNull())
+    numbers = settled(numbered(names, [column], "k").withColumn("k", F.col("k") - 1))
+    numbers.orderBy("k").coalesce(1).write.mode("overwrite").csv(f"{folder}/columns.csv", header=True)
+    entries = features.groupBy(row, column).agg(F.max(value).alias("v")).join(numbers, column).withColumn("block", F.floor(F.col("k") / columns))
+    widths = numbers.groupBy(F.floor(F.col("k") / columns).alias("block")).agg(F.count("*").cast("int").alias("width"))
     cells = entries.groupBy("block", row).agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") % columns).cast("int").alias("i"), F.col("v").cast("string")))).alias("cells"))
     lines = cells.join(F.broadcast(widths), "block").select("block", F.lit(1).alias("place"), F.col(row).cast("string").alias("name"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(""))).alias("v"))
-    heads = numbered.groupBy(F.floor(F.col("k") / columns).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.col(column).cast("string").alias("c")))), lambda s: s["c"]).alias("v"))
+    heads = numbers.groupBy(F.floor(F.col("k") / columns).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.col(column).cast("string").alias("c")))), lambda s: s["c"]).alias("v"))
     text = lines.union(heads.select("block", F.lit(0), F.lit(row), "v")).select("block", "place", "name", F.concat_ws(",", "name", F.array_join("v", ",")).alias("line"))
     dealt = text.repartition("block").sortWithinPartitions("block", "place", "name")
     dealt.select("block", "line").write.mode("overwrite").partitionBy("block").text(f"{folder}/matrix")
