@@ -6,10 +6,10 @@ importance is one less the mean entropy of its texts over pages: what stands on
 about any. What the trees of all hosts say about a path stands in where a host has few pages. A branch goes when
 no node in it is important, also inside an article and however long it is.
 
-Marks in the page only lower the importance that the tree gives: to a sixth for elements that HTML says are not
-the article (nav, footer, aside, ...) or that name reader comments; by other telling class and id names and outside
-of an article, where the page marks one, to what needs texts that hardly ever repeat to stay. Trees start from a few
-made-up pages, on which such elements have half of the others' importance.
+Marks in the page only lower the importance that the tree gives, to what needs texts that hardly ever repeat to stay:
+for elements that HTML says are not the article (nav, footer, aside, ...), by telling class and id names, and outside
+of an article, where the page marks one. They say nothing about a branch around the page's article, whatever its tags.
+Trees start from a few made-up pages, on which such elements have half of the others' importance.
 """
 
 from __future__ import annotations
@@ -47,14 +47,18 @@ MAIN = frozenset(("article", "main"))
 #: Elements whose names say nothing about what is in them.
 WHOLE = MAIN | {"html", "body"}
 
-#: What marks leave of a branch's importance.
-CERTAIN, LIKELY = 1 / 6, 0.21
+#: What marks leave of a branch's importance, for tags, roles and readers' comments and for all others; both are above
+#: LOW, so that a branch whose texts never repeat can stay.
+CERTAIN, LIKELY = 0.205, 0.21
 GAMMA, LOW = 0.9, 0.2
 #: Pages that all hosts' evidence weighs in a host's tree, and pages that one host weighs there at most.
 SHARED, ONE_HOST = 32, 8
 #: Pages that this evidence starts from, with importance 1, and for elements that are marked: their pages and importance.
 START, MARKED_START, MARKED = 2, 16, 0.5
 
+#: Pages of a host that get a copy of its tree together.
+PAGES = 500
+
 #: Presentation and content importance by path.
 Tree = dict[int, tuple[float, float]]
 
@@ -150,10 +154,10 @@ def _walk(node: Node) -> Iterator[Node]:
 def features(page: Page) -> list[tuple[int, int, int, bool]]:
     """(path, kind, feature, marked) once a page: kind 0 the sequence of children, kind 1 the element's own text."""
     found = set()
-    marks = marks_of(page)
+    below = below_marks(page, marks_of(page))
     for node in _walk(page.root):
         blocks = [c.sig for c in node.children if c.tag not in INLINE]
-        marked = marks[id(node)] < 1
+        marked = id(node) in below
         found.add((node.path, 0, xxhash.xxh3_64_intdigest("|".join(k for i, k in enumerate(blocks) if i == 0 or blocks[i - 1] != k)) >> 1, marked))
         text = " ".join("".join(node.texts).split())
         if text:
@@ -161,14 +165,16 @@ def features(page: Page) -> list[tuple[int, int, int, bool]]:
     return sorted(found)
 
 
-def importances(page: Page, tree: Tree) -> dict[int, float]:
+def importances(page: Page, tree: Tree, marks: dict[int, float]) -> dict[int, float]:
     """Composite importance of each element, by id: its own presentation and text and the mean of its children's.
 
-    Elements that the site's tree doesn't mention are important.
+    Of elements that the site's tree doesn't mention the start is all there is: they are important, those in marked
+    branches half as much.
     """
-    found: dict[int, float] = {}
+    found, below = {}, below_marks(page, marks)
     for node in reversed(list(_walk(page.root))):
-        shown, said = tree.get(node.path, (1.0, 1.0))
+        start = MARKED if id(node) in below else 1.0
+        shown, said = tree.get(node.path, (start, start))
         inner = [found[id(c)] for c in node.children if not c.out and c.tag not in INLINE]
         if "".join(node.texts).strip():
             inner.append(said)
@@ -182,45 +188,81 @@ def blocks_of(page: Page) -> list[tuple[Node, str]]:
     return [(node, t) for node, t in blocks if t]
 
 
-def marks_of(page: Page) -> dict[int, float]:
-    """What its own mark leaves of each element's importance, by id.
-
-    A name says nothing about a branch that holds an element of MAIN or half of the page's text.
-    """
+def measured(page: Page) -> list[Node]:
+    """The elements in page order, each with the size of the text below it."""
     for node, t in blocks_of(page):
         node.size += len(t)
-    order, found = list(_walk(page.root)), {}
+    order = list(_walk(page.root))
     for node in reversed(order):
         if node.parent:
             node.parent.size += node.size
+    return order
+
+
+def article_of(page: Page, order: list[Node]) -> Node | None:
+    """The element of MAIN with the most text, the outer of equals."""
+    return max((n for n in order if n.tag in MAIN), key=lambda n: n.size, default=None)
+
+
+def marks_of(page: Page) -> dict[int, float]:
+    """What its own mark leaves of each element's importance, by id.
+
+    Tags, roles and names say nothing about the branches around the page's article or, where it marks none, around
+    half of its text.
+    """
+    order, found = measured(page), {}
+    article, around = article_of(page, order), set()
+    node = article
+    while node:
+        around.add(id(node))
+        node = node.parent
     for node in order:
-        mark = node.mark
+        if id(node) in around or (article is None and 2 * node.size >= page.root.size):
+            found[id(node)] = 1.0
+            continue
+        mark = min(node.mark, node.named if not node.holds else 1.0)
         if node.parent and page.root.holds and node.parent.holds and not node.inside and not node.holds:
             mark = min(mark, LIKELY)
-        if not node.holds and 2 * node.size < page.root.size:
-            mark = min(mark, node.named)
         found[id(node)] = mark
     return found
 
 
+def below_marks(page: Page, marks: dict[int, float]) -> set[int]:
+    """The marked elements and all below them, by id."""
+    found: set[int] = set()
+    for node in _walk(page.root):
+        if marks[id(node)] < 1 or id(node.parent) in found:
+            found.add(id(node))
+    return found
+
+
+def _gone(order: list[Node], goes) -> None:
+    for node in order:
+        node.gone = bool(node.parent and (node.parent.gone or goes(node)))
+
+
 def main_text(html: str | None, tree: Tree) -> str:
     """The blocks outside of the branches in which nothing is important.
 
     A branch counts with its most important element, lowered by the marks on the way up to its top. If nothing
-    would stay, what no mark lowers does.
+    would stay, what no mark lowers does, and if there is no such text, the branch with the most text.
     """
     page = parsed(html)
-    blocks, marks, scores, peaks = blocks_of(page), marks_of(page), importances(page, tree), {}
-    order = list(_walk(page.root))
+    marks, peaks = marks_of(page), {}
+    blocks, scores, order = blocks_of(page), importances(page, tree, marks), list(_walk(page.root))
     for node in reversed(order):
         peaks[id(node)] = marks[id(node)] * max([scores[id(node)] if node.tag not in INLINE else 0.0, *(peaks[id(c)] for c in node.children if not c.out)])
-    for node in order:
-        node.gone = bool(node.parent and (node.parent.gone or node.tag not in INLINE and peaks[id(node)] < LOW))
+    _gone(order, lambda node: node.tag not in INLINE and peaks[id(node)] < LOW)
     kept = [t for node, t in blocks if not node.gone]
     if not kept:
-        for node in order:
-            node.gone = bool(node.parent and (node.parent.gone or marks[id(node)] < 1))
+        _gone(order, lambda node: marks[id(node)] < 1)
         kept = [t for node, t in blocks if not node.gone]
+    if not kept and blocks:
+        node = page.root
+        while (heavy := max((c for c in node.children if not c.out), key=lambda c: c.size, default=None)) and 2 * heavy.size > node.size:
+            node = heavy
+        inside = set(map(id, _walk(node)))
+        kept = [t for n, t in blocks if id(n) in inside]
     return " ".join(kept)
 
 
@@ -230,7 +272,7 @@ def host_of(url: str) -> Column:
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, shown, said): the nodes of every host's tree.
+    """(host, path, pages, shown, said, marked): the nodes of every host's tree.
 
     Pages of a host with equal texts count once. Counts by (host, node, feature) come first, so that a host with
     a third of all pages is spread over its features; their entropies are sums of counts. A host's own figures
@@ -262,7 +304,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
     merged = one.select("path", begun((F.col("pages") - 1) * F.col("said"), F.col("pages") - 1, F.col("marked")).alias("said_merged"))
     there = others.join(merged, "path").select("path", "shown_there", F.least("said_on_hosts", "said_merged").alias("said_there"))
     both = lambda x: (((F.col("pages") - 1) * F.col(x) + SHARED * F.col(f"{x}_there")) / (F.col("pages") - 1 + SHARED)).alias(x)
-    return own.join(there, "path").select("host", "path", "pages", both("shown"), both("said"))
+    return own.join(there, "path").select("host", "path", "pages", both("shown"), both("said"), "marked")
 
 
 def _entropies(counted: DataFrame, *key: str) -> DataFrame:
@@ -284,28 +326,41 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     A null page has an empty text; pages without a host share one tree. Rows that share an id are pages of their
     own, equal rows have equal texts, and other columns than page_id, url and html are not read. A page is parsed
-    as a whole, whatever its length.
+    as a whole, whatever its length. An empty table gives an empty table.
     """
     scratch = Scratch(pages.sparkSession, "pages")
-    #: Only nodes that can lower a branch's importance need to travel; a site's layouts bound them, not its pages.
-    low = style_trees(pages).where((F.col("said") < 0.95) | (F.col("shown") < 0.95))
+    #: Only what differs from the start need travel: the layouts of a site, not its pages.
+    differs = lambda x: F.abs(F.col(x) - F.when(F.col("marked"), MARKED).otherwise(1.0)) > 1e-9
     node = F.concat(*(F.to_binary(F.lpad(F.hex(F.floor(x).cast("long")), 16, "0"), F.lit("hex")) for x in (F.col("path"), F.col("shown") * 1e9, F.col("said") * 1e9)))
-    trees = scratch.keep(low.groupBy("host").agg(F.collect_list(node).alias("nodes")).select(F.col("host").alias("of"), F.col("nodes")))
+    trees = scratch.keep(style_trees(pages).where(differs("said") | differs("shown")).groupBy("host").agg(F.collect_list(node).alias("nodes")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
+
+    #: A host's pages are dealt to one block for every PAGES of them, and each block gets the tree once, before its pages.
+    blocks = scratch.keep(rows.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("blocks")))
+    first = trees.join(blocks, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "nodes")
+    few = blocks.where("blocks > 1").select(F.col("host").alias("of"), "blocks")
+    dealt = rows.join(few, F.col("host") == F.col("of"), "left").withColumn("block", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("blocks", F.lit(1))).cast("int"))
+    both = dealt.select("host", "block", F.lit(1).alias("turn"), "page_id", "url", "html", F.lit(None).cast("array<binary>").alias("nodes")).unionByName(
+        first.select("host", "block", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "nodes")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Tree] = {}  # of this task's hosts, emptied when full
+        at, tree = None, {}
         for batch in slices(batches, "html"):
-            texts = []
-            for i, (host, html) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if host not in known:
-                    if sum(map(len, known.values())) > 100_000:
-                        known.clear()
-                    known[host] = unpacked(batch.column(4)[i].as_py() or [])
-                texts.append(main_text(html, known[host]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
-    return rows.join(trees, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "nodes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            ids, urls, texts = [], [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("host", "block", "turn", "page_id", "url")), strict=True)
+            for i, (host, block, turn, page_id, url) in enumerate(keys):
+                if (host, block) != at:
+                    at, tree = (host, block), {}
+                if not turn:
+                    tree = unpacked(batch.column("nodes")[i].as_py())
+                    continue
+                ids.append(page_id)
+                urls.append(url)
+                texts.append(main_text(batch.column("html")[i].as_py(), tree))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return both.repartition("host", "block").sortWithinPartitions("host", "block", "turn").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def unpacked(nodes: list[bytes]) -> Tree:

@@ -439,6 +439,35 @@ def test_articles_are_not_lost(spark):
     assert got == [(1, "hello there", 11)] * 2 + [(2, "hello", 5), (3, "One Two of them Three", 21), (3, "other page, same id", 19), (4, long, len(long)), (5, "", 0)]
 
 
+WRAPPERS = {"form": ('<form id="aspnetForm">', "</form>"), "header": ("<header>", "</header>"), "aside": ("<aside>", "</aside>"), "search": ('<div role="search">', "</div>")}
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_marks_around_the_article_do_not_empty_pages(spark, name, tag):
+    opened, closed = WRAPPERS[name]
+    texts = {k: (prose(k, 4), prose(100 + k, 60)) for k in range(12)}
+    html = '<html><body>{}<nav><a href="/">Home</a></nav><{}><h1>{}</h1><p>{}</p></{}><div class="sidebar">Always the same words here</div>{}<footer>Imprint</footer></body></html>'
+    rows = [(k, f"http://h.example/{k}", html.format(opened, tag, *t, tag, closed), "x", 0, 0) for k, t in texts.items()]
+    assert {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, rows)).collect()} == {k: " ".join(t) for k, t in texts.items()}
+
+
+def test_pages_of_marked_text_alone_keep_it(spark):
+    rows = [(1, "http://one.example/", "<html><body><nav>Home</nav><aside><p>The only words there are</p></aside></body></html>", "x", 0, 0), (2, "http://two.example/", "<body><footer></footer></body>", "x", 0, 0), (3, None, None, "x", 0, 0)]
+    got = {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, rows)).collect()}
+    assert got == {1: "The only words there are", 2: "", 3: ""}
+
+
+def test_evidence_can_keep_a_marked_branch(spark, monkeypatch):
+    """A menu whose texts never repeat goes on few pages and stays on very many; blocks of a host all get its tree."""
+    monkeypatch.setattr(style_tree, "PAGES", 50)
+    html = "<html><body><nav>{}</nav><article><p>{}</p></article></body></html>"
+    for n, stays in ((12, 0), (500, 500)):
+        rows = [(k, "http://h.example/", html.format(prose(5000 + k, 12), prose(100 + k, 40)), "x", 0, 0) for k in range(n)]
+        got = {r["page_id"]: r["text"] for r in style_tree.main_texts(pages(spark, rows)).collect()}
+        assert sum(prose(5000 + k, 12) in got[k] for k in range(n)) == stays and all(got[k].endswith(prose(100 + k, 40)) for k in range(n))
+
+
 # op8
 
 
