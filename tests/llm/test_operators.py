@@ -563,6 +563,44 @@ def test_overlapping_pieces_before_and_after(spark):
     assert brute_passages(rows) == {(5, 3)} and got.get((5, 3), 0) >= 88
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_pieces_all_around_two_whole_passages(spark, apart):
+    """Overlapping pieces too short to be passages, before, after and, ``apart``, between the two documents that hold all of it."""
+    rows, want = [], set()
+    for k in range(10):
+        passage, i = prose(9000 + k, 90).split(), 100 * k
+        pieces = [passage[a : a + 45] for a in (0, 15, 30, 45)]
+        parts = [*pieces, passage, *(pieces[k % 4 :][:1] if apart else []), passage, *pieces]
+        whole = [j for j, p in enumerate(parts) if len(p) == 90]
+        rows += [(i + j, " ".join([prose(9100 + i + j, 40), *p, prose(12000 + i + j, 40)])) for j, p in enumerate(parts)]
+        want.add((i + whole[1], i + whole[0]))
+    assert brute_passages(rows) == want
+    got = {(r["doc_id"], r["of_doc_id"]): r["end_word"] - r["start_word"] for r in chaining.repeated_passages(docs(spark, rows)).collect()}
+    assert set(got) == want and all(n >= 88 for n in got.values())
+
+
+def test_equal_passages_of_random_overlaps(spark, monkeypatch):
+    """Every document that repeats 51 words of an earlier one says so, with an earlier one that holds them."""
+    monkeypatch.setattr(chaining, "BLOCKS", 3)
+    r, rows = random.Random(44), []
+    base = prose(8000, 400).split()
+    for i in range(60):
+        a = r.randrange(330)
+        rows.append((7 * i, " ".join([prose(8100 + i, 30), *base[a : a + r.choice((30, 45, 60, 70))], prose(8200 + i, 30)])))
+    want = brute_passages(rows)
+    got = {(r["doc_id"], r["of_doc_id"]) for r in chaining.repeated_passages(docs(spark, rows)).collect()}
+    assert got <= want and {i for i, _ in got} == {i for i, _ in want}
+    linked = {i: i for i, _ in rows}
+    for pairs in (want, got):
+        root = dict(linked)
+        for _ in rows:
+            for i, of in pairs:
+                root[i] = root[of] = min(root[i], root[of])
+        if pairs is want:
+            groups = root
+    assert root == groups
+
+
 def test_rows_of_one_id_are_documents(spark):
     passage = prose(941, 70)
     rows = [(1, prose(1, 30) + " " + passage), (1, passage + " " + prose(2, 60)), (2, prose(3, 60) + " " + passage), (2, prose(4, 200)), (2, prose(4, 200)), (None, passage), (7, None), (8, "")]
