@@ -63,9 +63,12 @@ def detected(files: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFr
     texts = files.select("text").union(given.select("text"))
     total = texts.count()
     counted = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    marked = files.select("path", F.explode(pieces(F.col("text"))).alias("piece")).where("piece <> ''")
+    #: Only texts with a mark are cut; a piece that many files hold is scored once, known by two hashes.
+    cut = files.where(F.col("text").rlike(MARKS)).select("path", F.explode(pieces(F.col("text"))).alias("piece")).where("piece <> ''")
+    marked = scratch.keep(cut.select("path", F.xxhash64("piece").alias("p1"), F.xxhash64(F.lit(1), "piece").alias("p2"), "piece"))
     tf = (1 + F.log(F.count("*"))).alias("tf")
-    held = marked.select("path", F.xxhash64("piece").alias("piece"), F.explode(terms(F.col("piece"))).alias("term")).groupBy("path", "piece", "term").agg(tf)
+    once = marked.groupBy("p1", "p2").agg(F.first("piece").alias("piece"))
+    held = once.select("p1", "p2", F.explode(terms(F.col("piece"))).alias("term")).groupBy("p1", "p2", "term").agg(tf)
     held = scratch.keep(held)
     known = given.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(tf)
     wanted = held.select("term").union(known.select("term")).distinct()
@@ -74,10 +77,12 @@ def detected(files: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFr
     near = scratch.keep(known.join(weights, "term").select("template", "license", "term", w))
     norms = near.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     units = near.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("unit"))
-    weighed = scratch.keep(held.join(weights, "term").select("path", "piece", "term", w))
-    sizes = weighed.groupBy("path", "piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = weighed.join(F.broadcast(units), "term").groupBy("path", "piece", "template", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    scored = dots.join(sizes, ["path", "piece"]).select("path", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score")).where(F.col("score") >= least)
+    weighed = scratch.keep(held.join(weights, "term").select("p1", "p2", "term", w))
+    sizes = weighed.groupBy("p1", "p2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = weighed.join(F.broadcast(units), "term").groupBy("p1", "p2", "template", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    near = dots.join(sizes, ["p1", "p2"]).select("p1", "p2", "license", F.round(F.col("dot") / F.col("size"), 6).alias("score")).where(F.col("score") >= least)
+    top = near.groupBy("p1", "p2").agg(F.min(F.struct((-F.col("score")).alias("order"), "license")).alias("b"))
+    scored = marked.select("path", "p1", "p2").join(top, ["p1", "p2"]).select("path", F.col("b.license").alias("license"), (-F.col("b.order")).alias("score"))
     tag = F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))
     tags = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", tag.alias("license"), F.lit(1.0).alias("score"))
     named = F.regexp_replace("license", "-(only|or-later)$", "")

@@ -62,6 +62,26 @@ _APACHE = (
     " 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or"
     " implied see the license for the specific language governing permissions and limitations under the license"
 )
+#: How the texts of the long licences open: their titles with their dates, and the first sentences that speak of them.
+TITLES = [
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("GPL-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007"),
+    ("AGPL-3.0", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("LGPL-2.1", "gnu lesser general public license version 2.1 february 1999"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("LGPL-3.0", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"),
+    ("Apache-2.0", "apache license version 2.0 january 2004 http www apache org licenses"),
+    ("Apache-2.0", "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"),
+    ("MPL-2.0", "mozilla public license version 2.0 1 definitions"),
+    ("EPL-2.0", "eclipse public license v 2.0"),
+    ("EPL-2.0", "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    *[
+        (key, f"by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons {name} 4.0 international public license public license")
+        for key, name in (("CC-BY-4.0", "attribution"), ("CC-BY-SA-4.0", "attribution sharealike"), ("CC-BY-NC-4.0", "attribution noncommercial"), ("CC-BY-ND-4.0", "attribution noderivatives"))
+    ],
+]
 #: Whole texts, standard headers and sentences that stand for a licence on their own, without the lines that name a holder.
 TEXTS = [
     ("MIT", f"mit license {_MIT} the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {_AS_IS}"),
@@ -90,6 +110,7 @@ TEXTS = [
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", _APACHE[: _APACHE.index(" you may obtain")]),
     *[(key, _GPL.format(name, f"either version {version} of the license")) for key, name, version in (("GPL-2.0", "gnu general public license", "2"), ("GPL-3.0", "gnu general public license", "3"), ("LGPL-2.1", "gnu lesser general public license", "2.1"), ("LGPL-3.0", "gnu lesser general public license", "3"), ("AGPL-3.0", "gnu affero general public license", "3"))],
+    *TITLES,
     ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0"),
     ("BSL-1.0", "distributed under the boost software license version 1.0 see accompanying file license 1.0 txt or copy at http www boost org license 1.0 txt"),
     ("CC0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
