@@ -168,7 +168,9 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _units(column: pd.Series) -> np.ndarray:
+    """Unit vectors; a power of two first brings each one's largest component near 1, so that no square over- or underflows."""
     raw = np.array(column.tolist(), dtype=np.float64)
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
@@ -247,7 +249,8 @@ def _tree(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         blocks = big.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
         dealt = open_rows.select("key", "copies", "embedding", "cell", "n", "level", block)
         placed = dealt.groupBy("cell", "block").cogroup(centres.join(blocks, "cell").groupBy("cell", "block"))
-        placed = scratch.keep(placed.applyInPandas(_place(PART), "key long, copies long, embedding array<float>, cell string, away double"))
+        kind = reps.schema["embedding"].dataType.simpleString()
+        placed = scratch.keep(placed.applyInPandas(_place(PART), f"key long, copies long, embedding {kind}, cell string, away double"))
         radii = placed.groupBy("cell").agg(F.max("away").alias("radius"))
         parent, child = F.regexp_replace("cell", "/[^/]*$", ""), F.regexp_extract("cell", "/([0-9]+)[^/]*$", 1).cast("int")
         made = radii.select(parent.alias("parent"), F.col("cell").alias("node"), "radius", child.alias("child")).join(centres.select(F.col("cell").alias("parent"), "child", "centre"), ["parent", "child"])
@@ -297,10 +300,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     is null, empty or zero, or holds nulls or non-finite numbers, links with nothing; so do vectors of different
     lengths. Equal vectors are represented once and counted in full. Rows with a null id are kept and link with
     nothing. Rows that share an id are vectors of their own, each with its links and its component. The centres come
-    from samples by hash, which fix the work's layout and not its result. Other columns are not read.
+    from samples by hash, which fix the work's layout and not its result. An empty table gives an empty table; vectors
+    may have any length. Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    #: A column of floats stays one, as their cosines in double precision are the same; all others are doubles.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & _sound("embedding"), F.lit(False))
     sound = rows.where(usable)
     reps = sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
