@@ -61,7 +61,7 @@ def detected(files: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFr
     spark = files.sparkSession
     given = templates(spark)
     texts = files.select("text").union(given.select("text"))
-    total = texts.count()
+    total = files.count() + given.count()
     counted = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     #: Only texts with a mark are cut; a piece that many files hold is scored once, known by two hashes.
     cut = files.where(F.col("text").rlike(MARKS)).select("path", F.explode(pieces(F.col("text"))).alias("piece")).where("piece <> ''")
@@ -111,7 +111,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     third of all files is one row there.
     """
     scratch = Scratch(files.sparkSession, "licences")
-    slim = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce("is_license", F.lit(False)).alias("is_license"))
+    slim = scratch.keep(files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce("is_license", F.lit(False)).alias("is_license")))
     own = scratch.keep(detected(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")).where("path is not null"), scratch, least))
     named = slim.where("is_license and path is not null").select("path").distinct().join(own, "path")
     givers = named.groupBy(directory(F.col("path")).alias("above")).agg(F.min(F.struct((-F.col("score")).alias("order"), F.col("path").alias("from_path"), "license")).alias("g"))
