@@ -10,6 +10,7 @@ deduplicated, bucketed and joined by DataFrame operations; the shingles are hash
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.buckets import linked_components, shared_buckets
+from ionlake.llm.buckets import linked_components
 from ionlake.llm.common import Scratch, slices, text_of
-from ionlake.llm.minmax_dedup import _linked, _mixed, _STEP, parity
+from ionlake.llm.minmax_dedup import _STEP, _linked, _mixed, parity
 
 PERCENT, SHINGLE = 80, 5
 #: Each function gives two values of a signature, the least and the greatest under it; bands are of two functions each.
 FUNCTIONS, BANDS = 40, 20
 #: 64-bit words of a parity sketch.
 SKETCH = 32
+#: Entries (a line in a band) that a task packs at once and that a part of them has about; entries of one key beyond which
+#: they are known to be a bucket, and how many of those stay together.
+ENTRIES, HOT, HOT_ROW = 1 << 20, 256, 1 << 16
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(0, 1 << 31, FUNCTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FLIP = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
@@ -106,16 +110,101 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("k1", "k2").agg(F.min("at").alias("id"), F.first("line").alias("line")).select("id", "line")
 
 
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """Adds the keys of the lines' bands."""
+def _cut(keys: np.ndarray, nums: np.ndarray, parts: int, hot: int, share: int) -> Iterator[tuple[int, int, bytes, int, bytes]]:
+    """Rows (part, kind, keys, base, rest) of band keys and the numbers of their lines, by part of the keys.
+
+    Kind 0 has the entries. A key that more than ``hot`` of them share is known to be a bucket: its entries go elsewhere
+    as rows of kind 1, in shares, and a row of kind 2 tells the key's part how many there were.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, nums = keys[order], nums[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    counts = np.diff(np.append(starts, len(keys)))
+    often = np.repeat(counts > hot, counts)
+    base = int(nums.min())
+    pack = lambda part, kind, k, v: (part, kind, k.tobytes(), base, v.astype(np.uint32).tobytes())
+    for kind, k, v in ((0, keys[~often], nums[~often] - base), (2, keys[starts[counts > hot]], counts[counts > hot])):
+        part = (k.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        part, k, v = part[by], k[by], v[by]
+        ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(part) else []
+        for x, y in itertools.pairwise([0, *ends]):
+            yield pack(int(part[x]), kind, k[x:y], v[x:y])
+    k, v = keys[often], nums[often] - base
+    for x in range(0, len(k), share):
+        yield pack(-1 - (base + x) % (4 * parts), 1, k[x : x + share], v[x : x + share])
+
+
+def _packed(parts: int, entries: int, hot: int, share: int):
+    """The band keys of lines (num, line), hashed and packed by part: 12 bytes an entry cross the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            out = [r for group in held.values() for r in _cut(*(np.concatenate(c) for c in zip(*group, strict=True)), parts, hot, share)]
+            held.clear()
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "kind", "keys", "base", "rest"])
+
         for batch in slices(batches, "line", 1 << 18):
             bands = bands_of(signatures(*shingle_hashes(batch.column(1).to_pylist())))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "line", "bands"])
+            nums = batch.column(0).to_numpy()
+            for high in np.unique(nums >> 32).tolist():
+                mine = (nums >> 32) == high
+                held.setdefault(high, []).append((bands[mine].ravel(), np.repeat(nums[mine], BANDS)))
+            size += bands.size
+            if size >= entries:
+                yield rows()
+                size = 0
+        if held:
+            yield rows()
+
+    return run
+
+
+def _in_buckets(hot: int):
+    """(bucket, id, members) of entries whose key others share, from packed rows sorted by part."""
+
+    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.frombuffer(k, np.int64) for _, k, _, _ in rows])
+        rest = np.concatenate([np.frombuffer(v, np.uint32) for *_, v in rows]).astype(np.int64)
+        sizes, kinds = [len(k) // 8 for _, k, _, _ in rows], np.array([kind for kind, *_ in rows])
+        nums = rest + np.repeat(np.array([base for *_, base, _ in rows], np.int64), sizes)
+        real = np.repeat(kinds != 2, sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, nums, real, weights = keys[order], nums[order], real[order], np.where(real, 1, rest)[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        members = np.repeat(np.add.reduceat(weights, starts), np.diff(np.append(starts, len(keys))))
+        members = np.maximum(members, hot + 1) if (kinds == 1).all() else members
+        keep = real & (members > 1)
+        for x in range(0, int(keep.sum()), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep][x : x + (1 << 18)]) for c in (keys, nums, members)], names=["bucket", "id", "members"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "keys", "base", "rest")), strict=True):
+                if held and (p != part or p < 0):  # shares of frequent keys need not meet
+                    yield from found(held)
+                    held = []
+                part = p
+                held.append(tuple(row))
+        if held:
+            yield from found(held)
 
-    return lines.mapInArrow(run, f"id {PLACE}, line string, bands array<long>")
+    return run
+
+
+def bucketed(lines: DataFrame) -> DataFrame:
+    """(bucket, id, members): the lines (num, line) in each band's bucket that more than one is in.
+
+    A frequent bucket's ``members`` is what one of its shares holds, more than HOT.
+    """
+    parts = max(1, -(-BANDS * lines.count() // ENTRIES))
+    packed = lines.select("num", "line").mapInArrow(_packed(parts, ENTRIES, HOT, HOT_ROW), "part long, kind int, keys binary, base long, rest binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_in_buckets(HOT), "bucket long, id long, members long")
 
 
 def sets_of(lines: DataFrame) -> DataFrame:
@@ -128,7 +217,7 @@ def sets_of(lines: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, SKETCH, dtype=np.int32)), pa.array(odd))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), lists], names=["id", "line", "n", "sketch"])
 
-    return lines.mapInArrow(run, f"id {PLACE}, line string, n long, sketch array<long>")
+    return lines.mapInArrow(run, "id long, line string, n long, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -148,23 +237,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v")
     both = one.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
-    return both.select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, f"u {PLACE}, v {PLACE}")
+    return both.select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, "u long, v long")
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tie, kept): the numbers, in order, of the lines that stay, by id and hash of the text. Texts that keep none have no row."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.keep(signed_lines(distinct_lines(docs)))
+    lines = scratch.keep(distinct_lines(docs).withColumn("num", F.monotonically_increasing_id()))
     scratch.release()
-    shared = scratch.keep(shared_buckets(lines.select("id", F.explode("bands").alias("bucket"))))
+    shared = scratch.keep(bucketed(lines))
     scratch.release()
-    texts = scratch.keep(sets_of(lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi")))
+    texts = scratch.keep(sets_of(lines.select(F.col("num").alias("id"), "line").join(shared.select("id").distinct(), "id", "left_semi")))
     members = scratch.keep(shared.join(texts.select("id", "n"), "id").select("bucket", "id", "n", "members"))
+    scratch.release()
     found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent), scratch, percent, lambda wanted: texts.select("id", "sketch").join(wanted, "id"), SKETCH)
-    first = lines.select(F.col("id").alias("node"))
+    stays = lines.select("num", F.col("id").alias("node"))
     if found is not None:
-        first = first.join(found.where("node <> component").select("node"), "node", "left_anti")
-    return scratch.settle(first.groupBy(F.col("node.doc_id").alias("doc_id"), F.col("node.tie").alias("tie")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept")))
+        #: Of each component the first place stays, whatever the numbers of its lines.
+        placed = scratch.keep(found.join(lines.select(F.col("num").alias("node"), F.col("id").alias("place")), "node"))
+        least = placed.groupBy("component").agg(F.min("place").alias("least"))
+        later = placed.join(least, "component").where("place <> least").select(F.col("node").alias("num"))
+        stays = stays.join(later, "num", "left_anti")
+    return scratch.settle(stays.groupBy(F.col("node.doc_id").alias("doc_id"), F.col("node.tie").alias("tie")).agg(F.sort_array(F.collect_list("node.line_no")).alias("kept")))
 
 
 def _with_kept(docs: DataFrame, percent: int, *columns: Column) -> DataFrame:

@@ -302,6 +302,29 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert report == [(1, 3, 1, 1, [3]), (9, 1, 0, 0, [1]), (9, 1, 0, 1, [])]
 
 
+def test_buckets_equal_grouping(spark, monkeypatch):
+    """Packed entries against a plain grouping, with frequent keys in shares and parts of a few entries."""
+    monkeypatch.setattr(line_dedup, "ENTRIES", 200)
+    base = prose(71, 20)
+    texts = [base + f" {k}" for k in range(150)] + [prose(600 + k // 2, 6) for k in range(60)] + [prose(900 + k, 8) for k in range(40)]
+    lines = spark.createDataFrame([(k + (k % 3 << 33), t) for k, t in enumerate(texts)], "num long, line string")
+    bands = line_dedup.bands_of(line_dedup.signatures(*line_dedup.shingle_hashes(texts)))
+    want = {}
+    for k, row in enumerate(bands.tolist()):
+        for key in row:
+            want.setdefault(key, []).append(k + (k % 3 << 33))
+    want = {key: sorted(v) for key, v in want.items() if len(v) > 1}
+    for hot in (256, 5):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "HOT_ROW", 64)
+        got, members = {}, {}
+        for r in line_dedup.bucketed(lines).collect():
+            got.setdefault(r["bucket"], []).append(r["id"])
+            members.setdefault(r["bucket"], set()).add(r["members"])
+        assert {key: sorted(v) for key, v in got.items()} == want
+        assert all((members[key] == {len(v)}) if len(v) <= 5 or hot == 256 else min(members[key]) > 1 for key, v in want.items())
+
+
 def test_bands_find_pairs_at_the_threshold():
     """Of pairs with a similarity of 0.80 to 0.82 no more than the bands' own chance may share no band."""
     r, missed, tried = random.Random(31), 0, 0
