@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -68,6 +69,32 @@ def test_awkward_rows(spark, labels, name):
         assert len(got) == len(ROWS)
 
 
+def test_awkward_values(spark, labels):
+    """What the awkward rows give, value by value, by each row's id and text."""
+    import re
+
+    run = operators(spark, labels)
+    made = docs(spark).withColumn("k", F.coalesce("text", F.lit("<null>")))
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    by_id = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:])))
+    got = run["bpe"](made).collect()
+    assert by_id((r["doc_id"], r["decoded_sha256"]) for r in got) == by_id((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ROWS)
+    assert by_id((r["doc_id"], r["n_bytes"]) for r in run["media"](made).collect()) == by_id((i, len((t or "").encode())) for i, t in ROWS)
+    assert by_id((r["doc_id"], r["size"]) for r in run["mix"](made).collect()) == by_id((i, len(words(t))) for i, t in ROWS)
+    shingles = lambda t: len({tuple(w) for w in (zip(*(words(t)[k:] for k in range(5))) if len(words(t)) >= 5 else [words(t)] if words(t) else [])})  # noqa: B905, E731
+    assert by_id((r["doc_id"], r["n_shingles"]) for r in run["minmax"](made).collect()) == by_id((i, shingles(t.lower() if t else t)) for i, t in ROWS)
+    lines = lambda t: (t or "").split("\n")
+    assert by_id((r["doc_id"], r["n_lines"], r["n_blank"]) for r in run["lines"](made).collect()) == by_id((i, len(lines(t)), sum(not x.strip(" \t\n\x0b\f\r") for x in lines(t))) for i, t in ROWS)
+    scores = {}
+    for r in run["toxic"](made).collect():
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    assert scores[0] == scores[1] and scores[3] == scores[4] and len(scores[9]) == 2 and all(0 <= x <= 1 for v in scores.values() for x in v)
+    origins = {r["file_id"]: (r["license"], r["origin"]) for r in run["license"](made).collect()}
+    assert origins[10] == ("MIT", "header") and origins[3][1] in ("none", "inherited")
+    kept = {(r["doc_id"], r["text"]) for r in run["deduplicated"](made).collect()}
+    assert (None, "no id here") in kept and (4, None) in kept and (9, "repeated id row") in kept and (1, "") in kept and (9, "line a here is long enough\nline b\n") in kept
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(spark, labels, name):
     assert operators(spark, labels)[name](docs(spark, [])).count() == 0
@@ -237,6 +264,40 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, again[["doc_id", "taken"]].values)) == sorted(map(tuple, got[["doc_id", "taken"]].values))
 
 
+def plain_targets(sizes):
+    """Targets of sources by name (null last) with so many words: the shares are dealt anew until none is above its limit."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, out, open_ones = 1.5 * sum(sizes.values()), {}, list(order)
+    while open_ones:
+        level = left / sum(weight[s] for s in open_ones)
+        full = [s for s in open_ones if level * weight[s] > 2 * sizes[s]]
+        if not full:
+            return out | {s: level * weight[s] for s in open_ones}
+        out |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2.0 * sizes[s] for s in full)
+        open_ones = [s for s in open_ones if s not in full]
+    return out
+
+
+def test_mix_equals_plain_targets(spark):
+    """Sources of very different sizes, a null one, ties, repeated rows, null and empty texts."""
+    r, rows = random.Random(81), []
+    for k, (source, n) in enumerate((("a", 3), ("b", 200), (None, 90), ("", 40), ("é", 70), ("z", 1), ("y", 60))):
+        rows += [(1000 * k + i, prose(1000 * k + i, r.randint(1, 50)), None, source, 0, 0, "", 0, 0) for i in range(n)]
+    rows += [(5, "same words here", None, "b", 0, 0, "", 0, 0)] * 40 + [(None, None, None, "b", 0, 0, "", 0, 0), (7, "", None, None, 0, 0, "", 0, 0), (None, "no id", None, None, 0, 0, "", 0, 0)]
+    sizes = {}
+    for row in rows:
+        sizes[row[3]] = sizes.get(row[3], 0) + len((row[1] or "").split())
+    want, got = plain_targets(sizes), entropy_mix.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and sum(x["target"] for x in {x["source"]: x for x in got}.values()) == pytest.approx(min(1.5, 2) * sum(sizes.values()))
+    taken = dict.fromkeys(sizes, 0)
+    for x in got:
+        assert x["source_size"] == sizes[x["source"]] and x["target"] == pytest.approx(want[x["source"]]) and x["taken"] in (0, x["size"], 2 * x["size"])
+        taken[x["source"]] += x["taken"]
+    assert all(abs(taken[s] - want[s]) <= 50 for s in sizes)
+
+
 # op5
 
 
@@ -712,3 +773,25 @@ def test_toxicity_learns(spark):
     assert set(out["doc_id"]) == {i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2}
     assert ((out["predicted"] == 1) == (out["doc_id"] % 3 == 0)).mean() > 0.95 and got["score"].between(0, 1).all() and "en" in model.thresholds
     assert toxicity.clean(frame, model).count() == (got["predicted"] == 0).sum()
+
+
+def test_scores_equal_plain_loops():
+    """The streaming scorer against embeddings, filters and pooling in loops."""
+    settings = toxicity.Settings(buckets=997, dims=5, filters=3, epochs=1, least_steps=20)
+    texts = [prose(k, 30) for k in range(40)]
+    model = toxicity.train(texts, np.array([k % 4 == 0 for k in range(40)], float), settings)
+    scorer = toxicity.Scorer(model, kept=50)
+
+    def plain(text):
+        words = toxicity.words_of(text)
+        pad = max(settings.widths) - 1
+        vectors = [np.zeros(settings.dims)] * pad + [sum(model.embed[f] for f in toxicity.features_of(w, settings.buckets)) for w in words] + [np.zeros(settings.dims)] * pad
+        best = []
+        for width, kernel in zip(settings.widths, model.kernels, strict=True):
+            for f in range(settings.filters):
+                best.append(max(sum(float(vectors[at + j] @ kernel[j, :, f]) for j in range(width)) for at in range(len(vectors) - width + 1)))
+        hidden = np.maximum(np.array(best) + model.bias, 0)
+        return 1 / (1 + math.exp(-min(30, max(-30, float(hidden @ model.out) + model.out_bias))))
+
+    for text in [*texts[:10], "", " \n", "one", "Ünï CÖDE ünï", " ".join(prose(5, 9) for _ in range(2500))]:
+        assert scorer.score(text) == pytest.approx(plain(text), abs=1e-5)
