@@ -6,9 +6,9 @@ minhash_dedup: one document of each group of near duplicates (five-word shingles
 mix: documents are taken 0, 1 or 2 times so that their sources meet their target sizes.
 bpe: token counts and digests of ids and decoded text, one row for each copy taken.
 
-Every stage reads the columns doc_id, text, lang and source and carries all others along, whatever their names. A
-null text is an empty one, a null doc_id or source is a value of its own; texts are read whole. Rows that share an
-id are judged by their own texts (line_dedup: a line number goes in all rows of an id). An empty table gives an empty
+Every stage reads the columns doc_id, text, lang and source; all but the last carry all others along, whatever their
+names, and the last returns what its contract names. A null text is an empty one, a null doc_id or source is a value
+of its own; texts are read whole. Rows that share an id are judged by their own texts. An empty table gives an empty
 table. Documents without words stay in all stages; of equal rows minhash_dedup keeps one.
 """
 
