@@ -645,17 +645,28 @@ def _peaks_of(*steps):
     return lambda spark, sf: peak_rows(_kernel(*steps)(spark, sf))
 
 
+#: The hull under a signal is, at every point, the lowest of all chords over it.
+HULL_SQL = f"""with {EM}, b as (select i.spectrum_id, i.pos, min(case when l.mz=r.mz then i.intensity else l.intensity+(r.intensity-l.intensity)*((i.mz-l.mz)/(r.mz-l.mz)) end) base
+ from p i join p l on l.spectrum_id=i.spectrum_id and l.mz<=i.mz join p r on r.spectrum_id=i.spectrum_id and r.mz>=i.mz where (l.mz<i.mz)=(r.mz>i.mz) group by 1, 2)
+ select spectrum_id, pos, round(greatest(0, intensity-base), 9) intensity from p join b using (spectrum_id, pos)"""
+_LISTS = f"{EM}, s as (select spectrum_id, list(intensity order by mz, pos) y, list(mz order by mz, pos) x, count(*) n from p group by 1)"
+SNIP_SQL = f"""with recursive {_LISTS}, r as (select spectrum_id, y, y b, n, 0 k from s union all
+ select spectrum_id, y, [least(b[i], case when i=1 then b[2] when i=n then b[n-1] else (b[i-1]+b[i+1])/2 end) for i in range(1, n+1)], n, k+1 from r where k<100)
+ select spectrum_id, unnest(range(n)) pos, round(unnest([greatest(0, y[i]-b[i]) for i in range(1, n+1)]), 9) intensity from r where k=100"""
+WIDTH_SQL = f"""with {_LISTS}, t as (select *, list_position(y, list_max(y)) k from s), c as (select *, y[k]/2 h, list_max([i for i in range(1, k) if y[i]<y[k]/2]) a, list_min([i for i in range(k+1, n+1) if y[i]<y[k]/2]) b from t),
+ w as (select *, (x[b-1]+(h-y[b-1])*(x[b]-x[b-1])/(y[b]-y[b-1]))-(x[a]+(h-y[a])*(x[a+1]-x[a])/(y[a+1]-y[a])) w, k>=3 and k<=n-2 inner_ from c)
+ select spectrum_id, x[k] mz, round(case when inner_ and w>0 and w<=50 then w end, 6) robust, round(w, 6) fwhm, round(case when inner_ and w>0 and w<=1 then x[k]/w end, 6) resolution from w"""
+
+
 def _register() -> None:
     from ionlake.plans.advisor import recommend
     from ionlake.plans.preprocessing import Step, peak_rows, run_steps
 
     pick = Step("peak_picking", {"method": "profile", "snr": 1.0, "half_window": 3})
 
-    def hull_baseline(spark, sf):
-        return _kernel(Step("baseline_correction", {"method": "convex_hull"}))(spark, sf).select("spectrum_id", "intensity")
-
-    def snip_baseline(spark, sf):
-        return _kernel(Step("baseline_correction", {"method": "snip", "iterations": 100}))(spark, sf).select("spectrum_id", "intensity")
+    def corrected(method, **params):
+        rows = lambda spark, sf: _kernel(Step("baseline_correction", {"method": method, **params}))(spark, sf).select("spectrum_id", F.posexplode("intensity").alias("pos", "value"))
+        return lambda spark, sf: rows(spark, sf).select("spectrum_id", F.col("pos").cast("long").alias("pos"), F.round("value", 9).alias("intensity"))
 
     def fwhm_r2(spark, sf):
         return _peaks_of(pick)(spark, sf).select("spectrum_id", "mz", "fwhm", "shape_r2")
@@ -674,7 +685,9 @@ def _register() -> None:
         from ionlake.functions import kernels
 
         top = lambda i, mz, y: (i, float(mz[(k := int(np.argmax(y)))]), kernels.robust_fwhm(mz, y, k, 50.0), kernels.fwhm(mz, y, k), kernels.resolution(mz, y, k))
-        return spectra.apply_spectra(_profiles(spark, sf), top, "spectrum_id long, mz double, robust double, fwhm double, resolution double")
+        rows = spectra.apply_spectra(_profiles(spark, sf), top, "spectrum_id long, mz double, robust double, fwhm double, resolution double")
+        known = lambda c: F.when(~F.isnan(c), F.round(c, 6)).alias(c)
+        return rows.select("spectrum_id", "mz", known("robust"), known("fwhm"), known("resolution"))
 
     def sql_peaks(spark, sf):
         from ionlake.plans import sql
@@ -692,8 +705,10 @@ def _register() -> None:
     QUERIES.update({"peaks_profile": _peaks_of(pick), "peaks_wavelet": _peaks_of(Step("peak_picking", {"method": "wavelet", "snr": 1.0}))})
     for method in ("linear", "lowess", "ransac"):
         QUERIES[f"align_{method}"] = lambda spark, sf, m=method: peak_rows(run_steps(_profiles(spark, sf), [pick, Step("peak_alignment", {"method": m, "tol": 0.6})])[0]).select("spectrum_id", "pos", "mz")
-    for f in (hull_baseline, snip_baseline, fwhm_r2, pipeline_full, advisor):
+    for f in (fwhm_r2, pipeline_full, advisor):
         QUERIES[f.__name__] = f
+    QUERIES.update({"hull_baseline": corrected("convex_hull"), "snip_baseline": corrected("snip", iterations=100)})
+    ORACLE_SQL.update({"hull_baseline": HULL_SQL, "snip_baseline": SNIP_SQL, "resolution_of_peaks": WIDTH_SQL})
 
 
 _register()
