@@ -13,7 +13,7 @@ edges, never pairs; nothing but a few counts reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -70,16 +70,22 @@ def net(units: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(leaders, dtype=np.int64), of
 
 
+def nets_of(units: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The centres of each level, as rows, the coarsest first, and of each level below the first its rows' parents."""
+    centres, parents = [np.arange(len(units))], []
+    for radius in reversed(RADII):
+        leaders, of = net(units[centres[0]], radius)
+        parents.insert(0, of)
+        centres.insert(0, centres[0][leaders])
+    return centres, parents
+
+
 class Side:
     """A part's vectors and the nodes of its levels, the coarsest first; the last level is the vectors."""
 
-    def __init__(self, units: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> None:
+    def __init__(self, units: np.ndarray, ids: np.ndarray, copies: np.ndarray, nets: tuple | None = None) -> None:
         self.units, self.ids, self.copies = units, ids, copies
-        self.centres, self.parents = [np.arange(len(units))], []
-        for radius in reversed(RADII):
-            leaders, of = net(units[self.centres[0]], radius)
-            self.parents.insert(0, of)
-            self.centres.insert(0, self.centres[0][leaders])
+        self.centres, self.parents = nets or nets_of(units)
         self.radius, self.members, self.weight, self.children = [], [], [], []
         top = np.arange(len(units))
         for level in range(len(RADII), -1, -1):
@@ -167,21 +173,35 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[moved], nodes[label[moved]]
 
 
-def _units(column: pd.Series) -> np.ndarray:
+def _normed(raw: np.ndarray) -> np.ndarray:
     """Unit vectors; a power of two first brings each one's largest component near 1, so that no square over- or underflows."""
-    raw = np.array(column.tolist(), dtype=np.float64)
+    raw = raw.astype(np.float64)
     raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
+def _units(column: pd.Series) -> np.ndarray:
+    return _normed(np.array(column.tolist(), dtype=np.float64))
+
+
+def _built(single: bool):
+    """A leaf as one row: its vectors as they are and its nets, found once for all the leaves that it meets."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
+        raw = np.array(rows["embedding"].tolist(), dtype=np.float32 if single else np.float64)
+        leaf = (raw, rows["key"].to_numpy(), rows["copies"].to_numpy(), nets_of(_normed(raw)))
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "leaf": [pickle.dumps(leaf, protocol=5)]})
+
+    return run
+
+
 def _work(cosine: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sides = []
-        for side in (0, 1):
-            rows = group[group["side"] == side]
-            if len(rows):
-                rows = rows.sort_values("rep")
-                sides.append(Side(_units(rows["embedding"]), rows["rep"].to_numpy(), rows["copies"].to_numpy()))
+        for blob in group.sort_values("side")["leaf"]:
+            raw, ids, copies, nets = pickle.loads(blob)
+            sides.append(Side(_normed(raw), ids, copies, nets))
         if len(sides) < 2 and not group["own"].iloc[0]:
             return pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
         a, b = sides[0], sides[-1]
@@ -285,7 +305,9 @@ def _links_of(reps: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     pairs = _leaf_pairs(nodes, float(np.sqrt(2 - 2 * cosine)) + SLACK, scratch, rows)
     tasks = pairs.select(F.concat_ws("|", "a", "b").alias("task"), "a", "b", (F.col("a") == F.col("b")).alias("own"))
     ends = tasks.select("task", "own", F.lit(0).alias("side"), F.col("a").alias("cell")).union(tasks.where("not own").select("task", "own", F.lit(1), F.col("b")))
-    sent_out = rows.join(ends, "cell").select("task", "own", "side", F.col("key").alias("rep"), "copies", "embedding")
+    single = reps.schema["embedding"].dataType.simpleString() == "array<float>"
+    leaves = scratch.keep(rows.select("cell", "key", "copies", "embedding").groupBy("cell").applyInPandas(_built(single), "cell string, leaf binary"))
+    sent_out = leaves.join(ends, "cell").select("task", "own", "side", "leaf")
     return sent_out.groupBy("task").applyInPandas(_work(cosine), "rep long, links long, root long")
 
 

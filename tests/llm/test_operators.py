@@ -187,6 +187,13 @@ def test_cover_tree_equals_brute_force(spark):
     assert cover_tree.near_duplicates(empty).count() == 0
 
 
+def test_doubles_of_any_size(spark):
+    """Components that no float holds, and squares that no double does."""
+    rows = [(1, [1e39, 0.0]), (2, [1e39, 1e38]), (3, [1e-46, 0.0]), (4, [0.0, 1e300]), (5, [1e-320, 1e300]), (6, [1e300, 1e300]), (7, [1.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
+
 def test_many_leaves_and_repeated_ids(spark, monkeypatch):
     """A tree of several levels, clusters, copies beyond a leaf, and two vectors of one id."""
     for name, value in (("PART", 60), ("SAMPLE", 60), ("FAN", 6), ("BLOCK", 128)):
