@@ -101,6 +101,14 @@ def validate(spectra: DataFrame) -> DataFrame:
     return spectra.select("spectrum_id", valid.alias("valid"))
 
 
+def quality(spectra: DataFrame) -> DataFrame:
+    """(spectrum_id, empty, regular): without a finite intensity; with an m/z axis that does not decrease."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    mz = F.col("mz")
+    falls = F.exists(F.sequence(F.lit(1), F.size(mz) - 1), lambda k: mz[k] < mz[k - 1])
+    return spectra.select("spectrum_id", (~F.coalesce(F.exists("intensity", finite), F.lit(False))).alias("empty"), F.when(F.size(mz) > 1, ~falls).otherwise(True).alias("regular"))
+
+
 def apply_spectra(spectra: DataFrame, function, schema: str) -> DataFrame:
     """A user's function of (spectrum_id, mz, intensity), numpy arrays, on every spectrum; it returns a tuple of ``schema`` or None.
 

@@ -20,14 +20,21 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """A path that exists is deleted when the session's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def own_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session ends."""
+    """A new folder in the shared folder, deleted when the session ends."""
     folder = shared_folder(spark)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    _gone_at_exit(spark, path)
     return path
 
 
@@ -38,12 +45,13 @@ def settled(frame: DataFrame) -> DataFrame:
     Either way plans that read them know their true size.
     """
     spark = frame.sparkSession
-    if not shared_folder(spark):
+    if not (folder := shared_folder(spark)):
         kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
         kept.count()
         return kept
-    path = own_folder(spark, "settled")
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
+    _gone_at_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -623,6 +623,12 @@ def raster_dimensions(spark, sf):
     return spectra.dimensions(pts_ev(spark, sf))
 
 
+@query(f"with {EV}, o as (select *, lag(mz) over (partition by spectrum_id order by pos) before from p) select spectrum_id, false empty, count(*) filter (where mz<before)=0 regular from o group by 1")
+def qc_flags(spark, sf):
+    """Empty and regular spectra, in the order in which their points came."""
+    return spectra.quality(as_spectra(pts_ev(spark, sf), by="pos"))
+
+
 @query(f"with {EM} select round(log10(max(intensity) filter (where intensity>0)/min(intensity) filter (where intensity>0)), 6) orders from p")
 def intensity_orders(spark, sf):
     return spectra.dynamic_range(pts_em(spark, sf))
