@@ -43,13 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive lost executors.
 
-    ``drop`` removes a table once a later one replaces it; what a returned DataFrame still reads stays.
+    ``drop`` removes a table once a later one replaces it; what a returned DataFrame still reads goes when the session ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(where)
+        system.deleteOnExit(where)
 
     def write(self, frame: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
