@@ -445,9 +445,11 @@ def processed_mean_spectrum(spark, sf):
     return spectra.processed_total(_processed(spark, sf), 200, mean=True)
 
 
-@query(f"with {EV}, {NOISE} select round(avg(noise) filter (where noise>0 and isfinite(noise)), 6) noise, 7 \"window\" from nz")
+@query(f"with {EV}, {NOISE}, r as (select avg(mz)*100 r from p) select round(avg(noise) filter (where noise>0 and isfinite(noise)), 6) noise, any_value(case when r>40000 then 5 when r>10000 then 7 else 9 end) \"window\" from nz, r")
 def noise_hints(spark, sf):
-    return spectra.noise_hints(signal.noise(pts_ev(spark, sf)), 20000.0).withColumn("noise", F.round("noise", 6))
+    """The resolution is that of peaks a hundredth wide at the mean m/z."""
+    p = pts_ev(spark, sf)
+    return spectra.noise_hints(signal.noise(p), (p.agg(F.avg("mz")).first()[0] or 0.0) * 100).withColumn("noise", F.round("noise", 6))
 
 
 @query(f"with {LI}, n as (select count(*) n from p group by spectrum_id) select round(avg(n), 6) mean_points, median(n) median_points, cast(sum(n) as bigint) total_points, count(*) n_spectra from n")
