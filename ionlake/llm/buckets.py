@@ -44,7 +44,7 @@ def _crossing(placed: DataFrame) -> float:
 
 
 def linked_components(
-    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, sketches: Callable[[DataFrame], DataFrame], words: int
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, sketches: Callable[[DataFrame], DataFrame], words: int, least: int = 1
 ) -> DataFrame | None:
     """(node, component) of all nodes that have a confirmed link to a member of one of their buckets.
 
@@ -62,8 +62,8 @@ def linked_components(
     none = members.sparkSession.createDataFrame([], f"u {kind}, v {kind}")
     small = members.where(F.col("members") <= SMALL)
     one, other = (small.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = one.join(other, "bucket").where("a < b").where(_alike(percent, 0)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    tried, found = scratch.keep(pairs), None
+    pairs = one.join(other, "bucket").where("a < b").where(_alike(percent, 0)).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count("*").alias("shared"))
+    tried, found = scratch.keep(pairs.where(F.col("shared") >= least).select("u", "v")), None
     if tried.head(1):
         found = scratch.keep(components(scratch.keep(confirm(tried)), scratch))
     else:

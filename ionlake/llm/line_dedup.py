@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.buckets import linked_components
+from ionlake.llm.buckets import SMALL, linked_components
 from ionlake.llm.common import Scratch, slices, text_of
 from ionlake.llm.minmax_dedup import _STEP, _linked, _mixed, parity
 
 PERCENT, SHINGLE = 80, 5
 #: Each function gives two values of a signature, the least and the greatest under it; bands are of two functions each.
-FUNCTIONS, BANDS = 40, 20
+#: A pair that only meets in buckets of a few lines must share AGREEING of them, which a pair at the threshold does with
+#: all but 4 in 10,000.
+FUNCTIONS, BANDS, AGREEING = 40, 20, 2
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 #: Entries (a line in a band) that a task packs at once and that a part of them has about; entries of one key beyond which
@@ -207,17 +209,27 @@ def bucketed(lines: DataFrame) -> DataFrame:
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_in_buckets(HOT), "bucket long, id long, members long")
 
 
-def sets_of(lines: DataFrame) -> DataFrame:
-    """Adds the sizes n of the lines' shingle sets and their parity sketches to (id, line)."""
+def sized(lines: DataFrame) -> DataFrame:
+    """Adds the sizes n of the lines' shingle sets to (id, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "line", 1 << 18):
-            sets = shingle_sets(batch.column(1).to_pylist())
-            odd = np.concatenate([parity(x, SKETCH) for x in sets])
+            sizes = pa.array(map(len, shingle_sets(batch.column(1).to_pylist())), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], names=["id", "line", "n"])
+
+    return lines.mapInArrow(run, "id long, line string, n long")
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """(id, sketch): the parity sketches of the shingle sets of (id, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line", 1 << 18):
+            odd = np.concatenate([parity(x, SKETCH) for x in shingle_sets(batch.column(1).to_pylist())])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, SKETCH, dtype=np.int32)), pa.array(odd))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), lists], names=["id", "line", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "sketch"])
 
-    return lines.mapInArrow(run, "id long, line string, n long, sketch array<long>")
+    return lines.mapInArrow(run, "id long, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -247,10 +259,12 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch.release()
     shared = scratch.keep(bucketed(lines))
     scratch.release()
-    texts = scratch.keep(sets_of(lines.select(F.col("num").alias("id"), "line").join(shared.select("id").distinct(), "id", "left_semi")))
+    able = shared.groupBy("id").agg(F.count_if(F.col("members") <= SMALL).alias("few"), F.max("members").alias("most")).where((F.col("few") >= AGREEING) | (F.col("most") > SMALL))
+    texts = scratch.keep(sized(lines.select(F.col("num").alias("id"), "line").join(able.select("id"), "id", "left_semi")))
     members = scratch.keep(shared.join(texts.select("id", "n"), "id").select("bucket", "id", "n", "members"))
     scratch.release()
-    found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent), scratch, percent, lambda wanted: texts.select("id", "sketch").join(wanted, "id"), SKETCH)
+    sketches = lambda wanted: sketched(texts.select("id", "line").join(wanted, "id", "left_semi"))
+    found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent), scratch, percent, sketches, SKETCH, AGREEING)
     stays = lines.select("num", F.col("id").alias("node"))
     if found is not None:
         #: Of each component the first place stays, whatever the numbers of its lines.

@@ -406,7 +406,7 @@ def test_bands_find_pairs_at_the_threshold():
         if 0.8 <= len(x & y) / len(x | y) < 0.82:
             tried += 1
             one, two = line_dedup.bands_of(line_dedup.signatures(*line_dedup.shingle_hashes([a, b])))
-            missed += not (one == two).any()
+            missed += (one == two).sum() < line_dedup.AGREEING
     assert tried > 100 and missed <= 1
 
 
