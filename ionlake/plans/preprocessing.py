@@ -123,7 +123,7 @@ def _calibrate(s: Spectrum, references: tuple[float, ...] = (), ppm: float = 20.
         found = np.array([p[0] for p in kernels.detect_profile(s.mz, s.intensity, snr=snr)])
         got, true = kernels.nearest_references(found, np.array(references), ppm)
         if len(got) >= 2:
-            s.mz = kernels.piecewise(s.mz, got, true)
+            s.mz = kernels.piecewise(s.mz, np.sort(got), np.sort(true))  # each in its own order: the map never falls
 
 
 def _align_to(s: Spectrum, reference: tuple[float, ...] = (), method: str = "linear", tol: float = 0.05, unit: str = "mz") -> None:
