@@ -73,3 +73,12 @@ def test_settled_tables_go_with_the_session(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
     assert out.stdout.split()[-2:] == ["5", "2"], out.stderr[-500:]
     assert not [d for d in os.listdir(tmp_path / "shared") if "settled-" in d or "x-" in d]
+
+
+def test_inverse_of_a_tall_mask_is_whole(spark):
+    """The raster goes on beyond row 999, where the range in mask_ops' SQL ends."""
+    from ionlake.operators import imaging
+
+    mask = spark.range(1, 1201).select(F.lit(1).alias("x"), F.col("id").cast("int").alias("y")).where("y % 3 <> 0").union(spark.createDataFrame([(2, 1200)], "x int, y int"))
+    held = {tuple(r) for r in mask.collect()}
+    assert {tuple(r) for r in imaging.mask_inverse(mask).collect()} == {(x, y) for x in (1, 2) for y in range(1, 1201)} - held
