@@ -708,6 +708,66 @@ def test_recall_on_passages_of_every_eighth_word_changed(spark):
     assert len(got) >= 57 and got <= {(2 * k + 1, 2 * k) for k in range(60)}
 
 
+def test_a_passage_is_found_whatever_the_hashes_of_its_windows(spark):
+    """The 51 words of which fewest windows have a hash below 0.22 of all: a sample of such windows would see one at most."""
+    words = prose(31, 60_000).split()
+    low = np.append(0, np.cumsum(chaining.run_hashes(chaining.word_hashes([w.encode() for w in words])) < np.uint64(0.22 * 2.0**64)))
+    at = int((low[47:] - low[:-47]).argmin())
+    assert low[at + 47] - low[at] <= 1
+    rows = [(1, " ".join([prose(32, 40), *words[at : at + 51], prose(33, 40)])), (2, " ".join([prose(34, 30), *words[at : at + 51], prose(35, 30)]))]
+    got = [(r["doc_id"], r["start_word"], r["end_word"], r["of_doc_id"]) for r in chaining.repeated_passages(docs(spark, rows)).collect()]
+    assert len(got) == 1 and got[0][0] == 2 and got[0][3] == 1 and got[0][1] <= 30 and got[0][2] >= 81
+
+
+def test_a_passage_is_found_behind_its_scattered_pieces(spark):
+    passage = prose(36, 80).split()
+    pieces = [passage[a : a + 15] for a in range(65, -1, -9)]
+    scattered = " ".join(" ".join([*p, prose(40 + k, 20)]) for k, p in enumerate(pieces))
+    rows = [(k, " ".join([scattered.replace("x", f"x{k}"), *passage, prose(60 + k, 30)])) for k in (1,)] + [(2, " ".join([prose(70, 30), *passage, prose(71, 30)]))]
+    got = {(r["doc_id"], r["of_doc_id"]): r["end_word"] - r["start_word"] for r in chaining.repeated_passages(docs(spark, rows)).collect()}
+    assert set(got) == {(2, 1)} and got[2, 1] >= 79
+
+
+def test_frequent_seeds_are_held_as_all_others(spark):
+    from ionlake.llm.common import Scratch
+
+    phrase = prose(72, 12)
+    rows = [(i, i % 2, " ".join([prose(80 + i, 60), phrase, prose(95 + i % 5, 30), *([phrase] * (1 + i % 3))])) for i in range(12)]
+    rows.append((40, 0, " ".join([prose(73, 8)] * 9)))  # frequent in one document alone
+    texts = spark.createDataFrame(rows * 2, "id long, tie int, text string").repartition(3)
+    few, many = (sorted(map(tuple, chaining.held_seeds(texts, 1, Scratch(spark, "t"), *more).select("id", "tie", "pos", "first_id", "first_tie").collect())) for more in ((200, 1), ()))
+    where = {}
+    for i, tie, text in rows:
+        w = text.split()
+        for p in range(len(w) - 4):
+            where.setdefault(tuple(w[p : p + 5]), []).append((i, tie, p))
+    want = sorted((*at, *min(places)[:2]) for places in where.values() if len({x[0] for x in places}) > 1 for at in places)
+    assert few == many == want
+
+
+def test_frequent_runs_meet_as_all_others(spark):
+    from ionlake.llm.common import Scratch
+
+    sets = [(i, 0, [5, 9, *range(100 + i % 4, 118), *range(1000 * i, 1000 * i + i)]) for i in range(9)]
+    marks = spark.createDataFrame([((i, tie), seeds) for i, tie, seeds in sets], f"doc {chaining.KEY}, seeds array<long>").repartition(3)
+    few, many = ({(r["doc"]["id"], r["of"]["id"]) for r in chaining.run_pairs(marks, 200, Scratch(spark, "t"), *more).collect()} for more in ((20, 1), ()))
+    holders, want = {}, set()
+    for i, _, seeds in sets:
+        for p in range(len(seeds) - chaining.RUN + 1):
+            holders.setdefault(tuple(seeds[p : p + chaining.RUN]), []).append(i)
+    for held in holders.values():
+        want |= {(i, of) for k, i in enumerate(held) for of in (held[0], held[k - 1]) if of < i}
+    assert few == many == want and want
+
+
+def test_matches_at_many_places():
+    a, b = np.array([5, 7, 5, 9]), np.array([5, 9, 5, 5])
+    at = np.arange(4)
+    assert set(chaining.matches_of(a, at, b, at)) == {(x, y) for x in range(4) for y in range(4) if a[x] == b[y]}
+    far = chaining.matches_of(np.zeros(900, int), np.arange(900), np.zeros(700, int), np.arange(700))
+    assert len(far) == len(set(far)) < 3 * 900 and {(k, k) for k in range(700)} <= set(far)
+
+
 def test_banded_edits_equal_full_table():
     r = random.Random(18)
     for _ in range(200):
