@@ -842,6 +842,32 @@ def test_toxicity_learns(spark):
     assert toxicity.clean(frame, model).count() == (got["predicted"] == 0).sum()
 
 
+def test_toxicity_learns_from_all_parts(spark):
+    """Each part of the rows has toxic words of its own: whatever rows a sample leaves out, their words would stay unknown."""
+    words = ["vile" + a + b for a in "abcdefgh" for b in "xyz"]
+    texts = [" ".join([prose(i, 20), *([words[(i // 3) % 24]] * 2 if i % 3 == 0 else []), prose(i + 5000, 10)]) for i in range(900)]
+    rows = [(i, t, "en" if i % 2 else "de", "s", 0, 0, "", 0, 0) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    frame, settings = spark.createDataFrame(rows, DOCS), toxicity.Settings(part_rows=150)
+    model = toxicity.fit(frame, labels, settings)
+    got, again = toxicity.score(frame, model).toPandas(), toxicity.fit(frame.repartition(5), labels.repartition(3), settings)
+    out = got[got["held_out"]]
+    assert ((out["predicted"] == 1) == (out["doc_id"] % 3 == 0)).mean() > 0.95 and set(model.thresholds) == {"de", "en"}
+    assert (again.embed == model.embed).all() and again.out_bias == model.out_bias and again.thresholds == model.thresholds
+    changed = lambda m, w: (m.embed[toxicity.features_of(w, settings.buckets)] != toxicity.train([], np.zeros(0), settings).embed.astype(np.float32)[toxicity.features_of(w, settings.buckets)]).any()
+    assert all(changed(model, w) for w in words)
+
+
+def test_best_cut_of_bins_equals_that_of_scores():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        scores = r.integers(1, 40, 60) / 41
+        labels = (r.random(60) < scores).astype(float)
+        want = max(2 * labels[scores >= t].sum() / ((scores >= t).sum() + labels.sum()) for t in scores) if labels.any() else None
+        at = toxicity.best_threshold(scores, labels, 0.3)
+        assert want is None or labels.all() or abs(2 * labels[scores >= at].sum() / ((scores >= at).sum() + labels.sum()) - want) < 1e-12
+
+
 def test_scores_equal_plain_loops():
     """The streaming scorer against embeddings, filters and pooling in loops."""
     settings = toxicity.Settings(buckets=997, dims=5, filters=3, epochs=1, least_steps=20)
