@@ -12,6 +12,7 @@ blocks.
 from __future__ import annotations
 
 import copy
+import itertools
 import pickle
 import re
 import zlib
@@ -60,10 +61,19 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+_HEAD = zlib.crc32(b"^")
+
+
 def features_of(word: str, buckets: int) -> list[int]:
     """Bucket 0 is padding. Every word has the same number of features; short ones repeat the whole word."""
-    whole = zlib.crc32(word.encode())
-    return [1 + h % (buckets - 1) for h in (whole, *(zlib.crc32(b"^" + word[:k].encode()) if len(word) >= k else whole for k in (3, 4, 5, 6)))]
+    return features_of_all([word], buckets)[0].tolist()
+
+
+def features_of_all(words: list[str], buckets: int) -> np.ndarray:
+    """(words, features): the whole word and its first 3 to 6 letters behind a mark."""
+    whole = list(map(zlib.crc32, map(str.encode, words)))
+    heads = ([zlib.crc32(w[:k].encode(), _HEAD) if len(w) >= k else h for w, h in zip(words, whole, strict=True)] for k in (3, 4, 5, 6))
+    return 1 + np.array([whole, *heads], dtype=np.int64).T % (buckets - 1)
 
 
 @dataclass
@@ -84,48 +94,52 @@ class Model:
 class Scorer:
     """Scores texts; keeps the projections of words it has met, up to a bound."""
 
-    def __init__(self, model: Model, kept: int = 120_000) -> None:
+    #: Places that are looked at together, of many short texts or of one long one.
+    BLOCK = 20_000
+
+    def __init__(self, model: Model, kept: int = 300_000) -> None:
         self.model, self.table, self.kept = model, model.projected(), kept
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.rows = np.zeros((kept + 1, self.table.shape[1]), dtype=np.float32)  # row 0: padding
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            fresh = list(dict.fromkeys(w for w, i in zip(words, ids, strict=True) if i is None))
-            if len(self.known) + len(fresh) > self.kept:
-                self.known.clear()
-                fresh = list(dict.fromkeys(words))
-            at = len(self.known) + 1
-            feats = np.array([features_of(w, self.model.settings.buckets) for w in fresh])
-            self.rows[at : at + len(fresh)] = self.table[feats].sum(axis=1)
+        fresh = list(set(words).difference(self.known))
+        if len(self.known) + len(fresh) > self.kept:
+            self.known = {"": 0}
+            fresh = list(set(words).difference(self.known))
+        if fresh:
+            at = len(self.known)
+            self.rows[at : at + len(fresh)] = self.table[features_of_all(fresh, self.model.settings.buckets)].sum(axis=1)
             self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-            ids = list(map(self.known.__getitem__, words))
-        return np.array(ids, dtype=np.int64)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def pooled(self, words: list[str]) -> np.ndarray:
-        """Each filter's largest value over the text, in blocks that overlap by the widest filter."""
+    def pooled(self, texts: list[list[str]]) -> np.ndarray:
+        """Each filter's largest value over each text (a row), whose words stand between paddings."""
         s = self.model.settings
-        pad, best = max(s.widths) - 1, np.full(s.filters * len(s.widths), -np.inf, dtype=np.float32)
-        for start in range(0, max(1, len(words)), 20_000):
-            block = words[max(0, start - pad) : start + 20_000]
-            ids = self._ids(block) if block else np.zeros(0, dtype=np.int64)
-            ids = np.concatenate([np.zeros(pad if start == 0 else 0, np.int64), ids, np.zeros(pad, np.int64)])
-            column = 0
+        pad = [""] * (max(s.widths) - 1)
+        flat = [*itertools.chain.from_iterable(part for words in texts for part in (pad, words)), *pad]
+        ends = np.cumsum([len(pad) + len(words) for words in texts])
+        starts, best = np.append(0, ends[:-1]), np.full((len(texts), s.filters * len(s.widths)), -np.inf, dtype=np.float32)
+        for at in range(0, int(ends[-1]), self.BLOCK):
+            n = min(self.BLOCK, int(ends[-1]) - at)
+            shares, total, column = self.rows[self._ids(flat[at : at + n + len(pad)])], np.zeros((n, best.shape[1]), dtype=np.float32), 0
             for i, width in enumerate(s.widths):
-                n = len(ids) - width + 1
-                total = np.zeros((n, s.filters), dtype=np.float32)
                 for j in range(width):
-                    total += self.rows[ids[j : j + n], column : column + s.filters]
+                    total[:, i * s.filters : (i + 1) * s.filters] += shares[j : j + n, column : column + s.filters]
                     column += s.filters
-                part = slice(i * s.filters, (i + 1) * s.filters)
-                best[part] = np.maximum(best[part], total.max(axis=0))
+            first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, at + n)
+            best[first:last] = np.maximum(best[first:last], np.maximum.reduceat(total, np.maximum(starts[first:last] - at, 0), axis=0))
         return best
 
-    def score(self, text: str) -> float:
+    def scores(self, texts: list[str]) -> list[float]:
         m = self.model
-        hidden = np.maximum(self.pooled(words_of(text)) + m.bias, 0)
-        return float(1 / (1 + np.exp(-np.clip(hidden @ m.out + m.out_bias, -30, 30))))
+        if not texts:
+            return []
+        hidden = np.maximum(self.pooled(list(map(words_of, texts))) + m.bias, 0)
+        return [float(1 / (1 + np.exp(-np.clip(row @ m.out + m.out_bias, -30, 30)))) for row in hidden]
+
+    def score(self, text: str) -> float:
+        return self.scores([text])[0]
 
 
 def class_weight(rows: int, positive: int) -> float:
@@ -156,7 +170,8 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings, start: Model
         ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int32)
         windows = [ids[a : a + s.window] for a in range(0, max(1, len(ids)), s.window)]
         pieces.append((windows, float(label)))
-    feats = np.array([[0] * 5, *(features_of(w, s.buckets) for w in list(vocabulary)[1:])])
+    feats = features_of_all(list(vocabulary), s.buckets)
+    feats[0] = 0
     positive = max(1, int((labels > 0).sum()))
     weight = weight or class_weight(len(labels), positive)
     pad = max(s.widths) - 1
@@ -259,7 +274,7 @@ def trained(rows: list[tuple[int, str, str, int]], settings: Settings) -> Model:
     aside = np.array([zlib.crc32(f"aside {r[0]}".encode()) % 5 == 0 for r in rows], dtype=bool)
     model = train([r[1] for r, a in zip(rows, aside, strict=True) if not a], y[~aside], settings)
     scorer = Scorer(model)
-    scores = np.array([scorer.score(r[1]) for r, a in zip(rows, aside, strict=True) if a])
+    scores = np.array(scorer.scores([r[1] for r, a in zip(rows, aside, strict=True) if a]))
     held, langs = y[aside], np.array([r[2] for r, a in zip(rows, aside, strict=True) if a], dtype=object)
     #: The best threshold of all languages together is moved to ``threshold``.
     logit = lambda p: np.log(p / (1 - p))
@@ -418,8 +433,8 @@ def _scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in slices(batches, "text"):
-            found = pa.array([scorer.score(t.as_py()) for t in batch.column("text")], pa.float64())
+        for batch in slices(batches, "text", 1 << 20):
+            found = pa.array(scorer.scores(batch.column("text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), *(F.col(c).cast("int") for c in more), text_of().alias("text"))
@@ -456,9 +471,9 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([scorer.score(t.as_py() or "") < model_threshold for t in texts], pa.bool_()))
+        for batch in slices(batches, "text", 1 << 20):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([x < model_threshold for x in scorer.scores([t or "" for t in texts])], pa.bool_()))
 
     model_threshold = model.settings.threshold
     return docs.mapInArrow(run, docs.schema)

@@ -888,3 +888,18 @@ def test_scores_equal_plain_loops():
 
     for text in [*texts[:10], "", " \n", "one", "Ünï CÖDE ünï", " ".join(prose(5, 9) for _ in range(2500))]:
         assert scorer.score(text) == pytest.approx(plain(text), abs=1e-5)
+
+
+def test_scores_do_not_depend_on_blocks():
+    """A block's end within a text is no padding, and texts that share a block keep apart."""
+    settings = toxicity.Settings(buckets=997, dims=5, filters=3, epochs=1, least_steps=20)
+    model = toxicity.train([prose(k, 30) for k in range(40)], np.array([k % 4 == 0 for k in range(40)], float), settings)
+    words = lambda k: prose(900 + k, 2).split()
+    texts = [" ".join([words(k)[0]] * 19_999 + words(k)[1:] + [words(k)[0]] * 50) for k in range(12)] + ["", "one", prose(3, 50), ""]
+    for text, score in zip(texts, toxicity.Scorer(model).scores(texts), strict=True):
+        ids = np.array([[0] * 5] * 2 + [toxicity.features_of(w, settings.buckets) for w in text.split()] + [[0] * 5] * 2)
+        vectors = model.embed[ids].sum(axis=1)
+        best = [sum(vectors[j : len(vectors) - w + 1 + j] @ k[j] for j in range(w)).max(axis=0) for w, k in zip(settings.widths, model.kernels, strict=True)]
+        hidden = np.maximum(np.concatenate(best) + model.bias, 0)
+        assert score == pytest.approx(1 / (1 + math.exp(-float(hidden @ model.out) - model.out_bias)), abs=1e-5)
+        assert toxicity.Scorer(model).score(text) == score
