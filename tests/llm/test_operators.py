@@ -903,3 +903,40 @@ def test_scores_do_not_depend_on_blocks():
         hidden = np.maximum(np.concatenate(best) + model.bias, 0)
         assert score == pytest.approx(1 / (1 + math.exp(-float(hidden @ model.out) - model.out_bias)), abs=1e-5)
         assert toxicity.Scorer(model).score(text) == score
+
+
+def test_a_text_is_sent_once_for_many_chains(spark):
+    """Beside each of its chains a long text fills memory; before shares of them it stands once each."""
+    kind = f"doc {chaining.KEY}, of {chaining.KEY}, xs array<int>, ys array<int>"
+    rows = [((9, 0), (i, 0), [i, i + 7], [2 * i, 2 * i + 7]) for i in range(300)] + [((8, 0), (1, 0), [0, 1], [150, 151])]
+    chains, texts = spark.createDataFrame(rows, kind), {9: prose(1, 700), 8: prose(2, 200), 7: "no chain"}
+    known = spark.createDataFrame([((i, 0), t) for i, t in texts.items()], f"doc {chaining.KEY}, text string")
+    for share, sent in ((64, 5 + 1), (chaining.SHARE, 2)):
+        both = chaining.texts_before(chains, known, "doc", share)
+        assert both.where("text is not null").count() == sent and both.where("text is null").count() == len(rows)
+        got = both.mapInArrow(chaining._windows("doc", "ys"), f"{kind}, doc_start int, doc_words array<long>").collect()
+        assert sorted((r["doc"]["id"], r["of"]["id"], r["xs"]) for r in got) == sorted((d[0], o[0], x) for d, o, x, _ in rows)
+        for r in got:
+            hashes = chaining.word_hashes(chaining.words_of(texts[r["doc"]["id"]])).view(np.int64).tolist()
+            start = max(0, r["ys"][0] - chaining.MARGIN)
+            assert r["doc_start"] == start and r["doc_words"] == hashes[start : r["ys"][-1] + chaining.K + chaining.MARGIN]
+
+
+def test_first_documents_of_many_seeds_are_counted_without_python_numbers():
+    """A batch of half a million seeds takes little memory, and the documents are those that a counter finds."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    ids, ties = [r.integers(0, 5, 5), r.integers(0, 40, 40), 10**9 + np.append(np.arange(499_000), np.arange(1000)), np.zeros(0, np.int64)], [(np.arange(n) % 2).astype(np.int32) for n in (5, 40, 500_000, 0)]
+    keys = [{"id": 3, "tie": k % 2} for k in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, chaining._KEY), pa.array(ids, pa.list_(pa.int64())), pa.array(ties, pa.list_(pa.int32()))], names=["doc", "first_ids", "first_ties"])
+    tracemalloc.start()
+    next(chaining._pairs(iter([batch.slice(2, 1)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = Counter((d["id"], d["tie"], o["id"], o["tie"]) for d, o in zip(*(c.to_pylist() for c in next(chaining._pairs(iter([batch])))), strict=True))
+    want = Counter((k["id"], k["tie"], *of) for k, i, t in zip(keys, ids, ties, strict=True) for of, n in Counter(zip(i.tolist(), t.tolist(), strict=True)).items() if n > 1 and of != (k["id"], k["tie"]))
+    assert got == want and peak < 32 << 20
