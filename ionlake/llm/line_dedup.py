@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.buckets import SMALL, linked_components
+from ionlake.llm.buckets import fields_apart, linked_components
 from ionlake.llm.common import Scratch, slices, text_of
-from ionlake.llm.minmax_dedup import _STEP, _linked, _mixed, parity
+from ionlake.llm.minmax_dedup import _STEP, _linked, _mixed
 
 PERCENT, SHINGLE = 80, 5
-#: Each function gives two values of a signature, the least and the greatest under it; bands are of two functions each.
-#: A pair that only meets in buckets of a few lines must share AGREEING of them, which a pair at the threshold does with
-#: all but 4 in 10,000.
-FUNCTIONS, BANDS, AGREEING = 40, 20, 2
-#: 64-bit words of a parity sketch.
-SKETCH = 32
+#: Each function gives two values of a signature, the least and the greatest under it; bands are of two functions each,
+#: and a pair shares AGREEING of them at least.
+FUNCTIONS, BANDS, AGREEING = 40, 20, 1
+#: Of each value of a signature a mark keeps two bits. Lines whose marks differ in more than APART of these 80 fields are
+#: not compared: of pairs at the threshold, whose fields differ with a chance of 0.15 each, one in 100 million.
+MARKS, APART = ["mark_0", "mark_1", "mark_2"], 32
 #: Entries (a line in a band) that a task packs at once and that a part of them has about; entries of one key beyond which
 #: they are known to be a bucket, and how many of those stay together.
 ENTRIES, HOT, HOT_ROW = 1 << 20, 256, 1 << 16
@@ -92,6 +92,13 @@ def bands_of(signed: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def marks_of(signed: np.ndarray) -> np.ndarray:
+    """(lines, 3): bits 8 and 9 of all values of (lines, 2 * FUNCTIONS), 32 values a word."""
+    fields = np.zeros((len(signed), 32 * len(MARKS)), dtype=np.uint64)
+    fields[:, : signed.shape[1]] = signed >> np.uint32(8) & np.uint32(3)
+    return np.bitwise_or.reduce(fields.reshape(len(signed), len(MARKS), 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2).view(np.int64)
+
+
 #: A line's place: its row's id and, as rows of different texts may share one, a hash of the text; and its number.
 PLACE = "struct<doc_id: bigint, tie: bigint, line_no: int>"
 
@@ -138,21 +145,26 @@ def _cut(keys: np.ndarray, nums: np.ndarray, parts: int, hot: int, share: int) -
 
 
 def _packed(parts: int, entries: int, hot: int, share: int):
-    """The band keys of lines (num, line), hashed and packed by part: 12 bytes an entry cross the shuffle."""
+    """The band keys of lines (num, line), hashed and packed by part: 12 bytes an entry cross the shuffle. Rows of kind 3 have lines' numbers and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        marks: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
             out = [r for group in held.values() for r in _cut(*(np.concatenate(c) for c in zip(*group, strict=True)), parts, hot, share)]
+            mine, theirs = (np.concatenate(c) for c in zip(*marks, strict=True))
+            out.append((-1 - int(mine[0]) % (4 * parts), 3, mine.tobytes(), 0, theirs.tobytes()))
             held.clear()
+            marks.clear()
             types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["part", "kind", "keys", "base", "rest"])
 
         for batch in slices(batches, "line", 1 << 18):
-            bands = bands_of(signatures(*shingle_hashes(batch.column(1).to_pylist())))
-            nums = batch.column(0).to_numpy()
+            signed = signatures(*shingle_hashes(batch.column(1).to_pylist()))
+            bands, nums = bands_of(signed), batch.column(0).to_numpy()
+            marks.append((nums, marks_of(signed)))
             for high in np.unique(nums >> 32).tolist():
                 mine = (nums >> 32) == high
                 held.setdefault(high, []).append((bands[mine].ravel(), np.repeat(nums[mine], BANDS)))
@@ -167,9 +179,14 @@ def _packed(parts: int, entries: int, hot: int, share: int):
 
 
 def _in_buckets(hot: int):
-    """(bucket, id, members) of entries whose key others share, from packed rows sorted by part."""
+    """Rows SIGNED from packed rows sorted by part: (bucket, id, members) of entries whose key others share, and lines' marks."""
 
     def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows[0][0] == 3:
+            nums, marks = (np.frombuffer(x, np.int64) for x in (rows[0][1], rows[0][3]))
+            none = pa.nulls(len(nums), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(nums), none, *(pa.array(c) for c in marks.reshape(len(nums), -1).T.copy())], names=["bucket", "id", "members", *MARKS])
+            return
         keys = np.concatenate([np.frombuffer(k, np.int64) for _, k, _, _ in rows])
         rest = np.concatenate([np.frombuffer(v, np.uint32) for *_, v in rows]).astype(np.int64)
         sizes, kinds = [len(k) // 8 for _, k, _, _ in rows], np.array([kind for kind, *_ in rows])
@@ -182,7 +199,8 @@ def _in_buckets(hot: int):
         members = np.maximum(members, hot + 1) if (kinds == 1).all() else members
         keep = real & (members > 1)
         for x in range(0, int(keep.sum()), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep][x : x + (1 << 18)]) for c in (keys, nums, members)], names=["bucket", "id", "members"])
+            columns = [pa.array(c[keep][x : x + (1 << 18)]) for c in (keys, nums, members)]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(columns[0]), pa.int64())] * len(MARKS)], names=["bucket", "id", "members", *MARKS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -199,41 +217,26 @@ def _in_buckets(hot: int):
     return run
 
 
-def bucketed(lines: DataFrame) -> DataFrame:
-    """(bucket, id, members): the lines (num, line) in each band's bucket that more than one is in.
+SIGNED = ", ".join(f"{c} long" for c in ("bucket", "id", "members", *MARKS))
 
-    A frequent bucket's ``members`` is what one of its shares holds, more than HOT.
-    """
+
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """Rows SIGNED of two kinds, as both come from one pass: those of ``bucketed``, and the marks of all lines (num, line), without a bucket."""
     parts = max(1, -(-BANDS * lines.count() // ENTRIES))
     packed = lines.select("num", "line").mapInArrow(_packed(parts, ENTRIES, HOT, HOT_ROW), "part long, kind int, keys binary, base long, rest binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_in_buckets(HOT), "bucket long, id long, members long")
-
-
-def sized(lines: DataFrame) -> DataFrame:
-    """Adds the sizes n of the lines' shingle sets to (id, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "line", 1 << 18):
-            sizes = pa.array(map(len, shingle_sets(batch.column(1).to_pylist())), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], names=["id", "line", "n"])
-
-    return lines.mapInArrow(run, "id long, line string, n long")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(_in_buckets(HOT), SIGNED)
 
 
-def sketched(lines: DataFrame) -> DataFrame:
-    """(id, sketch): the parity sketches of the shingle sets of (id, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "line", 1 << 18):
-            odd = np.concatenate([parity(x, SKETCH) for x in shingle_sets(batch.column(1).to_pylist())])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, SKETCH, dtype=np.int32)), pa.array(odd))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "sketch"])
+def bucketed(lines: DataFrame) -> DataFrame:
+    """(bucket, id, members): the lines (num, line) in each band's bucket that more than one is in.
 
-    return lines.mapInArrow(run, "id long, sketch array<long>")
+    A frequent bucket's ``members`` is what one of its shares holds, more than HOT.
+    """
+    return signed_lines(lines).where("bucket is not null").select("bucket", "id", "members")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose shingle sets reach the threshold exactly."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose shingle sets reach the threshold exactly; of ``texts`` (id, line) only theirs take part in the joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "y", 1 << 18):
@@ -247,6 +250,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     kept.append(i)
             yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
 
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    texts = scratch.keep(texts.join(wanted, "id", "left_semi"))
     one = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v")
     both = one.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
     return both.select("u", "v", "x", "y").sortWithinPartitions("u").mapInArrow(run, "u long, v long")
@@ -257,14 +262,13 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(distinct_lines(docs).withColumn("num", F.monotonically_increasing_id()))
     scratch.release()
-    shared = scratch.keep(bucketed(lines))
+    signed, path = scratch.write(signed_lines(lines))
     scratch.release()
-    able = shared.groupBy("id").agg(F.count_if(F.col("members") <= SMALL).alias("few"), F.max("members").alias("most")).where((F.col("few") >= AGREEING) | (F.col("most") > SMALL))
-    texts = scratch.keep(sized(lines.select(F.col("num").alias("id"), "line").join(able.select("id"), "id", "left_semi")))
-    members = scratch.keep(shared.join(texts.select("id", "n"), "id").select("bucket", "id", "n", "members"))
+    members = scratch.keep(signed.where("bucket is not null").select("bucket", "id", "members").join(signed.where("bucket is null").select("id", *MARKS), "id"))
+    scratch.drop(path)
     scratch.release()
-    sketches = lambda wanted: sketched(texts.select("id", "line").join(wanted, "id", "left_semi"))
-    found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent), scratch, percent, sketches, SKETCH, AGREEING)
+    texts = lines.select(F.col("num").alias("id"), "line")
+    found = linked_components(members, lambda pairs: confirmed(pairs, texts, percent, scratch), scratch, percent, carried=tuple(MARKS), alike=fields_apart(MARKS) <= APART)
     stays = lines.select("num", F.col("id").alias("node"))
     if found is not None:
         #: Of each component the first place stays, whatever the numbers of its lines.
@@ -305,16 +309,16 @@ def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with all its columns, the text without the lines that do not stay. No row goes; null texts stay null."""
     names = docs.columns
-    rows = _with_kept(docs, percent, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    lines = F.split(F.col("row.text"), "\n")
-    places = F.sort_array(F.concat(_places(lines, True), F.coalesce("kept", F.array().cast("array<int>"))))
-    text = F.array_join(F.transform(places, lambda i: F.get(lines, i - 1)), "\n")
+    #: Columns of their own, as an expression within a lambda is evaluated anew for each element: a text would be split once a line.
+    rows = _with_kept(docs, percent, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("lines", F.split("row.text", "\n"))
+    rows = rows.withColumn("places", F.sort_array(F.concat(_places(F.col("lines"), True), F.coalesce("kept", F.array().cast("array<int>")))))
+    rows = rows.withColumn("stays", F.array_join(F.transform("places", lambda i: F.get("lines", i - 1)), "\n"))
     out = []
     for c in names:
         if c == "text":
-            out.append(text.alias(c))
+            out.append(F.col("stays").alias(c))
         elif c == "n_chars":
-            out.append(F.when(F.col("row.text").isNotNull(), F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col("row.text").isNotNull(), F.length("stays")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col("row").getField(c).alias(c))
     return rows.select(*out)

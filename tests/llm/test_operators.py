@@ -410,6 +410,43 @@ def test_bands_find_pairs_at_the_threshold():
     assert tried > 100 and missed <= 1
 
 
+def test_marks_keep_alike_lines_and_rule_others_out(spark):
+    """Fields that differ against a plain count; pairs at the threshold stay, pairs of other prose go, and no join hands them on."""
+    from ionlake.llm.buckets import fields_apart, linked_components
+
+    r, texts, near = random.Random(32), [], []
+    for k in range(300):
+        a = list("".join(r.choice("abcdefghijklmnop") for _ in range(r.choice((40, 360, 2000)))))
+        b = list(a)
+        for at in r.sample(range(len(a)), len(a) // 45):
+            b[at] = "#"
+        a, b = "".join(a), "".join(b)
+        x, y = ({t[j : j + 5] for j in range(len(t) - 4)} for t in (a, b))
+        near.append(len(x & y) / len(x | y) >= 0.8)
+        texts += [a, b]
+    texts += [prose(2000 + k, 60) for k in range(200)]
+    signed = line_dedup.signatures(*line_dedup.shingle_hashes(texts))
+    marks = line_dedup.marks_of(signed)
+    apart = lambda i, j: int(((signed[i] >> 8 & 3) != (signed[j] >> 8 & 3)).sum())
+    pairs = [(i, i + 1) for i in range(0, 600, 2)] + [(i, i + 1) for i in range(600, 799)]
+    sides = spark.createDataFrame([(i, *map(int, marks[i]), *map(int, marks[j])) for i, j in pairs], ["i", *[f"{c}_{x}" for x in "ab" for c in line_dedup.MARKS]])
+    got = {row["i"]: row["d"] for row in sides.select("i", fields_apart(line_dedup.MARKS).alias("d")).collect()}
+    assert got == {i: apart(i, j) for i, j in pairs}
+    assert sum(near) > 50 and all(got[2 * k] <= line_dedup.APART for k in range(300) if near[k])
+    assert all(got[i] > line_dedup.APART for i in range(600, 799))
+    rows = [(1, 600 + k, *map(int, marks[600 + k]), 30) for k in range(30)] + [(2 + k, i, *map(int, marks[i]), 2) for k in range(20) for i in (700 + 2 * k, 701 + 2 * k)]
+    seen = []
+    confirm = lambda pairs: seen.append(pairs.count()) or pairs
+    members = spark.createDataFrame(rows, ["bucket", "id", *line_dedup.MARKS, "members"])
+    assert linked_components(members, confirm, Scratch(spark, "t"), 80, carried=tuple(line_dedup.MARKS), alike=fields_apart(line_dedup.MARKS) <= line_dedup.APART) is None and not seen
+
+
+def test_a_text_is_split_once_not_once_a_line(spark):
+    out = line_dedup.deduplicated(docs(spark, [(1, prose(51, 9) + "\n\n" + prose(52, 9)), (2, None)]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(lines#" in plan and "lambdafunction(split(" not in plan
+
+
 def test_large_buckets_without_links_end(spark):
     """More members than are compared at once, none of them alike; and alike ones that no single centre links."""
     from ionlake.llm.buckets import linked_components
