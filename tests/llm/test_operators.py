@@ -942,6 +942,23 @@ def test_scores_do_not_depend_on_blocks():
         assert toxicity.Scorer(model).score(text) == score
 
 
+def test_seeds_go_once_their_chains_are_made(spark, monkeypatch):
+    kept = {}
+    write, drop = Scratch.write, Scratch.drop
+
+    def written(self, frame):
+        out = write(self, frame)
+        kept[out[1]] = frame.columns
+        return out
+
+    monkeypatch.setattr(Scratch, "write", written)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *paths: [kept.pop(p) for p in paths] and drop(self, *paths))  # KeyError: no such table
+    passage = prose(61, 80)
+    out = chaining.repeated_passages(docs(spark, [(k, prose(70 + k, 30) + " " + passage + " " + prose(80 + k, 30)) for k in range(4)]))
+    assert {(r["doc_id"], r["of_doc_id"]) for r in out.collect()} >= {(1, 0), (2, 0), (3, 0)}
+    assert kept and not any({"seeds", "run"} & {*columns} or "whole" in columns or columns == ["doc", "of"] for columns in kept.values())
+
+
 def test_a_text_is_sent_once_for_many_chains(spark):
     """Beside each of its chains a long text fills memory; before shares of them it stands once each."""
     kind = f"doc {chaining.KEY}, of {chaining.KEY}, xs array<int>, ys array<int>"
