@@ -80,7 +80,7 @@ def linked_components(
     they are in the centre's component by then. When the pairs that stay in different components of one bucket
     are few enough, or another centre would not help, they are compared in full, and that is the end. A centre
     that was compared with all its bucket leaves it. The pairs of buckets of up to SMALL members come before all
-    rounds, which work on the larger ones alone. Pairs whose set sizes or sketches rule the threshold out
+    rounds, which work on the larger ones alone (with ``alike`` they are confirmed together with the first round's). Pairs whose set sizes or sketches rule the threshold out
     are not formed; none is confirmed twice.
     """
     kind = members.schema["id"].dataType.simpleString()

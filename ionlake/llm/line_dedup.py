@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 Equal lines (white space at their ends aside) are one line. Distinct lines get MinHash signatures from their
-character shingles; bands of four values (two functions' least and greatest) make buckets; lines that share a bucket are compared by the exact Jaccard
+character shingles; bands of four values (two functions' least and greatest) make buckets; lines that share a bucket and whose marks (bits of all values) differ little are compared by the exact Jaccard
 similarity of all their 5-character shingles; the components of those links keep their first line.
 
 Signatures read every 5-character shingle of every line, the same sets that are compared. Lines are split,
