@@ -5,10 +5,12 @@ with more vectors than a task should hold is split by centres of its own, the fi
 sample of it, until they cover the sample within half of the node's radius or the fan is full; all its vectors join
 their nearest centre, and Spark measures each child's covering radius over all of them. The tree is traversed against
 itself by joins, level by level: pairs of nodes that their radii keep apart are dropped, the others open into the pairs
-of their children, down to pairs of leaves. Each of these is one task's work, which descends the lower levels (nets of
-halving radii within a leaf) on both sides at once: node pairs too far apart go, node pairs that are near as a whole
-count without looking at their vectors, and the rest is compared in double precision. Tasks return counts and spanning
-edges, never pairs; nothing but a few counts reaches the driver.
+of their children, down to pairs of leaves. Leaves are dealt to bins, and the leaf pairs between two bins are one task's
+work, so a leaf is sent once for each bin that it meets and not once for each leaf; rounds keep what is sent at a time
+near the size of all leaves. A pair descends the lower levels (nets of halving radii within a leaf) on both sides at
+once: node pairs too far apart go, node pairs that are near as a whole count without looking at their vectors, and the
+rest is compared in double precision. Tasks return counts and spanning edges, never pairs; nothing but a few counts
+reaches the driver. A level's table of vectors goes as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SAMPLE, PART, FAN, BLOCK = 1024, 4096, 32, 16384
 DEEPEST = 24
 #: Radii of the nets inside a leaf, from the top.
 RADII = (0.5, 0.25, 0.125)
+#: Bytes of leaves in a bin and bins of few leaves, what a round sends in sizes of all leaves, and bytes that it may send in any case.
+BIN, BINS, SHIP, SHIP_BYTES = 8 << 20, 12, 1.5, 64 << 20
 #: More than the rounding error of a distance computed from a dot product in single or double precision.
 SLACK32, SLACK = 2e-3, 1e-7
 
@@ -190,33 +194,45 @@ def _built(single: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
         raw = np.array(rows["embedding"].tolist(), dtype=np.float32 if single else np.float64)
-        leaf = (raw, rows["key"].to_numpy(), rows["copies"].to_numpy(), nets_of(_normed(raw)))
+        place = np.uint16 if len(raw) <= 1 << 16 else np.int64
+        nets = tuple([x.astype(place) for x in level] for level in nets_of(_normed(raw)))
+        leaf = (raw, rows["key"].to_numpy(), rows["copies"].to_numpy(), nets)
         return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "leaf": [pickle.dumps(leaf, protocol=5)]})
 
     return run
 
 
+def _read(blob: bytes) -> Side:
+    raw, ids, copies, nets = pickle.loads(blob)
+    return Side(_normed(raw), ids, copies, tuple([x.astype(np.int64) for x in level] for level in nets))
+
+
 def _work(cosine: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for blob in group.sort_values("side")["leaf"]:
-            raw, ids, copies, nets = pickle.loads(blob)
-            sides.append(Side(_normed(raw), ids, copies, nets))
-        if len(sides) < 2 and not group["own"].iloc[0]:
-            return pd.DataFrame({"rep": [], "links": [], "root": []}, dtype="int64")
-        a, b = sides[0], sides[-1]
-        count_a, count_b, node, root = joined(a, b, cosine)
-        ids, counts = (a.ids, count_a) if a is b else (np.concatenate([a.ids, b.ids]), np.concatenate([count_a, count_b]))
-        roots = pd.Series(root, index=node, dtype="int64")
-        out = pd.DataFrame({"rep": ids, "links": counts})
-        out["root"] = roots.reindex(ids).to_numpy()
-        out["root"] = out["root"].fillna(out["rep"]).astype("int64")
+        """The pairs of each leaf with its mates, leaves of the same task."""
+        sides = {cell: _read(blob) for cell, blob in zip(group["cell"], group["leaf"], strict=True)}
+        places = np.concatenate([x.ids for x in sides.values()])
+        order = np.argsort(places, kind="stable")
+        places, counts, ends = places[order], np.zeros(len(places), dtype=np.int64), []
+        for cell, mates in zip(group["cell"], group["mates"], strict=True):
+            for mate in mates:
+                a, b = sides[cell], sides[mate]
+                count_a, count_b, *edges = joined(a, b, cosine)
+                counts[np.searchsorted(places, a.ids)] += count_a
+                if a is not b:
+                    counts[np.searchsorted(places, b.ids)] += count_b
+                ends.append(edges)
+        roots = places.copy()
+        if ends:
+            node, root = spanning(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            roots[np.searchsorted(places, node)] = root
+        out = pd.DataFrame({"rep": places, "links": counts, "root": roots})
         return out[out["links"] > 0]
 
     return run
 
 
-ROOT = "r"
+ROOT, LINKS = "r", "rep long, links long, root long"
 
 
 def _split(part: int, fan: int):
@@ -251,38 +267,46 @@ def _place(part: int):
     return run
 
 
-def _tree(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(key, copies, embedding, cell) with the leaf of each vector, and (parent, node, centre, radius) of all nodes below the root."""
-    rows, nodes, level = scratch.keep(reps.select("key", "copies", "embedding", F.lit(ROOT).alias("cell"), F.lit(2.0).alias("radius"))), None, 0
-    leaves = None
+def _tree(reps: DataFrame, at: str, scratch: Scratch) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """(key, copies, embedding, cell) with the leaf of each vector, the paths of its tables, and (parent, node, centre,
+    radius) of all nodes below the root. The table of ``reps`` is at ``at``; a level's goes once the next one is there."""
+    names = "key", "copies", "embedding", "cell"
+    rows, radii, nodes, level = reps.withColumn("cell", F.lit(ROOT)).select(*names), None, None, 0
+    leaves, held = None, []
     while True:
         sized = scratch.keep(rows.groupBy("cell").agg(F.count("*").alias("n")))
         big = sized.where(F.col("n") > PART)
-        fit = rows.join(big.select("cell"), "cell", "left_anti").select("key", "copies", "embedding", "cell")
-        leaves = fit if leaves is None else leaves.union(fit)
         if not big.head(1):
-            return scratch.keep(leaves), nodes
-        open_rows = scratch.keep(rows.join(big, "cell").withColumn("level", F.lit(level)))
+            return rows if leaves is None else leaves.union(rows), [*held, at], nodes
+        if sized.where(F.col("n") <= PART).head(1):
+            fit, fit_at = scratch.write(rows.join(big.select("cell"), "cell", "left_anti").select(*names))
+            leaves = fit if leaves is None else leaves.union(fit)
+            held.append(fit_at)
+        big = big.withColumn("radius", F.lit(2.0)) if radii is None else big.join(radii, "cell")
+        open_rows = rows.join(big, "cell").withColumn("level", F.lit(level))
         sample = open_rows.where(F.pmod(F.xxhash64("key", "level"), F.col("n")) < SAMPLE)
         centres = scratch.keep(sample.groupBy("cell").applyInPandas(_split(PART, FAN), "cell string, child int, alone boolean, centre array<double>"))
         block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)).alias("block")
         blocks = big.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)).alias("block"))
-        dealt = open_rows.select("key", "copies", "embedding", "cell", "n", "level", block)
+        dealt = open_rows.select(*names, "n", "level", block)
         placed = dealt.groupBy("cell", "block").cogroup(centres.join(blocks, "cell").groupBy("cell", "block"))
         kind = reps.schema["embedding"].dataType.simpleString()
-        placed = scratch.keep(placed.applyInPandas(_place(PART), f"key long, copies long, embedding {kind}, cell string, away double"))
-        radii = placed.groupBy("cell").agg(F.max("away").alias("radius"))
+        rows, new = scratch.write(placed.applyInPandas(_place(PART), f"key long, copies long, embedding {kind}, cell string, away double"))
+        scratch.drop(at)
+        scratch.release()
+        at = new
+        radii = scratch.keep(rows.groupBy("cell").agg(F.max("away").alias("radius")))
+        rows = rows.select(*names)
         parent, child = F.regexp_replace("cell", "/[^/]*$", ""), F.regexp_extract("cell", "/([0-9]+)[^/]*$", 1).cast("int")
         made = radii.select(parent.alias("parent"), F.col("cell").alias("node"), "radius", child.alias("child")).join(centres.select(F.col("cell").alias("parent"), "child", "centre"), ["parent", "child"])
         made = scratch.keep(made.select("parent", "node", "centre", "radius"))
         nodes = made if nodes is None else nodes.union(made)
-        rows = scratch.keep(placed.join(radii, "cell").select("key", "copies", "embedding", "cell", "radius"))
         level += 1
 
 
-def _leaf_pairs(nodes: DataFrame | None, limit: float, scratch: Scratch, rows: DataFrame) -> DataFrame:
+def _leaf_pairs(nodes: DataFrame | None, limit: float, scratch: Scratch) -> DataFrame:
     """(a, b), a <= b: the pairs of leaves that may hold links, by traversing the tree against itself from the root."""
-    now = rows.sparkSession.createDataFrame([(ROOT, ROOT)], "a string, b string")
+    now = scratch.spark.createDataFrame([(ROOT, ROOT)], "a string, b string")
     if nodes is None:
         return now
     inner = nodes.select(F.col("parent").alias("node")).distinct()
@@ -299,16 +323,29 @@ def _leaf_pairs(nodes: DataFrame | None, limit: float, scratch: Scratch, rows: D
         now = now.select("a", "b")
 
 
-def _links_of(reps: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
-    """(rep, links, root) by task, for vectors (key, copies, embedding) of one dimension; rep and root are keys."""
-    rows, nodes = _tree(reps, scratch)
-    pairs = _leaf_pairs(nodes, float(np.sqrt(2 - 2 * cosine)) + SLACK, scratch, rows)
-    tasks = pairs.select(F.concat_ws("|", "a", "b").alias("task"), "a", "b", (F.col("a") == F.col("b")).alias("own"))
-    ends = tasks.select("task", "own", F.lit(0).alias("side"), F.col("a").alias("cell")).union(tasks.where("not own").select("task", "own", F.lit(1), F.col("b")))
+def _links_of(reps: DataFrame, at: str, cosine: float, scratch: Scratch, found: str) -> None:
+    """Adds (rep, links, root) by task to the table at ``found``, for vectors (key, copies, embedding) of one dimension; rep
+    and root are keys. The table of ``reps`` at ``at`` goes on the way."""
+    rows, held, nodes = _tree(reps, at, scratch)
     single = reps.schema["embedding"].dataType.simpleString() == "array<float>"
-    leaves = scratch.keep(rows.select("cell", "key", "copies", "embedding").groupBy("cell").applyInPandas(_built(single), "cell string, leaf binary"))
-    sent_out = leaves.join(ends, "cell").select("task", "own", "side", "leaf")
-    return sent_out.groupBy("task").applyInPandas(_work(cosine), "rep long, links long, root long")
+    leaves = scratch.keep(rows.groupBy("cell").applyInPandas(_built(single), "cell string, leaf binary"))
+    scratch.drop(*held)
+    scratch.release()
+    pairs = _leaf_pairs(nodes, float(np.sqrt(2 - 2 * cosine)) + SLACK, scratch)
+    sizes = leaves.select("cell", F.length("leaf").alias("size"))
+    n, size = sizes.agg(F.count("*"), F.sum("size")).first()
+    one, other = (F.pmod(F.xxhash64(c), F.lit(max(min(BINS, n), size // BIN))) for c in "ab")
+    tasks = pairs.select(F.concat_ws("|", F.least(one, other), F.greatest(one, other)).alias("task"), "a", "b")
+    ends = tasks.select("task", F.col("a").alias("cell"), F.col("b").alias("mate")).union(tasks.select("task", "b", F.lit(None)))
+    ends = scratch.keep(ends.groupBy("task", "cell").agg(F.collect_list("mate").alias("mates")))
+    sent = ends.join(sizes, "cell").agg(F.sum("size")).first()[0]
+    rounds = -(-sent // max(SHIP_BYTES, int(SHIP * size)))
+    for k in range(rounds):
+        #: A few leaves' names for each leaf.
+        mine = F.broadcast(ends.where(F.pmod(F.xxhash64("task"), F.lit(rounds)) == k))
+        met = leaves.join(mine, "cell").select("task", "cell", "mates", "leaf")
+        met.groupBy("task").applyInPandas(_work(cosine), LINKS).write.mode("append").option("compression", "zstd").parquet(found)
+        scratch.release()
 
 
 def _sound(column: str):
@@ -332,20 +369,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     usable = F.coalesce(F.col("vec_id").isNotNull() & _sound("embedding"), F.lit(False))
     sound = rows.where(usable)
     reps = sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = scratch.keep(reps.withColumn("key", F.monotonically_increasing_id()))
-    found = None
-    for (size,) in reps.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect():
-        part = _links_of(reps.where(F.size("embedding") == size).select("key", "copies", "embedding"), cosine, scratch)
-        found = part if found is None else found.union(part)
+    reps, reps_at = scratch.write(reps.withColumn("key", F.monotonically_increasing_id()))
+    #: What the end needs of all rows, without their vectors.
+    members = scratch.keep(sound.join(reps.select("embedding", "key"), "embedding").select("vec_id", "key"))
+    known = scratch.keep(reps.select("key", "rep", "copies", F.size("embedding").alias("size")))
+    scratch.release()
+    found = f"{scratch.root}/links"
+    sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]
+    for size in sizes:
+        part, part_at = reps.select("key", "copies", "embedding"), reps_at
+        if len(sizes) > 1:
+            part, part_at = scratch.write(part.where(F.size("embedding") == size))
+        _links_of(part, part_at, cosine, scratch, found)
+    if len(sizes) > 1:
+        scratch.drop(reps_at)
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + 0).alias("component_id"), F.lit(True).alias("kept"))
-    if found is None:
+    if not sizes:
         return alone
-    found = scratch.keep(found)
+    found = scratch.spark.read.schema(LINKS).parquet(found)
     classes = scratch.keep(components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("node", "key"))
-    least = classes.join(reps.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("least"))
+    least = classes.join(known.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("least"))
     counts = found.groupBy(F.col("rep").alias("key")).agg(F.sum("links").alias("links"))
-    of_rep = reps.join(counts, "key", "left").join(classes.join(least, "component").select("key", "least"), "key", "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component")
+    of_key = known.join(counts, "key", "left").join(classes.join(least, "component").select("key", "least"), "key", "left").select(
+        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component")
     )
-    linked = sound.join(of_rep, "embedding").select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
+    linked = members.join(of_key, "key").select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
     return linked.union(alone)

@@ -214,6 +214,35 @@ def test_many_leaves_and_repeated_ids(spark, monkeypatch):
     assert got == want
 
 
+def test_leaves_that_all_meet_stay_small_on_disk(spark, monkeypatch):
+    """What a stage shuffles, and what stays in the shared folder, are a few times the vectors, not times the leaves."""
+    import os
+    from urllib.parse import urlparse
+
+    from ionlake.llm.common import shared_folder
+
+    for name, value in (("PART", 40), ("SAMPLE", 60), ("FAN", 8), ("BLOCK", 256), ("SHIP_BYTES", 1)):
+        monkeypatch.setattr(cover_tree, name, value, raising=False)
+    x = np.random.default_rng(23).normal(size=(1500, 64))
+    x[1400:] = x[:100] + 0.1 * x[200:300]
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    folder = urlparse(shared_folder(spark)).path
+    before, store = set(os.listdir(folder)), spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        every = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {every.apply(k).stageId(): every.apply(k).shuffleWriteBytes() for k in range(every.size())}
+
+    done = stages()
+    got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_duplicates(frame).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist() and sum(got.values()) >= 200
+    assert max(n for k, n in stages().items() if k not in done) < 6 * 4 * x.size
+    (own,) = (d for d in set(os.listdir(folder)) - before if d.startswith("vectors-"))
+    assert sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(f"{folder}/{own}") for f in names) < 4 * 4 * x.size
+
+
 def test_dual_traversal_in_levels():
     r = np.random.default_rng(6)
     x = np.concatenate([r.normal(size=(50, 5)), r.normal(size=5) + 0.01 * r.normal(size=(80, 5)), r.normal(size=5) + 0.2 * r.normal(size=(80, 5))])
