@@ -7,7 +7,7 @@ floored mean of its features' gains: the matrix times the vector of gains. Gumbe
 weights into scores whose highest are a draw without replacement.
 
 What reaches the driver is one row a bucket, at most BUCKETS; blocks hold the rows of a bounded amount of text, and
-no row has more than BUCKETS entries. Null and wordless texts have no features and weight 0. A null doc_id draws its
+no row has more than BUCKETS entries. What a task holds does not grow with the rows that it is given. Null and wordless texts have no features and weight 0. A null doc_id draws its
 noise as "null" and comes after all others; rows that share an id have the same noise and follow each other in the
 order in which their blocks were written. Empty tables give an empty table; without target texts all gains come from
 smoothing alone.
@@ -28,8 +28,9 @@ from ionlake.llm.common import Scratch, slices, text_of
 
 BUCKETS, SEED = 10_000, 7
 LEAST_WORDS, PERCENT = 20, 25
-#: Bytes of text whose documents make a block.
-BLOCK = 4 << 20
+#: Bytes of text whose documents make a block, and bytes of the matrix that Spark's writers and readers hold at once: writers look at
+#: their memory every 100 rows, readers decode up to 4,096 rows of a row group, so both need small rows and row groups.
+BLOCK, GROUP = 128 << 10, 4 << 20
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 MATRIX = "block long, doc_id array<long>, words array<long>, indptr array<long>, indices array<int>, counts array<int>"
 
@@ -60,12 +61,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def matrix(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
     """The written blocks of (``key``, text) rows."""
-    return scratch.keep(docs.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_blocks, MATRIX))
+    return scratch.keep(docs.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_blocks, MATRIX), **{"parquet.block.size": GROUP})
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
         indices, counts = (batch.column(i).flatten().to_numpy() for i in (0, 1))
         total += np.bincount(indices, counts, BUCKETS).astype(np.int64)
     used = np.flatnonzero(total)

@@ -224,3 +224,14 @@ def test_blocks_are_sparse_rows(spark):
     row = lambda k: dict(zip(block["indices"][block["indptr"][k] : block["indptr"][k + 1]], block["counts"][block["indptr"][k] :], strict=False))
     assert row(0)[b] == 2 and row(0)[a] == 1 and row(1) == {} and row(2) == {a: 1}
     assert shared_folder(spark)
+
+
+def test_blocks_of_much_text_are_many_small_rows(spark):
+    """One task's 3 MB of words, most of them new, come as rows and row groups that a task can hold many of."""
+    r = random.Random(9)
+    docs = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(800))) for k in range(480)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    blocks = resampling.matrix(frame, Scratch(spark, "t"))
+    sizes = [(len(b["doc_id"]), len(b["indices"])) for b in blocks.select("doc_id", "indices").collect()]
+    assert sum(n for n, _ in sizes) == 480 and max(n for _, n in sizes) <= 50_000
+    assert Counter(drawn(spark, docs, ["w1 w2 w3"])) == Counter(plain_draw(docs, ["w1 w2 w3"]))
