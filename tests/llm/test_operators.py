@@ -1023,3 +1023,28 @@ def test_first_documents_of_many_seeds_are_counted_without_python_numbers():
     got = Counter((d["id"], d["tie"], o["id"], o["tie"]) for d, o in zip(*(c.to_pylist() for c in next(chaining._pairs(iter([batch])))), strict=True))
     want = Counter((k["id"], k["tie"], *of) for k, i, t in zip(keys, ids, ties, strict=True) for of, n in Counter(zip(i.tolist(), t.tolist(), strict=True)).items() if n > 1 and of != (k["id"], k["tie"]))
     assert got == want and peak < 32 << 20
+
+
+def test_passages_in_turns_shuffle_a_part_at_a_time(spark, monkeypatch):
+    """No stage shuffles all windows of all texts or all words of all chains, and the passages are those of one turn."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        every = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {every.apply(k).stageId(): every.apply(k).shuffleWriteBytes() for k in range(every.size())}
+
+    r = random.Random(31)
+    words = [prose(k, 1) + str(k) for k in range(3000)]
+    texts = [[r.choice(words) for _ in range(600)] for _ in range(120)]
+    for k in range(60, 120):  # passages of 70 to 100 words of earlier texts, some with a changed word
+        n = r.randint(70, 100)
+        texts[k][100 : 100 + n] = texts[k - 60][200 : 200 + n]
+        texts[k][120] = r.choice(words)
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    whole = sorted(tuple(x) for x in chaining.repeated_passages(frame).collect())
+    done = stages()
+    for name, value in (("FEW", 1), ("TURNS", 4), ("SENT", 1), ("ENTRIES", 4096)):
+        monkeypatch.setattr(chaining, name, value, raising=False)
+    assert sorted(tuple(x) for x in chaining.repeated_passages(frame).collect()) == whole and len(whole) >= 60
+    windows = sum(len(t) - chaining.K + 1 for t in texts)
+    assert max(n for k, n in stages().items() if k not in done) < 6 * windows
